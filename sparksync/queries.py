@@ -352,7 +352,7 @@ def fixed_block_signature(spark, d):
 
 @query
 def weak_checksum(spark, d):
-    return signatures.fixed_block_signature(_src(spark, d), block=2048, weak=True).select(
+    return signatures.fixed_block_signature(_src(spark, d), block=256, weak=True).select(
         "path", "idx", "weak"
     )
 
@@ -586,20 +586,26 @@ def final_mode(spark, d):
 DELAY, CAP = 6 * 3600, 12 * 3600
 
 
+def _wall_clock(df):
+    """Times as the event table stores them, without a zone."""
+    for c in ("burst_start", "last_event"):
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
 @query
 def debounce_bursts(spark, d):
-    return bursts.debounce_bursts(samples.events(spark, d), "user_id", DELAY)
+    return _wall_clock(bursts.debounce_bursts(samples.events(spark, d), "user_id", DELAY))
 
 
 @query
 def debounce_capped(spark, d):
-    return bursts.debounce_capped(samples.events(spark, d), "user_id", DELAY, CAP)
+    return _wall_clock(bursts.debounce_capped(samples.events(spark, d), "user_id", DELAY, CAP))
 
 
 def _change_stream(spark, d):
     """The documents as a stream of changes: every tenth document is deleted, others are upserts."""
-    schema = _docs(spark, d).schema
-    raw = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet")
+    raw = samples.stream_table(spark, d, "documents")
     doc = F.col("doc_id")
     data = F.col("text").cast("binary")
     path = F.concat_ws("/", "source", "lang", F.concat(doc, F.lit(".txt")))
@@ -657,8 +663,7 @@ def bounded_watch(spark, d):
 
 @query
 def watch_totals(spark, d):
-    schema = samples.table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    raw = samples.stream_table(spark, d, "events")
     cycles = raw.select(
         F.col("event_type").alias("action"), (F.col("value") * 100).cast("bigint").alias("source_size")
     )
