@@ -3,25 +3,33 @@
 A key that holds a large share of the rows would land in one shuffle
 partition. ``lookup_join`` finds such keys with a map-side combined count,
 spreads their rows over many partitions, and repeats the one matching row of
-the other side there. There are at most ``share`` hot keys by construction,
-whatever the data size, so they are safe to broadcast.
+the other side there. At most ``HOT_KEYS`` keys are taken, whatever the data
+size, so they are safe to broadcast.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_SHARE = 200
+HOT_KEYS = 200
 HOT_MIN_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys that hold more than ``1/share`` of all rows: fewer than ``share`` of them."""
+def hot_keys(df: DataFrame, key: str, most: int = HOT_KEYS, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """The ``most`` keys with the most rows, as far as they have ``min_rows``.
+
+    Every key with more than ``1/most`` of all rows is among them, and there
+    are never more than ``most``.
+    """
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    limit = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total")).select(
-        F.greatest(F.col("_total") / share, F.lit(float(min_rows)))
-    )
-    return counts.filter(F.col("_n") > limit.scalar()).select(key)
+    return hot_of_counts(counts, key, "_n", most, min_rows)
+
+
+def hot_of_counts(
+    counts: DataFrame, key: str, n: str, most: int = HOT_KEYS, min_rows: int = HOT_MIN_ROWS
+) -> DataFrame:
+    """``hot_keys`` where the rows per key are already counted."""
+    return counts.filter(F.col(n) >= min_rows).orderBy(F.desc(n)).limit(most).select(key)
 
 
 def lookup_join(
@@ -31,15 +39,15 @@ def lookup_join(
     spread: str,
     how: str = "left",
     fan: int = 512,
-    share: int = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, whose ``key`` is unique, without a hot partition.
 
     ``spread`` names a left column with many values; it decides
     deterministically which of the ``fan`` slots a row of a hot key goes to.
+    ``hot`` may pass hot keys that are already known.
     """
-    hot = hot_keys(left, key, share, min_rows).withColumn("_hot", F.lit(True))
+    hot = (hot_keys(left, key) if hot is None else hot).withColumn("_hot", F.lit(True))
     slot = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(F.col(spread)), F.lit(fan)).cast("int"))
     spread_left = (
         left.join(F.broadcast(hot), key, "left")

@@ -195,22 +195,32 @@ _SLIDE_SCHEMA = (
 )
 
 
+# Literal bytes gathered before a batch of ops is handed on.
+_FLUSH_BYTES = 32 << 20
+
+
 def _slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ops, held = [], 0
     for batch in batches:
         for row in batch.itertuples(index=False):
-            ops = list(_ops_of(row.data, row.weak, row.strong, row.offset, row.len))
-            if ops:
-                out = pd.DataFrame(ops, columns=["op", "source_offset", "len", "basis_offset", "literal"])
-                out.insert(0, "path", row.path)
-                out.insert(1, "op_idx", np.arange(len(out)))
-                out["basis_offset"] = out["basis_offset"].astype("Int64")
-                yield out
+            found = _ops_of(row.data, row.weak, row.strong, row.offset, row.len)
+            ops.extend((row.path, i, *op) for i, op in enumerate(found))
+            held += len(row.data)
+            if held > _FLUSH_BYTES:
+                yield _ops_frame(ops)
+                ops, held = [], 0
+    yield _ops_frame(ops)
+
+
+def _ops_frame(ops: list[tuple]) -> pd.DataFrame:
+    names = ["path", "op_idx", "op", "source_offset", "len", "basis_offset", "literal"]
+    return pd.DataFrame(ops, columns=names).astype(
+        {"op_idx": "int64", "source_offset": "int64", "len": "int64", "basis_offset": "Int64"}
+    )
 
 
 def _ops_of(data, weak, strong, offset, length):
     """Alternate literal gaps and copies, merging copies that continue in the basis."""
-    if weak is None:
-        weak, strong, offset, length = [], [], [], []
     pos, run = 0, None
     hits = match_blocks(data, np.asarray(weak), np.asarray(strong, dtype=object), np.asarray(offset), np.asarray(length))
     for at, n, basis in hits:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparksync.functions.paths import under_any
-from sparksync.functions.skew import lookup_join
+from sparksync.functions.skew import hot_of_counts, lookup_join
 from sparksync.sources.manifest import with_manifest_columns
 
 PERMISSION_BITS = 0o7777
@@ -223,13 +223,17 @@ def assign_hardlinks(src: DataFrame, dst: DataFrame, **flags) -> DataFrame:
     transferred = F.col("action").isin("create", "update")
     member = (F.col("kind") == "file") & F.col("inode").isNotNull()
     order = F.struct(F.when(F.col("content_matched"), 0).otherwise(1).alias("rank"), "path")
-    reps = (
+    groups = (
         plan.filter(member & (transferred | F.col("content_matched")))
         .groupBy("inode")
         .agg(F.min(order).alias("rep"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select("inode", F.col("rep.path").alias("rep_path"))
     )
-    joined = lookup_join(plan, reps, "inode", spread="path")
-    link_to = F.when(member & transferred & (F.col("rep_path") != F.col("path")), F.col("rep_path"))
-    return joined.withColumn("link_to", link_to).drop("rep_path")
+    reps = groups.select(F.col("inode").alias("_group"), F.col("rep.path").alias("_rep"))
+    hot = hot_of_counts(groups, "inode", "n").select(F.col("inode").alias("_group"))
+    # Only transferred members can become links; other rows get no group and
+    # so spread freely.
+    wanting = plan.withColumn("_group", F.when(member & transferred, F.col("inode")))
+    joined = lookup_join(wanting, reps, "_group", spread="path", hot=hot)
+    link_to = F.when(F.col("_rep") != F.col("path"), F.col("_rep"))
+    return joined.withColumn("link_to", link_to).drop("_rep", "_group")

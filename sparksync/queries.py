@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparksync.operators import apply, cache, delta, filters, links, reports, signatures, tiers
 from sparksync.plans import deletes, diff, pairing, planner
-from sparksync.session import scratch_path
+from sparksync.session import scratch_path, spread_scan
 from sparksync.sources import manifest, roots, samples
 from sparksync.streaming import bursts, watch
 
@@ -35,6 +35,12 @@ def _docs(spark, d):
     return samples.table(spark, d, "documents")
 
 
+def _contents(spark, d):
+    """Documents as (path, source, content) for work that is heavy per row."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id"), F.lit(".txt")))
+    return spread_scan(_docs(spark, d)).select("doc_id", "source", path.alias("path"), F.col("text").alias("content"))
+
+
 # --- scans and sources -------------------------------------------------------
 
 
@@ -347,29 +353,29 @@ def reprobe_after_apply(spark, d):
 
 @query
 def fixed_block_signature(spark, d):
-    return signatures.fixed_block_signature(_src(spark, d)).select("path", "idx", "offset", "len", "strong")
+    return signatures.fixed_block_signature(_contents(spark, d)).select("path", "idx", "offset", "len", "strong")
 
 
 @query
 def weak_checksum(spark, d):
-    return signatures.fixed_block_signature(_src(spark, d), block=256, weak=True).select(
+    return signatures.fixed_block_signature(_contents(spark, d), block=256, weak=True).select(
         "path", "idx", "weak"
     )
 
 
 @query
 def cdc_chunks(spark, d):
-    return signatures.cdc_chunks(_src(spark, d), min_size=256, avg_size=1024, max_size=4096)
+    return signatures.cdc_chunks(_contents(spark, d), min_size=256, avg_size=1024, max_size=4096)
 
 
 @query
 def text_cdc_segments(spark, d):
-    return signatures.text_cdc_segments(_docs(spark, d), keep=["doc_id"])
+    return signatures.text_cdc_segments(_contents(spark, d), "content", keep=["doc_id"])
 
 
 @query
 def signature_index(spark, d):
-    return signatures.signature_index(signatures.fixed_block_signature(_src(spark, d), block=BLOCK))
+    return signatures.signature_index(signatures.fixed_block_signature(_contents(spark, d), block=BLOCK))
 
 
 def _block_ops(spark, d):
@@ -437,7 +443,7 @@ def sliding_match(spark, d):
 
 @query
 def chunk_dedup_report(spark, d):
-    segments = signatures.text_cdc_segments(_docs(spark, d), keep=["source"])
+    segments = signatures.text_cdc_segments(_contents(spark, d), "content", keep=["source"])
     return signatures.chunk_dedup_report(segments)
 
 

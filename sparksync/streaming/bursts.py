@@ -13,9 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-SLICE_FACTOR = 256
+SLICE_FACTOR = 64
 COALESCE_CAP_SECONDS = 10
 
 
@@ -86,111 +86,95 @@ def debounce_stream(events: DataFrame, key: str, delay: str, watermark: str) ->
 # --- capped bursts -----------------------------------------------------------
 
 
+def _breaks(us: np.ndarray, quiet: int) -> np.ndarray:
+    """Positions of events that follow a gap."""
+    return np.flatnonzero(np.diff(us) > quiet) + 1
+
+
 def _next_start(us: np.ndarray, quiet: int, cap: int) -> np.ndarray:
     """For a burst opened at each event, the index of the event that opens the next one."""
     n = len(us)
     by_cap = np.searchsorted(us, us + cap, side="left")
-    breaks = np.flatnonzero(np.diff(us) > quiet) + 1
+    breaks = _breaks(us, quiet)
     at = np.searchsorted(breaks, np.arange(n), side="right")
     by_gap = np.append(breaks, n)[at]
     return np.minimum(by_cap, by_gap)
 
 
-def _entry_table(quiet: int, cap: int):
-    """Per (key, slice): which burst is open at the end, for every event a burst may enter on.
+def _entry_steps(us: np.ndarray, quiet: int, cap: int) -> dict:
+    """Which burst is open at the end of a slice, for every event a burst may enter on.
 
     A burst carried in from before ends within ``cap`` of the slice's start
     or at its first gap, so only that head of the slice can be entered on.
     Entries with the same outcome are folded into one step.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(pdf["us"].to_numpy())
-        nxt = _next_start(us, quiet, cap)
-        n = len(us)
-        last_open = np.where(nxt < n, nxt, np.arange(n))
-        while True:
-            further = last_open[last_open]
-            if np.array_equal(further, last_open):
-                break
-            last_open = further
-        gaps = np.flatnonzero(np.diff(us) > quiet) + 1
-        head = int(min(np.searchsorted(us, us[0] + cap, side="left"), gaps[0] if len(gaps) else n)) + 1
-        entry, exit_ = us[:head], us[last_open[:head]]
-        # Steps: the last entry of each run with equal outcome.
-        keep = np.append(np.flatnonzero(np.diff(exit_) != 0), len(entry) - 1)
-        return pd.DataFrame(
-            {
-                "key": [pdf["key"].iloc[0]],
-                "slice": [pdf["slice"].iloc[0]],
-                "first": [us[0]],
-                "last": [us[-1]],
-                "head_gap": [us[gaps[0]] if len(gaps) and gaps[0] < head else None],
-                "covers_all": [bool(head > n)],
-                "entries": [entry[keep].tolist()],
-                "exits": [exit_[keep].tolist()],
-            }
-        ).astype({"head_gap": "Int64"})
-
-    return run
-
-
-def _follow(quiet: int, cap: int):
+    n = len(us)
+    nxt = _next_start(us, quiet, cap)
+    last_open = np.where(nxt < n, nxt, np.arange(n))
+    while True:
+        further = last_open[last_open]
+        if np.array_equal(further, last_open):
+            break
+        last_open = further
+    breaks = _breaks(us, quiet)
+    gap = int(breaks[0]) if len(breaks) else n
+    head = min(int(np.searchsorted(us, us[0] + cap, side="left")), gap) + 1
+    entry, exit_ = us[:head], us[last_open[:head]]
+    keep = np.append(np.flatnonzero(np.diff(exit_) != 0), len(entry) - 1)
+    return {
+        "first": int(us[0]),
+        "last": int(us[-1]),
+        "head_gap": int(us[gap]) if gap < min(head, n) else None,
+        "covers_all": head > n,
+        "entries": entry[keep].tolist(),
+        "exits": exit_[keep].tolist(),
+    }
+
+
+def _carry(slices: list[dict], quiet: int, cap: int) -> list[int | None]:
     """Walk a key's slices in order and note the burst that is open when each begins."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slice")
-        opened, last, out = None, None, []
-        for row in pdf.itertuples(index=False):
-            carried = opened
-            if carried is not None and (row.first - last > quiet or row.first >= carried + cap):
-                carried = None
-            out.append(carried)
-            threshold = row.first if carried is None else carried + cap
-            gap = None if pd.isna(row.head_gap) else int(row.head_gap)
-            if carried is not None and gap is not None:
-                threshold = min(threshold, gap)
-            if not (row.covers_all and threshold > row.last):
-                at = int(np.searchsorted(np.asarray(row.entries), threshold))
-                opened = int(row.exits[at])
-            last = row.last
-        return pd.DataFrame(
-            {"key": pdf["key"].to_numpy(), "slice": pdf["slice"].to_numpy(), "carried": pd.array(out, dtype="Int64")}
-        )
-
-    return run
-
-
-def _cut(quiet: int, cap: int):
+    opened, last, out = None, None, []
+    for row in slices:
+        if opened is not None and (row["first"] - last > quiet or row["first"] >= opened + cap):
+            opened = None
+        out.append(opened)
+        threshold = row["first"] if opened is None else opened + cap
+        if opened is not None and row["head_gap"] is not None:
+            threshold = min(threshold, row["head_gap"])
+        # A slice may lie wholly inside the carried burst; then it stays open.
+        if not (row["covers_all"] and threshold > row["last"]):
+            opened = int(row["exits"][int(np.searchsorted(row["entries"], threshold))])
+        last = row["last"]
+    return out
+
+
+def _cut(us: np.ndarray, carried: int | None, quiet: int, cap: int) -> list[dict]:
     """Split a slice's events into bursts, given the burst that is open at its start."""
-
-    def run(events: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(events["us"].to_numpy())
-        n = len(us)
-        nxt = _next_start(us, quiet, cap)
-        carried = state["carried"].iloc[0]
-        starts, bounds = [], []
-        at = 0
-        if not pd.isna(carried):
-            gaps = np.flatnonzero(np.diff(us) > quiet) + 1
-            at = int(min(np.searchsorted(us, int(carried) + cap, side="left"), gaps[0] if len(gaps) else n))
-            starts.append(int(carried))
-            bounds.append(0)
-        while at < n:
-            starts.append(int(us[at]))
-            bounds.append(at)
-            at = int(nxt[at])
-        ends = np.append(bounds[1:], n).astype(int)
-        return pd.DataFrame(
-            {
-                "key": events["key"].iloc[0],
-                "first": starts,
-                "last": us[ends - 1],
-                "n": ends - np.asarray(bounds),
-            }
-        )
-
-    return run
+    n = len(us)
+    nxt = _next_start(us, quiet, cap)
+    starts, bounds, at = [], [], 0
+    if carried is not None:
+        breaks = _breaks(us, quiet)
+        gap = int(breaks[0]) if len(breaks) else n
+        at = min(int(np.searchsorted(us, carried + cap, side="left")), gap)
+        starts.append(carried)
+        bounds.append(0)
+    while at < n:
+        starts.append(int(us[at]))
+        bounds.append(at)
+        at = int(nxt[at])
+    ends = bounds[1:] + [n]
+    return [
+        {"first": f, "last": int(us[e - 1]), "n": e - b} for f, b, e in zip(starts, bounds, ends)
+    ]
+
+
+_LONGS = ArrayType(LongType())
+_STEPS = StructType(
+    [StructField(c, LongType()) for c in ("first", "last", "head_gap")]
+    + [StructField("covers_all", BooleanType()), StructField("entries", _LONGS), StructField("exits", _LONGS)]
+)
+_PIECE = StructType([StructField(c, LongType()) for c in ("first", "last", "n")])
 
 
 def debounce_capped(
@@ -202,25 +186,42 @@ def debounce_capped(
     cut on their own. Three passes make it parallel and exact: (1) each
     (key, slice) tabulates the outcome for every possible entry, (2) a key's
     slices are chained through these small tables, (3) each (key, slice) is
-    cut with its now known entry. Passes 1 and 3 share one shuffle.
+    cut with its now known entry. Passes 1 and 3 read the same shuffle.
     """
     quiet, limit = _micros(delay), _micros(cap)
-    key_type = events.schema[key].dataType.simpleString()
-    sliced = _sliced(events, key, max(quiet, limit) * SLICE_FACTOR)
-    tables = sliced.groupBy("key", "slice").applyInPandas(
-        _entry_table(quiet, limit),
-        f"key {key_type}, slice bigint, first bigint, last bigint, head_gap bigint, "
-        "covers_all boolean, entries array<bigint>, exits array<bigint>",
+
+    @F.pandas_udf(_STEPS)
+    def steps(times: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_entry_steps(us, quiet, limit) for us in times]).astype({"head_gap": "Int64"})
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def carry(tables: pd.Series) -> pd.Series:
+        return tables.map(lambda rows: _carry(list(rows), quiet, limit))
+
+    @F.pandas_udf(ArrayType(_PIECE))
+    def cut(times: pd.Series, carried: pd.Series) -> pd.Series:
+        opened = (None if pd.isna(c) else int(c) for c in carried)
+        return pd.Series([_cut(us, c, quiet, limit) for us, c in zip(times, opened)])
+
+    slices = (
+        _sliced(events, key, max(quiet, limit) * SLICE_FACTOR)
+        .groupBy("key", "slice")
+        .agg(F.sort_array(F.collect_list("us")).alias("times"))
+    )
+    tables = (
+        slices.select("key", "slice", steps("times").alias("s"))
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list(F.struct("slice", "s.*"))).alias("tables"))
     )
-    carried = tables.groupBy("key").applyInPandas(
-        _follow(quiet, limit), f"key {key_type}, slice bigint, carried bigint"
+    entries = tables.select("key", "tables.slice", carry("tables").alias("carried")).select(
+        "key", F.explode(F.arrays_zip("slice", "carried")).alias("e")
+    ).select("key", "e.slice", "e.carried")
+    pieces = slices.join(entries, ["key", "slice"]).select(
+        "key", F.explode(cut("times", "carried")).alias("p")
     )
-    pieces = (
-        sliced.groupBy("key", "slice")
-        .cogroup(carried.groupBy("key", "slice"))
-        .applyInPandas(_cut(quiet, limit), f"key {key_type}, first bigint, last bigint, n bigint")
+    merged = pieces.groupBy("key", "p.first").agg(
+        F.max("p.last").alias("last"), F.sum("p.n").alias("n")
     )
-    merged = pieces.groupBy("key", "first").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
     return _as_bursts(merged, key)
 
 
