@@ -46,6 +46,7 @@ def _contents(spark, d):
 
 @query
 def scan_manifest(spark, d):
+    """The shared tables' own files as the tree."""
     return manifest.scan_manifest(spark, d).select("path", "kind", "size")
 
 

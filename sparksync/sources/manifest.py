@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os.path
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparksync.functions import globs, paths
 from sparksync.functions.content import strong_hash
+from sparksync.session import checkpointed
+from sparksync.sources.listing import ENTRY_SCHEMA, directory_lister, file_hasher
 
 KINDS = ("file", "dir", "symlink", "fifo", "socket", "block", "char")
 
@@ -39,29 +42,6 @@ def with_manifest_columns(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def _files(
-    spark: SparkSession, root: str, recursive: bool, includes: list[str], excludes: list[str]
-) -> tuple[DataFrame, Column]:
-    df = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(root)
-    )
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    prefix = base.getFileSystem(conf).makeQualified(base).toString().rstrip("/") + "/"
-    # Listed paths spell the scheme of a local path 'file:/' or 'file:///'.
-    local = F.regexp_replace("path", r"\Afile:/+", "file:/")
-    rel = F.substring(local, len(_one_slash(prefix)) + 1, 1 << 30)
-    parts = globs.passes(rel, includes, excludes)
-    pruned = F.forall(paths.ancestors(rel), lambda d: globs.passes(d, includes, excludes))
-    return df.filter(parts & pruned if includes or excludes else F.lit(True)), rel
-
-
-def _one_slash(prefix: str) -> str:
-    return "file:/" + prefix[len("file:"):].lstrip("/") if prefix.startswith("file:") else prefix
-
-
 def scan_manifest(
     spark: SparkSession,
     root: str,
@@ -69,19 +49,25 @@ def scan_manifest(
     includes: list[str] = (),
     excludes: list[str] = (),
 ) -> DataFrame:
-    """Regular files below ``root``: path, kind, size and times; no content is read."""
-    df, rel = _files(spark, root, recursive, includes, excludes)
-    return df.select(rel.alias("path"), *_attributes())
-
-
-def _attributes() -> list[Column]:
-    micros = F.unix_micros("modificationTime")
-    return [
-        F.lit("file").alias("kind"),
-        F.col("length").alias("size"),
-        F.floor(micros / 1_000_000).cast("bigint").alias("mtime_sec"),
-        (F.pmod(micros, F.lit(1_000_000)) * 1000).cast("int").alias("mtime_nsec"),
-    ]
+    """All entries below ``root`` with size, mode and times; no content is read.
+
+    Directories are listed by the executors, one job per level of the tree,
+    and a directory the patterns exclude is never entered. ``root`` must be
+    reachable from every executor.
+    """
+    keep = globs.passes(F.col("path"), includes, excludes)
+    level = spark.createDataFrame([("",)], "path string")
+    levels = []
+    while True:
+        # Listing is slow and uneven, so directories are dealt out anew.
+        listed = level.repartition(spark.sparkContext.defaultParallelism).mapInPandas(
+            directory_lister(root), ENTRY_SCHEMA
+        )
+        entries = checkpointed(listed.filter(keep))
+        levels.append(entries)
+        level = entries.filter("kind = 'dir'").select("path")
+        if not recursive or level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
 
 
 def hash_manifest(
@@ -91,9 +77,10 @@ def hash_manifest(
     includes: list[str] = (),
     excludes: list[str] = (),
 ) -> DataFrame:
-    """``scan_manifest`` plus a content hash; this one reads every file once."""
-    df, rel = _files(spark, root, recursive, includes, excludes)
-    return df.select(rel.alias("path"), *_attributes(), strong_hash(F.col("content")).alias("hash"))
+    """``scan_manifest`` plus a content hash of regular files, read as streams of any length."""
+    entries = scan_manifest(spark, root, recursive, includes, excludes)
+    dealt = entries.repartition(spark.sparkContext.defaultParallelism * 4)
+    return dealt.mapInPandas(file_hasher(root), ENTRY_SCHEMA + ", hash string")
 
 
 def hash_table_manifest(manifest: DataFrame, content: str = "content") -> DataFrame:
