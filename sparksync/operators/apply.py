@@ -80,29 +80,50 @@ def _fs(spark: SparkSession, location: str):
     return path, path(location).getFileSystem(conf)
 
 
-def publish_snapshot(df: DataFrame, location: str, compression: str = "snappy") -> str:
-    """Write a snapshot so that readers see the old one or the new one, never a half.
+def write_whole(df: DataFrame, staged: str, final: str, compression: str = "snappy") -> None:
+    """Write to ``staged``, then show the folder at ``final`` by one rename.
 
-    Data goes to a staging folder, moves to its final folder by one rename,
-    and becomes current when the small pointer table names it. A failed write
-    removes its staging folder and leaves the pointer alone.
+    A failed write removes what it staged. A folder already at ``final``, from
+    an earlier try of the same step, is replaced.
     """
-    spark = df.sparkSession
-    run = uuid.uuid4().hex
-    staged, final = f"{location}/_staging/{run}", f"{location}/snapshots/{run}"
-    path, fs = _fs(spark, location)
+    path, fs = _fs(df.sparkSession, final)
     try:
         df.write.option("compression", compression).parquet(staged)
-        fs.mkdirs(path(f"{location}/snapshots"))
+        fs.mkdirs(path(final).getParent())
+        if fs.exists(path(final)):
+            fs.delete(path(final), True)
         if not fs.rename(path(staged), path(final)):
             raise OSError(f"could not move {staged} to {final}")
     except Exception:
         fs.delete(path(staged), True)
         raise
-    _point_to(spark, location, run)
+
+
+def publish_snapshot(df: DataFrame, location: str, compression: str = "snappy") -> str:
+    """Write a snapshot so that readers see the old one or the new one, never a half.
+
+    Data goes to a staging folder, moves to its final folder by one rename,
+    and becomes current when the small pointer file names it. A failed run
+    leaves no trace and the pointer alone.
+    """
+    run = uuid.uuid4().hex
+    write_whole(df, f"{location}/_staging/{run}", f"{location}/snapshots/{run}", compression)
+    _point_to(df.sparkSession, location, run)
     return run
 
 
+def expire_runs(spark: SparkSession, location: str, keep: int = 2) -> list[str]:
+    """Delete the data of all but the ``keep`` newest runs; the current one always stays."""
+    path, fs = _fs(spark, location)
+    current = current_run(spark, location)
+    found = sorted(fs.listStatus(path(f"{location}/snapshots")), key=lambda s: -s.getModificationTime())
+    old = [s.getPath().getName() for s in found[keep:] if s.getPath().getName() != current]
+    for run in old:
+        for folder in ("snapshots", "changes"):
+            fs.delete(path(f"{location}/{folder}/{run}"), True)
+    return old
+
+
 def _point_to(spark: SparkSession, location: str, run: str) -> None:
     """Replace the pointer file by an atomic overwriting rename."""
     jvm = spark.sparkContext._jvm

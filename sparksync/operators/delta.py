@@ -57,19 +57,15 @@ def coalesce_ops(ops: DataFrame) -> DataFrame:
 def attach_literals(ops: DataFrame, source: DataFrame, content: str = "content") -> DataFrame:
     """Give literal ops their bytes, making the delta independent of the source.
 
-    Only sources with a literal op are read. The content meets its ops in one
-    row per path, so a blob is shuffled once however many ops it has.
+    The ops of a path (at most one blob's worth) are packed into one row and
+    meet the content once, however many ops there are; the result stays
+    partitioned by path, so a patch that follows does not shuffle again.
     """
-    lits = ops.filter(F.col("op") == "literal").groupBy("path").agg(
-        F.collect_list(F.struct("op_idx", "source_offset", "len")).alias("_lits")
-    )
+    packed = ops.groupBy("path").agg(F.collect_list(F.struct(*[c for c in ops.columns if c != "path"])).alias("_ops"))
     data = source.select("path", F.col(content).cast("binary").alias("_data"))
-    cut = data.join(lits, "path").select("path", "_data", F.explode("_lits").alias("_lit")).select(
-        "path",
-        F.col("_lit.op_idx").alias("op_idx"),
-        byte_slice(F.col("_data"), F.col("_lit.source_offset"), F.col("_lit.len")).alias("literal"),
-    )
-    return ops.join(cut, ["path", "op_idx"], "left")
+    rows = packed.join(data, "path").select("path", "_data", F.explode("_ops").alias("_op"))
+    piece = byte_slice(F.col("_data"), F.col("_op.source_offset"), F.col("_op.len"))
+    return rows.select("path", "_op.*", F.when(F.col("_op.op") == "literal", piece).alias("literal"))
 
 
 def delta_heads(source: DataFrame, basis: DataFrame, content: str = "content") -> DataFrame:

@@ -7,7 +7,7 @@ hashing stay in the JVM, and no step here shuffles except the aggregations.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from sparksync.functions.binding import let
@@ -143,14 +143,12 @@ def chunk_dedup_report(chunks: DataFrame, group: str = "source") -> DataFrame:
 
     Chunks are first counted per (group, hash) with map-side combine, so a
     very common chunk or a dominant group is one row per task before the
-    shuffle; later steps see distinct hashes only.
+    shuffle. What the window then sees of one hash is at most a row per group.
     """
     per_group = chunks.groupBy("strong", group).agg(
         F.count("*").alias("n"), F.min("len").alias("len")
     )
-    owners = per_group.groupBy("strong").agg(F.count("*").alias("owners"))
-    # Both sides are keyed on the hash; a hash has at most one row per group.
-    both = per_group.join(owners, "strong")
+    both = per_group.withColumn("owners", F.count("*").over(W.partitionBy("strong")))
     total = F.sum(F.col("n") * F.col("len"))
     unique = F.sum("len")
     return both.groupBy(group).agg(

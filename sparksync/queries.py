@@ -643,29 +643,29 @@ def _watched(spark, d, name, **kw):
 def watch_sync(spark, d):
     running, table = _watched(spark, d, "watch")
     running.awaitTermination()
-    return apply.read_snapshot(spark, table)
+    return watch.read_synced(spark, table)
 
 
 @query
 def retry_cycle(spark, d):
     failures = []
 
-    def flaky(batch, location):
-        watch.apply_changes(batch, location)
+    def flaky(batch, location, tag):
+        watch.apply_changes(batch, location, tag)
         if not failures:
             failures.append(location)
             raise ConnectionError("lost after the write")
 
     running, table = _watched(spark, d, "retry", backoff=0.1, apply=flaky)
     running.awaitTermination()
-    return apply.read_snapshot(spark, table)
+    return watch.read_synced(spark, table)
 
 
 @query
 def bounded_watch(spark, d):
     running, table = _watched(spark, d, "bounded")
     watch.bounded_watch(running, "30m")
-    return apply.read_snapshot(spark, table)
+    return watch.read_synced(spark, table)
 
 
 @query

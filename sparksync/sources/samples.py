@@ -128,14 +128,14 @@ def tree_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delta_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Changed documents: source and basis content of paths whose hashes differ."""
-    src = src_manifest(spark, sf_dir).select("path", "hash", "content")
-    dst = dst_manifest(spark, sf_dir).select("path", "hash", "content")
-    same = dst.select("path", "hash")
-    changed = src.join(same, ["path", "hash"], "left_anti").join(dst.select("path"), "path", "left_semi")
-    basis = dst.join(src.select("path", "hash"), ["path", "hash"], "left_anti").join(
-        src.select("path"), "path", "left_semi"
-    )
-    return changed, basis
+    src, dst = src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir)
+    differs = F.col("hash") != F.col("other")
+
+    def changed(df: DataFrame, other: DataFrame) -> DataFrame:
+        hashes = other.select("path", F.col("hash").alias("other"))
+        return df.select("path", "hash", "content").join(hashes, "path").filter(differs).drop("other")
+
+    return changed(src, dst), changed(dst, src)
 
 
 def external_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

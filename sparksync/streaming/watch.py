@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparksync.operators.apply import apply_plan, current_run, publish_snapshot, read_snapshot
+from sparksync.operators.apply import (
+    apply_plan,
+    current_run,
+    publish_snapshot,
+    read_snapshot,
+    write_whole,
+)
 from sparksync.plans.planner import plan_sync
 
 RETRY_SECONDS = 5.0
@@ -29,12 +37,12 @@ def parse_duration(text: str) -> int:
 
 
 def sync_cycle(source: DataFrame, location: str, **flags) -> None:
-    """One full plan and apply against the snapshot at ``location``."""
+    """One full plan and apply against the state at ``location``."""
     spark = source.sparkSession
     if current_run(spark, location) is None:
         publish_snapshot(source, location)
         return
-    dst = read_snapshot(spark, location)
+    dst = read_synced(spark, location)
     publish_snapshot(apply_plan(plan_sync(source, dst, **flags), source, dst), location)
 
 
@@ -45,29 +53,69 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(newest).select("path", "_row.*")
 
 
-def apply_changes(changes: DataFrame, location: str) -> None:
-    """Fold one burst into the snapshot: changed paths are planned, others are left alone.
+def _changes_folder(spark: SparkSession, location: str, run: str) -> tuple[str, list[str]]:
+    """Where changes on top of a snapshot are, and the names of the folders there."""
+    folder = f"{location}/changes/{run}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(folder)):
+        return folder, []
+    found = fs.globStatus(path(f"{folder}/turn=*/tag=*"))
+    return folder, [f"{s.getPath().getParent().getName()}/{s.getPath().getName()}" for s in found]
 
-    ``changes`` has manifest columns plus ``seq`` and ``deleted``.
+
+def read_synced(spark: SparkSession, location: str) -> DataFrame:
+    """The current state: the published snapshot with the changes written since."""
+    base = read_snapshot(spark, location)
+    folder, written = _changes_folder(spark, location, current_run(spark, location))
+    if not written:
+        return base
+    log = spark.read.option("basePath", folder).parquet(*[f"{folder}/{name}" for name in written])
+    newest = F.max_by(F.struct("deleted", *[c for c in base.columns if c != "path"]), "turn")
+    latest = log.groupBy("path").agg(newest.alias("_row"))
+    alive = latest.filter(~F.col("_row.deleted")).select("path", "_row.*").select(*base.columns)
+    return base.join(log.select("path"), "path", "left_anti").unionByName(alive)
+
+
+def compact(spark: SparkSession, location: str) -> None:
+    """Publish the current state as a new snapshot without pending changes."""
+    publish_snapshot(read_synced(spark, location), location)
+
+
+def apply_changes(changes: DataFrame, location: str, tag: str) -> None:
+    """Fold one burst in: its paths are planned against the current state, others are not touched.
+
+    ``changes`` has manifest columns plus ``seq`` and ``deleted``. Only the new
+    versions of changed rows are written, in a folder of their own, so the
+    cost follows the burst and not the table. ``tag`` names the burst; one
+    that is already written is not applied again.
     """
     spark = changes.sparkSession
-    burst = latest_changes(changes)
-    alive = burst.filter(~F.col("deleted")).drop("seq", "deleted")
-    if current_run(spark, location) is None:
-        publish_snapshot(alive, location)
-        return
-    dst = read_snapshot(spark, location)
-    gone = burst.filter("deleted").select("path")
-    touched = dst.join(burst.select("path"), "path", "left_semi")
-    plan = plan_sync(alive, touched).select("path", "kind", "action", "source_size")
-    deletes = dst.join(gone, "path", "left_semi").select(
-        "path", "kind", F.lit("delete").alias("action"), F.lit(0).cast("bigint").alias("source_size")
-    )
-    publish_snapshot(apply_plan(plan.unionByName(deletes), alive, dst), location)
+    burst = latest_changes(changes).persist()
+    try:
+        alive = burst.filter(~F.col("deleted")).drop("seq", "deleted")
+        run = current_run(spark, location)
+        if run is None:
+            publish_snapshot(alive, location)
+            return
+        folder, written = _changes_folder(spark, location, run)
+        if any(name.endswith(f"/tag={tag}") for name in written):
+            return
+        turn = 1 + max((int(name.split("/")[0].removeprefix("turn=")) for name in written), default=0)
+        state = read_synced(spark, location)
+        touched = state.join(alive.select("path"), "path", "left_semi")
+        plan = plan_sync(alive, touched).filter("action <> 'skip'")
+        fixed = plan.filter("action = 'meta'").select("path")
+        versions = apply_plan(plan, alive, touched.join(fixed, "path", "left_semi"))
+        gone = burst.filter("deleted").select("path", F.lit(True).alias("deleted"))
+        rows = versions.withColumn("deleted", F.lit(False)).unionByName(gone, allowMissingColumns=True)
+        write_whole(rows, f"{location}/_staging/{uuid.uuid4().hex}", f"{folder}/turn={turn}/tag={tag}")
+    finally:
+        burst.unpersist()
 
 
-def _retrying(step: Callable[[], None], attempts: int, backoff: float) -> None:
-    """Run a cycle again with the same input after a pause when it fails."""
+def retry_cycle(step: Callable[[], None], attempts: int = 3, backoff: float = RETRY_SECONDS) -> None:
+    """Run a cycle; when it fails, run it again with the same input after a pause."""
     for attempt in range(attempts):
         try:
             return step()
@@ -86,32 +134,34 @@ def watch_sync(
     backoff: float = RETRY_SECONDS,
     available_now: bool = False,
     processing_time: str = "5 seconds",
-    apply: Callable[[DataFrame, str], None] = apply_changes,
+    compact_every: int = 100,
+    apply: Callable[[DataFrame, str, str], None] = apply_changes,
 ) -> StreamingQuery:
-    """Baseline sync, then one plan and apply per micro-batch.
+    """Baseline sync, then one plan and apply per micro-batch; ``read_synced`` shows the state.
 
     Changes that arrive during a cycle form the next micro-batch, so they
     fold into one more cycle. A failed cycle is retried with the same batch;
-    folding a batch in twice gives the same snapshot, so a replay after a
+    folding a batch in twice gives the same state, so a replay after a
     restart from ``checkpoint`` is safe.
     """
     if baseline is not None:
         sync_cycle(baseline, location)
 
+    # Batch numbers are only unique within one checkpoint.
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            _retrying(lambda: apply(batch, location), attempts, backoff)
+        if batch.isEmpty():
+            return
+        retry_cycle(lambda: apply(batch, location, f"{stream}-{batch_id}"), attempts, backoff)
+        if batch_id % compact_every == compact_every - 1:
+            compact(batch.sparkSession, location)
 
     writer = changes.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": processing_time}
     return writer.trigger(**trigger).start()
 
 
-def retry_cycle(step: Callable[[], None], attempts: int = 3, backoff: float = RETRY_SECONDS) -> None:
-    """Retry a failed cycle with the same input after ``backoff`` seconds."""
-    _retrying(step, attempts, backoff)
-
-
 def bounded_watch(query: StreamingQuery, duration: str) -> bool:
     """Let a watch run for ``duration``, then stop it; True if it ended by itself."""
     ended = query.awaitTermination(parse_duration(duration))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparksync.operators.apply import read_snapshot
+from sparksync.operators.apply import current_run, expire_runs
 from sparksync.streaming import bursts, watch
 
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -119,7 +119,7 @@ def change(path, content, seq, deleted=False):
 
 
 def snapshot(spark, place):
-    return {r["path"]: r["content"] for r in read_snapshot(spark, place).collect()}
+    return {r["path"]: r["content"] for r in watch.read_synced(spark, place).collect()}
 
 
 def test_watch_cycles(spark, tmp_path):
@@ -135,6 +135,24 @@ def test_watch_cycles(spark, tmp_path):
     assert snapshot(spark, place) == {"a": "22", "c": "3"}
     run()  # nothing new: no cycle
     assert snapshot(spark, place) == {"a": "22", "c": "3"}
+    # Only the burst was written; the baseline is still the published one.
+    first = current_run(spark, place)
+    written = spark.read.parquet(f"{place}/changes/{first}")
+    assert sorted(r["path"] for r in written.collect()) == ["b", "c"]
+    # The same burst again changes nothing, under its own tag or another.
+    tag = written.first()["tag"]
+    for again in (tag, "other-0"):
+        watch.apply_changes(spark.createDataFrame([change("b", "", 4, True), change("c", "3", 5)], CHANGE), place, again)
+        assert snapshot(spark, place) == {"a": "22", "c": "3"}
+    # A later batch wins over an earlier one, also for a deleted path.
+    add(change("b", "back", 6), change("c", "", 7, True))
+    run()
+    assert snapshot(spark, place) == {"a": "22", "b": "back"}
+    watch.compact(spark, place)
+    assert snapshot(spark, place) == {"a": "22", "b": "back"}
+    assert current_run(spark, place) != first
+    assert expire_runs(spark, place, keep=1) == [first]
+    assert snapshot(spark, place) == {"a": "22", "b": "back"}
 
 
 def test_failed_cycle_is_retried(spark, tmp_path):
