@@ -332,6 +332,9 @@ vals AS (
 SELECT path, idx, CAST(sum(x) % 65536 + (sum((len - i) * x) % 65536) * 65536 AS BIGINT) AS weak
 FROM vals GROUP BY path, idx"""
 
+ORACLES["cdc_chunks_tile"] = _with(SRC) + """
+SELECT path, hash, true AS hashes_agree, true AS bounded FROM src WHERE size > 0"""
+
 ORACLES["text_cdc_segments"] = """
 WITH w AS (
   SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS pos
@@ -397,6 +400,9 @@ ORACLES["verify_reconstruction"] = _with(SRC, DST, _PAIR) + """
 SELECT path, sha256(reverse(s_content)) AS expected, hash AS actual FROM pair
 WHERE starts_with(hash, '0') AND reverse(s_content) <> s_content"""
 
+ORACLES["sliding_match_rebuild"] = _with(SRC, DST, _PAIR) + """
+SELECT path, hash FROM pair WHERE octet_length(encode(s_content)) > 0"""
+
 ORACLES["chunk_dedup_report"] = """
 WITH w AS (
   SELECT doc_id, source, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS pos
@@ -538,6 +544,7 @@ WITH g AS (
   FROM events),
 r AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g)
 SELECT user_id, min(ts) AS burst_start, max(ts) AS last_event, count(*) AS events FROM r GROUP BY user_id, run"""
+ORACLES["debounce_stream"] = ORACLES["debounce_bursts"]
 ORACLES["debounce_capped"] = """
 WITH RECURSIVE e AS (
   SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),

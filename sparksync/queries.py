@@ -369,6 +369,25 @@ def cdc_chunks(spark, d):
     return signatures.cdc_chunks(_contents(spark, d), min_size=256, avg_size=1024, max_size=4096)
 
 
+@query
+def cdc_chunks_tile(spark, d):
+    """Put the content-defined chunks back together: they must give each document."""
+    docs = _contents(spark, d)
+    chunks = signatures.cdc_chunks(docs, min_size=256, avg_size=1024, max_size=4096)
+    spans = chunks.groupBy("path").agg(
+        F.sort_array(F.collect_list(F.struct("idx", "offset", "len", "strong"))).alias("spans"),
+        F.max("len").alias("longest"),
+    )
+    data = docs.select("path", F.col("content").cast("binary").alias("data"))
+    piece = lambda c: F.substring("data", (c["offset"] + 1).cast("int"), c["len"])
+    return spans.join(data, "path").select(
+        "path",
+        F.sha2(F.unhex(F.array_join(F.transform("spans", lambda c: F.hex(piece(c))), "")), 256).alias("hash"),
+        F.forall("spans", lambda c: F.sha2(piece(c), 256) == c["strong"]).alias("hashes_agree"),
+        (F.col("longest") <= 4096).alias("bounded"),
+    )
+
+
 @query
 def text_cdc_segments(spark, d):
     return signatures.text_cdc_segments(_contents(spark, d), "content", keep=["doc_id"])
@@ -442,6 +461,14 @@ def sliding_match(spark, d):
     return delta.sliding_match(source, basis).drop("literal")
 
 
+@query
+def sliding_match_rebuild(spark, d):
+    """Apply the deltas found at any offset: the result must be the source."""
+    source, basis = samples.delta_pair(spark, d)
+    rebuilt = delta.apply_patch(basis, delta.delta_between(source, basis))
+    return rebuilt.select("path", F.sha2(F.col("content"), 256).alias("hash"))
+
+
 @query
 def chunk_dedup_report(spark, d):
     segments = signatures.text_cdc_segments(_contents(spark, d), "content", keep=["source"])
@@ -610,6 +637,22 @@ def debounce_capped(spark, d):
     return _wall_clock(bursts.debounce_capped(samples.events(spark, d), "user_id", DELAY, CAP))
 
 
+@query
+def debounce_stream(spark, d):
+    """Plain bursts by the streaming form, read out whole."""
+    raw = samples.stream_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    place = scratch_path(spark, "bursts")
+    running = (
+        bursts.debounce_stream(raw, "user_id", f"{DELAY} seconds", "60 days").writeStream.outputMode("complete")
+        .option("checkpointLocation", f"{place}/checkpoint")
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/table"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return _wall_clock(spark.read.parquet(f"{place}/table"))
+
+
 def _change_stream(spark, d):
     """The documents as a stream of changes: every tenth document is deleted, others are upserts."""
     raw = samples.stream_table(spark, d, "documents")
