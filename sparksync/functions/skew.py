@@ -26,10 +26,20 @@ def hot_keys(df: DataFrame, key: str, most: int = HOT_KEYS, min_rows: int = HOT_
 
 
 def hot_of_counts(
-    counts: DataFrame, key: str, n: str, most: int = HOT_KEYS, min_rows: int = HOT_MIN_ROWS
+    counts: DataFrame,
+    key: str,
+    n: str,
+    most: int = HOT_KEYS,
+    min_rows: int = HOT_MIN_ROWS,
+    ties: list[str] = (),
 ) -> DataFrame:
-    """``hot_keys`` where the rows per key are already counted."""
-    return counts.filter(F.col(n) >= min_rows).orderBy(F.desc(n)).limit(most).select(key)
+    """``hot_keys`` where the rows per key are already counted.
+
+    ``ties`` names further columns of ``counts`` to order by. Naming all of
+    them lets Spark reuse the shuffle that ``counts`` has elsewhere in a query.
+    """
+    order = [F.desc(n), *ties, key]
+    return counts.filter(F.col(n) >= min_rows).orderBy(*order).limit(most).select(key)
 
 
 def lookup_join(

@@ -7,7 +7,7 @@ hashing stay in the JVM, and no step here shuffles except the aggregations.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from sparksync.functions.binding import let
@@ -141,21 +141,34 @@ def signature_index(signature: DataFrame) -> DataFrame:
 def chunk_dedup_report(chunks: DataFrame, group: str = "source") -> DataFrame:
     """Per group: chunks, distinct chunks, duplicate bytes, and bytes another group holds too.
 
-    Chunks are first counted per (group, hash) with map-side combine, so a
+    Chunks are first counted per (hash, group) with map-side combine, so a
     very common chunk or a dominant group is one row per task before the
-    shuffle. What the window then sees of one hash is at most a row per group.
+    shuffle. A chunk of one owner names that owner in its aggregate; what
+    remains of a group's distinct bytes is shared. So no copy is ever joined
+    back to its hash.
     """
     per_group = chunks.groupBy("strong", group).agg(
         F.count("*").alias("n"), F.min("len").alias("len")
     )
-    both = per_group.withColumn("owners", F.count("*").over(W.partitionBy("strong")))
-    total = F.sum(F.col("n") * F.col("len"))
-    unique = F.sum("len")
-    return both.groupBy(group).agg(
+    totals = per_group.groupBy(group).agg(
         F.sum("n").alias("chunks"),
         F.count("*").alias("unique_chunks"),
-        total.alias("bytes"),
-        (total - unique).alias("duplicate_bytes"),
-        F.coalesce(F.sum(F.when(F.col("owners") > 1, F.col("len"))), F.lit(0)).alias("shared_bytes"),
-        F.round(unique / total, 6).alias("dedup_ratio"),
+        F.sum(F.col("n") * F.col("len")).alias("bytes"),
+        F.sum("len").alias("_unique"),
+    )
+    own = (
+        per_group.groupBy("strong")
+        .agg(F.count("*").alias("owners"), F.min(group).alias(group), F.min("len").alias("len"))
+        .filter("owners = 1")
+        .groupBy(group)
+        .agg(F.sum("len").alias("_own"))
+    )
+    return totals.join(own, group, "left").select(
+        group,
+        "chunks",
+        "unique_chunks",
+        "bytes",
+        (F.col("bytes") - F.col("_unique")).alias("duplicate_bytes"),
+        (F.col("_unique") - F.coalesce("_own", F.lit(0))).alias("shared_bytes"),
+        F.round(F.col("_unique") / F.col("bytes"), 6).alias("dedup_ratio"),
     )

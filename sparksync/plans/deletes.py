@@ -87,7 +87,9 @@ def prune_empty_dirs(dst: DataFrame, deletes: DataFrame) -> DataFrame:
     # go, so it occupies its parents like a file does.
     idle = left.filter(F.col("kind") == "dir").join(touched, "path", "left_anti")
     files = left.filter(F.col("kind") != "dir")
-    occupied = files.select("path").union(idle.select("path")).select(
-        F.explode(paths.ancestors(F.col("path"))).alias("path")
+    occupied = (
+        files.select("path").union(idle.select("path"))
+        .select(F.explode(paths.ancestors(F.col("path"))).alias("path"))
+        .distinct()
     )
     return touched.join(occupied, "path", "left_anti")

@@ -230,7 +230,7 @@ def assign_hardlinks(src: DataFrame, dst: DataFrame, **flags) -> DataFrame:
         .filter("n > 1")
     )
     reps = groups.select(F.col("inode").alias("_group"), F.col("rep.path").alias("_rep"))
-    hot = hot_of_counts(groups, "inode", "n").select(F.col("inode").alias("_group"))
+    hot = hot_of_counts(groups, "inode", "n", ties=["rep"]).select(F.col("inode").alias("_group"))
     # Only transferred members can become links; other rows get no group and
     # so spread freely.
     wanting = plan.withColumn("_group", F.when(member & transferred, F.col("inode")))

@@ -20,16 +20,29 @@ _KINDS = {
     stat.S_IFREG: "file", stat.S_IFDIR: "dir", stat.S_IFLNK: "symlink", stat.S_IFIFO: "fifo",
     stat.S_IFSOCK: "socket", stat.S_IFBLK: "block", stat.S_IFCHR: "char",
 }
+# Stores that tasks can list through pyarrow.
+_REMOTE = ("hdfs", "s3", "gs", "abfs", "abfss")
 Batches = Iterator[pd.DataFrame]
 
 
+def _scheme(root: str) -> str:
+    return root.split(":", 1)[0] if "://" in root or root.startswith("file:") else "file"
+
+
+def can_list(root: str) -> bool:
+    """Whether tasks can list ``root`` on their own."""
+    return _scheme(root) in ("file", *_REMOTE)
+
+
 def _open(root: str):
     """The file system of ``root`` and its path there; local paths give None."""
-    if "://" not in root or root.startswith("file:"):
-        return None, "/" + root.removeprefix("file:").lstrip("/") if root.startswith(("file:", "/")) else os.path.abspath(root)
-    from pyarrow import fs
+    if _scheme(root) != "file":
+        from pyarrow import fs
 
-    return fs.FileSystem.from_uri(root)
+        return fs.FileSystem.from_uri(root)
+    if root.startswith("file:"):
+        return None, "/" + root.removeprefix("file:").lstrip("/")
+    return None, os.path.abspath(root)
 
 
 def _local_entries(base: str, rel: str) -> Iterator[tuple]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sparksync.functions import globs, paths
 from sparksync.functions.content import strong_hash
 from sparksync.session import checkpointed
-from sparksync.sources.listing import ENTRY_SCHEMA, directory_lister, file_hasher
+from sparksync.sources.listing import ENTRY_SCHEMA, can_list, directory_lister, file_hasher
 
 KINDS = ("file", "dir", "symlink", "fifo", "socket", "block", "char")
 
@@ -53,8 +53,11 @@ def scan_manifest(
 
     Directories are listed by the executors, one job per level of the tree,
     and a directory the patterns exclude is never entered. ``root`` must be
-    reachable from every executor.
+    reachable from every executor. A store only Spark can list is left to
+    ``indexed_manifest``.
     """
+    if not can_list(root):
+        return indexed_manifest(spark, root, recursive, includes, excludes)
     keep = globs.passes(F.col("path"), includes, excludes)
     level = spark.createDataFrame([("",)], "path string")
     levels = []
@@ -78,11 +81,54 @@ def hash_manifest(
     excludes: list[str] = (),
 ) -> DataFrame:
     """``scan_manifest`` plus a content hash of regular files, read as streams of any length."""
+    if not can_list(root):
+        return indexed_manifest(spark, root, recursive, includes, excludes, hashed=True)
     entries = scan_manifest(spark, root, recursive, includes, excludes)
     dealt = entries.repartition(spark.sparkContext.defaultParallelism * 4)
     return dealt.mapInPandas(file_hasher(root), ENTRY_SCHEMA + ", hash string")
 
 
+def indexed_manifest(
+    spark: SparkSession,
+    root: str,
+    recursive: bool = True,
+    includes: list[str] = (),
+    excludes: list[str] = (),
+    hashed: bool = False,
+) -> DataFrame:
+    """Regular files below ``root`` as Spark's own file index sees them.
+
+    The index works on every store Spark reads, but hides names that start
+    with a dot or underscore, follows links, leaves out empty files, and gives
+    milliseconds.
+    Without ``hashed`` no content is read.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", str(recursive).lower())
+        .load(root)
+    )
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    prefix = base.getFileSystem(conf).makeQualified(base).toString().rstrip("/") + "/"
+    # A local path is spelt 'file:/' or 'file:///' in different places.
+    one_slash = lambda p: F.regexp_replace(p, r"\Afile:/+", "file:/")
+    rel = F.substring(one_slash(F.col("path")), F.char_length(one_slash(F.lit(prefix))) + 1, F.lit(1 << 30))
+    visible = F.forall(
+        paths.ancestors(F.col("path"), include_self=True), lambda p: globs.passes(p, includes, excludes)
+    )
+    micros = F.unix_micros("modificationTime")
+    rows = files.select(
+        rel.alias("path"),
+        F.lit("file").alias("kind"),
+        F.col("length").alias("size"),
+        F.floor(micros / 1_000_000).cast("bigint").alias("mtime_sec"),
+        (F.pmod(micros, F.lit(1_000_000)) * 1000).cast("int").alias("mtime_nsec"),
+        *([strong_hash(F.col("content")).alias("hash")] if hashed else []),
+    )
+    return rows.filter(visible) if includes or excludes else rows
+
+
 def hash_table_manifest(manifest: DataFrame, content: str = "content") -> DataFrame:
     """Add the content hash to an inventory table; only regular files are hashed."""
     data = F.col(content).cast("binary")

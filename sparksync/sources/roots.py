@@ -76,9 +76,10 @@ def select_file_list(manifest: DataFrame, listed: DataFrame) -> tuple[DataFrame,
 
     A directory may be implied by the entries below it.
     """
+    # Distinct first: a directory above many entries would be one hot key.
     known = manifest.select(
         F.explode(paths.ancestors(F.col("path"), include_self=True)).alias("root")
-    )
+    ).distinct()
     present = listed.join(known, "root", "left_semi")
     missing = listed.join(known, "root", "left_anti").distinct()
     return entries_under(manifest, topmost_roots(present)), missing

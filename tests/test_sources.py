@@ -46,6 +46,18 @@ def test_hash_manifest(spark, tree):
     assert rows["sub"] is None and rows["l"] is None
 
 
+def test_indexed_manifest(spark, tree):
+    rows = {r["path"]: r["size"] for r in manifest.indexed_manifest(spark, tree).collect()}
+    # Links are followed, so the linked directory shows up twice.
+    assert rows == {"a.txt": 3, "sub/b c.txt": 7, "sub/deep/é.bin": 2, "l/b c.txt": 7, "l/deep/é.bin": 2}
+    plan = manifest.indexed_manifest(spark, tree)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in plan
+    flat = manifest.indexed_manifest(spark, tree, recursive=False, hashed=True).collect()
+    assert [(r["path"], r["hash"]) for r in flat] == [("a.txt", hashlib.sha256(b"one").hexdigest())]
+    kept = manifest.indexed_manifest(spark, "file://" + tree, includes=["é.bin"], excludes=["deep", "l"])
+    assert {r["path"] for r in kept.collect()} == {"a.txt", "sub/b c.txt"}
+
+
 def test_scanned_trees_sync(spark, tree, tmp_path):
     import shutil
 
