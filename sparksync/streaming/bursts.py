@@ -30,14 +30,13 @@ def _sliced(events: DataFrame, key: str, length: int) -> DataFrame:
     )
 
 
-def debounce_bursts(events: DataFrame, key: str, delay: float) -> DataFrame:
-    """Batch bursts per key: a gap longer than ``delay`` seconds starts a new one.
+def _quiet_islands(events: DataFrame, key: str, quiet: int) -> DataFrame:
+    """Runs of events without a gap longer than ``quiet``: key, first, last, n.
 
-    Bursts that touch neither end of a slice are final at once. The first and
-    last burst of each (key, slice) are merged across slices in a second,
-    much smaller pass.
+    Runs that touch neither end of a slice are final at once. The first and
+    last run of each (key, slice) are merged across slices in a second, much
+    smaller pass.
     """
-    quiet = _micros(delay)
     local = W.partitionBy("key", "slice")
     timeline = local.orderBy("us")
     rows = (
@@ -58,9 +57,13 @@ def debounce_bursts(events: DataFrame, key: str, delay: float) -> DataFrame:
         .groupBy("key", "_run")
         .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     )
-    inner = islands.filter(~F.col("_edge"))
     cols = ["key", "first", "last", "n"]
-    return _as_bursts(edges.select(*cols).union(inner.select(*cols)), key)
+    return edges.select(*cols).union(islands.filter(~F.col("_edge")).select(*cols))
+
+
+def debounce_bursts(events: DataFrame, key: str, delay: float) -> DataFrame:
+    """Batch bursts per key: a gap longer than ``delay`` seconds starts a new one."""
+    return _as_bursts(_quiet_islands(events, key, _micros(delay)), key)
 
 
 def _as_bursts(df: DataFrame, key: str) -> DataFrame:
@@ -182,11 +185,12 @@ def debounce_capped(
 ) -> DataFrame:
     """Batch bursts that also end ``cap`` seconds after their start; the next event opens a new one.
 
-    Where a capped burst ends depends on where it began, so slices cannot be
-    cut on their own. Three passes make it parallel and exact: (1) each
-    (key, slice) tabulates the outcome for every possible entry, (2) a key's
-    slices are chained through these small tables, (3) each (key, slice) is
-    cut with its now known entry. Passes 1 and 3 read the same shuffle.
+    A run of events shorter than ``cap`` is a burst as it is. Only longer runs
+    are cut, and there the end of a burst depends on where it began, so time
+    slices cannot be cut on their own. Three passes make it parallel and
+    exact: (1) each (key, slice) tabulates the outcome for every possible
+    entry, (2) a key's slices are chained through these small tables, (3) each
+    (key, slice) is cut with its now known entry.
     """
     quiet, limit = _micros(delay), _micros(cap)
 
@@ -203,8 +207,21 @@ def debounce_capped(
         opened = (None if pd.isna(c) else int(c) for c in carried)
         return pd.Series([_cut(us, c, quiet, limit) for us, c in zip(times, opened)])
 
+    length = max(quiet, limit) * SLICE_FACTOR
+    islands = _quiet_islands(events, key, quiet)
+    spans = F.col("last") - F.col("first")
+    # Slices that a long run reaches, with the long runs there: at most a few
+    # dozen, since each is at least a cap long.
+    slice_of = lambda c: F.floor(F.col(c) / length).cast("bigint")
+    reached = (
+        islands.filter(spans >= limit)
+        .withColumn("slice", F.explode(F.sequence(slice_of("first"), slice_of("last"))))
+        .groupBy("key", "slice")
+        .agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    )
     slices = (
-        _sliced(events, key, max(quiet, limit) * SLICE_FACTOR)
+        _sliced(events, key, length)
+        .join(reached.select("key", "slice"), ["key", "slice"], "left_semi")
         .groupBy("key", "slice")
         .agg(F.sort_array(F.collect_list("us")).alias("times"))
     )
@@ -216,13 +233,21 @@ def debounce_capped(
     entries = tables.select("key", "tables.slice", carry("tables").alias("carried")).select(
         "key", F.explode(F.arrays_zip("slice", "carried")).alias("e")
     ).select("key", "e.slice", "e.carried")
-    pieces = slices.join(entries, ["key", "slice"]).select(
-        "key", F.explode(cut("times", "carried")).alias("p")
+    # A slice may also hold short runs; those are taken whole, not from here.
+    in_long_run = F.exists(
+        "runs", lambda r: (r["first"] <= F.col("p.first")) & (F.col("p.first") <= r["last"])
+    )
+    pieces = (
+        slices.join(entries, ["key", "slice"])
+        .join(reached, ["key", "slice"])
+        .select("key", "runs", F.explode(cut("times", "carried")).alias("p"))
+        .filter(in_long_run)
     )
     merged = pieces.groupBy("key", "p.first").agg(
         F.max("p.last").alias("last"), F.sum("p.n").alias("n")
     )
-    return _as_bursts(merged, key)
+    short = islands.filter(spans < limit)
+    return _as_bursts(short.unionByName(merged), key)
 
 
 class CappedBursts(StatefulProcessor):
