@@ -147,8 +147,12 @@ def chunk_dedup_report(chunks: DataFrame, group: str = "source") -> DataFrame:
     remains of a group's distinct bytes is shared. So no copy is ever joined
     back to its hash.
     """
-    per_group = chunks.groupBy("strong", group).agg(
-        F.count("*").alias("n"), F.min("len").alias("len")
+    # The filter drops nothing; it keeps the count in both uses below, so that
+    # they are the same to Spark and the chunks are made and shuffled once.
+    per_group = (
+        chunks.groupBy("strong", group)
+        .agg(F.count("*").alias("n"), F.min("len").alias("len"))
+        .filter("n > 0")
     )
     totals = per_group.groupBy(group).agg(
         F.sum("n").alias("chunks"),
