@@ -623,7 +623,7 @@ DELAY, CAP = 6 * 3600, 12 * 3600
 def _wall_clock(df):
     """Times as the event table stores them, without a zone."""
     for c in ("burst_start", "last_event"):
-        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+        df = df.withColumn(c, samples.as_wall_clock(F.col(c)))
     return df
 
 
@@ -640,7 +640,7 @@ def debounce_capped(spark, d):
 @query
 def debounce_stream(spark, d):
     """Plain bursts by the streaming form, read out whole."""
-    raw = samples.stream_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    raw = samples.stream_table(spark, d, "events").withColumn("ts", samples.as_instant(F.col("ts")))
     place = scratch_path(spark, "bursts")
     running = (
         bursts.debounce_stream(raw, "user_id", f"{DELAY} seconds", "60 days").writeStream.outputMode("complete")

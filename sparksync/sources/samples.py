@@ -155,9 +155,19 @@ def external_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_instant(wall_clock: Column) -> Column:
+    """A stored UTC wall clock as an instant, whatever the session's time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall_clock).cast("timestamp")
+
+
+def as_wall_clock(instant: Column) -> Column:
+    """The reverse of ``as_instant``."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table with an instant-typed timestamp, as watermarks need it."""
-    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").withColumn("ts", as_instant(F.col("ts")))
 
 
 def progress_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
