@@ -1,8 +1,8 @@
 """Filter patterns, path expressions, link and permission decisions."""
 
+import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from sparksync.functions import globs, paths
@@ -10,25 +10,28 @@ from sparksync.operators import filters, links
 
 FILTER_CASES = [
     # (excludes, includes, passing, hidden)
-    (["*.tmp"], [], ["sub/b.txt"], ["a.tmp", "sub/b.tmp"]),
-    (["?x"], [], ["aax"], ["ax"]),
-    (["/build"], [], ["sub/build", "builder"], ["build", "build/x.rs"]),
-    (["src/*.rs"], [], ["src/main.c"], ["src/main.rs", "a/b/src/main.rs"]),
-    (["rc/*.rs"], [], ["rc/a.c"], ["src/main.rs"]),
-    (["*.tmp"], ["keep.tmp"], ["keep.tmp", "other.txt"], ["other.tmp"]),
-    (["**/generated"], [], ["a/b/keep"], ["generated", "a/generated", "a/b/generated"]),
-    (["b/c"], [], ["a/b"], ["a/b/c", "a/b/cd/e"]),
-    (["/a*/b"], [], ["x/a/b"], ["a1/b", "a/x/b", "a*/b/c"]),
+    (["*.log"], [], ["logs/app.txt", "log"], ["app.log", "logs/app.log"]),
+    (["v?"], [], ["v", "v10"], ["v1", "old/v2"]),
+    (["/dist"], [], ["web/dist", "distant"], ["dist", "dist/app.js"]),
+    (["docs/*.md"], [], ["docs/a.html"], ["docs/a.md", "x/y/docs/a.md", "docs/deep/a.md"]),
+    (["ocs/*.md"], [], ["ocs/a.html"], ["docs/a.md"]),
+    (["*.log"], ["audit.log"], ["audit.log", "a.txt", "x/audit.log"], ["app.log"]),
+    (["**/cache"], [], ["x/cached", "x/y/z"], ["cache", "x/cache", "x/y/cache"]),
+    (["q/r"], [], ["q/s"], ["p/q/r", "p/q/rs/t"]),
+    (["/m*/n"], [], ["x/m/n"], ["m1/n", "m/x/n", "m*/n/o"]),
     (["/"], [], ["a"], []),
-    (["a.c", "(x)"], [], ["abc", "x"], ["a.c", "(x)"]),
-    (["target/"], [], ["target/x"], ["target", "a/target"]),
+    (["x.y", "[z]"], [], ["xxy", "z"], ["x.y", "[z]"]),
+    (["out/"], [], ["out/x"], ["out", "a/out"]),
 ]
 
-GLOBS = [
-    ("a*b", "ab", True), ("a*b", "axxb", True), ("*a", "ba", True), ("a*", "a", True), ("*a*", "ba", True),
-    ("*a*b*", "xaybz", True), ("a*b*c", "abc", True), ("*?", "x", True), ("*a?b*", "zzaybzz", True),
-    ("a*c", "ab", False), ("*?", "", False), ("?x", "xy", False), ("a*b", "ba", False), ("ab", "abc", False),
-]
+
+def wildcard(pattern, text):
+    """Full match of a pattern by trying every split at a star."""
+    if not pattern:
+        return not text
+    if pattern[0] == "*":
+        return any(wildcard(pattern[1:], text[i:]) for i in range(len(text) + 1))
+    return bool(text) and pattern[0] in ("?", text[0]) and wildcard(pattern[1:], text[1:])
 
 
 def test_filter_cases(spark):
@@ -38,9 +41,16 @@ def test_filter_cases(spark):
         assert got == set(passing), (excludes, includes)
 
 
-@pytest.mark.parametrize("pattern,text,want", GLOBS)
-def test_glob_language(pattern, text, want):
-    assert bool(re.fullmatch(globs.glob_regex(pattern), text)) is want
+def test_glob_language():
+    rnd = random.Random(3)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randrange(7)))
+    outcomes = set()
+    for _ in range(3000):
+        pattern, text = word("ab/*?."), word("ab/.")
+        want = wildcard(pattern, text)
+        assert bool(re.fullmatch(globs.glob_regex(pattern), text)) is want, (pattern, text)
+        outcomes.add(want)
+    assert outcomes == {True, False}
 
 
 def test_tree_filter_prunes(spark):

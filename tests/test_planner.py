@@ -94,22 +94,22 @@ def test_create_and_existing(spark):
 
 
 def test_delete_scope(spark):
-    dst = [entry(p) for p in ("data/old.txt", "data/sub/deep.txt", "unrelated.txt", "data.txt")]
-    scoped = actions(spark, [], dst, delete=True, delete_scope=["data/old.txt", "data\\sub"])
-    assert scoped == {"data/old.txt": "delete", "data/sub/deep.txt": "delete"}
-    assert len(actions(spark, [], dst, delete=True)) == 4
+    dst = [entry(p) for p in ("lake/raw/a", "lake/raw/x/b", "lake/rawer/c", "lake/one", "lake/one.bak", "else")]
+    scoped = actions(spark, [], dst, delete=True, delete_scope=["lake\\raw", "lake/one"])
+    assert set(scoped) == {"lake/raw/a", "lake/raw/x/b", "lake/one"}
+    assert len(actions(spark, [], dst, delete=True)) == 6
     assert actions(spark, [], dst) == {}
 
 
 def test_protect_from_delete(spark):
-    paths = ["extdir", "extdir/f", "a/b/c/d", "extdir2", "a/bc", "x/y", "target/x"]
+    paths = ["mnt", "mnt/f", "p/q/r/s", "mnt2", "p/qr", "k/l", "hidden/x"]
     gone = spark.createDataFrame([(p, "file") for p in paths], "path string, kind string")
-    skipped = spark.createDataFrame([("extdir",), ("a/b",), ("x/y/z",)], "path string")
+    skipped = spark.createDataFrame([("mnt",), ("p/q",), ("k/l/m",)], "path string")
     left = lambda **kw: {
-        r["path"] for r in deletes.protect_from_delete(gone, skipped, excludes=["target"], **kw).collect()
+        r["path"] for r in deletes.protect_from_delete(gone, skipped, excludes=["hidden"], **kw).collect()
     }
-    assert left() == {"extdir2", "a/bc", "x/y", "target/x"}
-    assert left(protect_subtrees=True) == {"extdir2", "a/bc", "x/y"}
+    assert left() == {"mnt2", "p/qr", "k/l", "hidden/x"}
+    assert left(protect_subtrees=True) == {"mnt2", "p/qr", "k/l"}
 
 
 def test_delete_guard(spark):
@@ -159,20 +159,23 @@ def test_cross_basis_pairs(spark):
         )
         return {r["path"]: r["basis_path"] for r in pairing.cross_basis_pairs(plan, min_size).collect()}
 
-    assert pairs([("a/1.iso", "create", 1_000_000), ("a/1.x.iso", "create", 1_100_000)]) == {"a/1.x.iso": "a/1.iso"}
-    # The dotted name sorts first, so the plain one finds it as extending stem.
-    assert pairs([("a/1.1.iso", "create", 1_200_000), ("a/1.iso", "create", 1_000_000)]) == {"a/1.iso": "a/1.1.iso"}
-    assert pairs([("a/1.iso", "create", 1_000_000), ("b/1.1.iso", "create", 1_100_000)]) == {}
-    assert pairs([("a/1.bin", "create", 1_000_000), ("a/1.1.iso", "create", 1_100_000)]) == {}
-    assert pairs([("a/1.1.iso", "create", 3_000_000), ("a/1.iso", "create", 1_000_000)]) == {}
+    assert pairs([("v/disk.img", "create", 4_000_000), ("v/disk.old.img", "create", 3_000_000)]) == {
+        "v/disk.old.img": "v/disk.img"
+    }
+    # Here the longer name comes first in the plan, so the shorter one finds it.
+    assert pairs([("v/disk-a.img", "create", 4_000_000), ("v/disk.img", "create", 3_000_000)]) == {
+        "v/disk.img": "v/disk-a.img"
+    }
+    assert pairs([("v/disk.img", "create", 4_000_000), ("w/disk.old.img", "create", 4_000_000)]) == {}
+    assert pairs([("v/disk.img", "create", 4_000_000), ("v/disk.old.vhd", "create", 4_000_000)]) == {}
+    assert pairs([("v/disk-a.img", "create", 8_000_001), ("v/disk.img", "create", 4_000_000)]) == {}
     # Creates come before updates; the closest size wins.
-    rows = [("a/x.iso", "create", 1_000_000), ("a/x2.iso", "create", 1_190_000), ("a/x23.iso", "update", 1_200_000)]
-    assert pairs(rows)["a/x23.iso"] == "a/x2.iso"
+    rows = [("v/n.img", "create", 5_000_000), ("v/n2.img", "create", 5_900_000), ("v/n23.img", "update", 6_000_000)]
+    assert pairs(rows)["v/n23.img"] == "v/n2.img"
     # A file too small to be a basis is no candidate.
-    assert pairs([("a/1.1.iso", "create", 499_999), ("a/1.iso", "create", 999_998)], 999_998) == {
-        "a/1.iso": "a/1.1.iso"
-    }
-    assert pairs([("a/1.1.iso", "create", 499_998), ("a/1.iso", "create", 999_998)], 999_998) == {}
+    small = lambda n: pairs([("v/disk-a.img", "create", n), ("v/disk.img", "create", 2_000)], 2_000)
+    assert small(1_000) == {"v/disk.img": "v/disk-a.img"}
+    assert small(999) == {}
 
 
 def test_table_diff_and_reprobe(spark):
