@@ -32,6 +32,30 @@ near_out AS (
 )"""
 
 
+_ITEM_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION = rf"""
+WITH item_words AS (SELECT item_id, {_ITEM_WORDS.format(LOWER.format('text'))} AS w FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS g
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)
+),
+doc_words AS (SELECT doc_id, {_ITEM_WORDS.format(LOWER.format('text'))} AS w FROM documents),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc_words WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+runs AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM spots, lengths WHERE i + n - 1 <= len(w)),
+hits AS (SELECT doc_id, i, windows.n, item_id FROM runs JOIN windows ON runs.g = windows.g AND runs.n = windows.n),
+hit_words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op9_benchmark_decontamination": DECONTAMINATION,
     "op4_minhash_near_dedup": f"WITH RECURSIVE {_near(3, 85, 'documents')} SELECT * FROM near_out",
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparksync.llm.decontaminate import is_contaminated, mark_overlaps, n_hit
 from sparksync.llm.near_dups import near_duplicates
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked, out = mark_overlaps(docs, table(spark, sf_dir, "benchmark"), width=13)
+    items = F.col(f"{out}.items")
+    return marked.select(
+        "doc_id",
+        F.col(f"{out}.n_words").cast("long").alias("n_words"),
+        n_hit(out).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        is_contaminated(out).alias("contaminated"),
+    )
