@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparksync.llm.decontaminate import is_contaminated, mark_overlaps, n_hit
 from sparksync.llm.near_dups import near_duplicates
+from sparksync.llm.toxicity import toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -39,3 +40,8 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         is_contaminated(out).alias("contaminated"),
     )
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
