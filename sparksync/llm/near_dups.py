@@ -14,9 +14,10 @@ with everybody: the member with the most bucket mates is the pivot of the
 first round, which joins nearly all of a group of near copies, since they
 surround their original. Later rounds take up to ``PIVOTS`` members per bucket
 of those that are still apart from that pivot's component, until none is left
-that was not compared with every member of another component. The work of a
-round is linear in the size of a bucket, and no link that two components need
-is missed. Candidates are confirmed on their full sets.
+that was not compared with every member of another component. A member with so
+many shingles of its own that no other set can be similar needs no comparison.
+The work of a round is linear in the size of a bucket, and no link that two
+components need is missed. Candidates are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -146,8 +147,29 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _similar_size(percent: int) -> Column:
-    return F.least("n", "n_pivot") * 100 >= F.greatest("n", "n_pivot") * percent
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(cls, own): how many shingles of each class are in no other class of ``sets``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+                keys = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(x), np.int64)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(x)], ["cls", "x"])
+
+    spots = sets.select("cls", "shingles").mapInArrow(run, "cls binary, x long")
+    single = spots.groupBy("x").agg(F.count("*").alias("n"), F.min("cls").alias("cls")).filter("n = 1")
+    return single.groupBy("cls").agg(F.count("*").alias("own"))
+
+
+def _enough_shared(shared: Column, sizes: Column, percent: int) -> Column:
+    """100 * shared >= percent * union, for sets of that total size."""
+    return shared * (100 + percent) >= sizes * percent
+
+
+def _may_link(percent: int) -> Column:
+    """Sizes and shingles that no other set has leave room for enough common ones."""
+    return _enough_shared(F.least(F.col("n") - F.col("own"), F.col("n_pivot") - F.col("own_pivot")), F.col("n") + F.col("n_pivot"), percent)
 
 
 def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
@@ -162,27 +184,36 @@ def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
     degree = members.groupBy("cls").agg(F.sum("mates").alias("degree"))
     members = checkpointed(members.drop("mates").join(degree, "cls"))
     sets = checkpointed(fetch_sets(degree.select("cls")))
-    roots, links, done = None, None, None
+    members = members.withColumn("own", F.lit(0).cast("long"))
+    roots, links, done, counted = None, None, None, False
     while True:
         if roots is None:
             live = members.withColumn("comp", F.col("cls"))
-            chief = live.groupBy("band", "key").agg(F.max(F.struct("degree", "cls", "n", "comp")).alias("p"))
-            pivots = chief.select("band", "key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot"))
+            chief = live.groupBy("band", "key").agg(F.max(F.struct("degree", "cls", "n", "comp", "own")).alias("p"))
+            pivots = chief.select("band", "key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot"), F.col("p.own").alias("own_pivot"))
         else:
+            if not counted:
+                mixed = members.join(roots, members.cls == roots.node, "left").groupBy("band", "key")
+                mixed = mixed.agg(F.min(F.coalesce("root", "cls")).alias("lo"), F.max(F.coalesce("root", "cls")).alias("hi")).filter("lo != hi")
+                members = checkpointed(members.drop("own").join(mixed.select("band", "key"), ["band", "key"], "left_semi"))
+                own = _own_shingles(sets.join(members.select("cls").distinct(), "cls", "left_semi"))
+                members = checkpointed(members.join(own, "cls", "left").fillna(0, ["own"]))
+                counted = True
             live = members.join(roots, members.cls == roots.node, "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
             chief = (
                 live.groupBy("band", "key")
-                .agg(F.max(F.struct("degree", "cls", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                .agg(F.max(F.struct("degree", "cls", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n"))
                 .filter("lo != hi")
-                .select("band", "key", F.col("p.comp").alias("main"))
+                .select("band", "key", F.col("p.comp").alias("main"), "least_n")
             )
             live = checkpointed(live.join(chief, ["band", "key"]))
             pivots = (
                 live.filter("comp != main")
+                .filter(_enough_shared(F.col("n") - F.col("own"), F.col("n") + F.col("least_n"), percent))
                 .join(done, ["band", "key", "cls"], "left_anti")
                 .groupBy("band", "key", F.pmod(F.xxhash64("cls"), F.lit(PIVOTS)).alias("slot"))
-                .agg(F.max(F.struct("degree", "cls", "n", "comp")).alias("p"))
-                .select("band", "key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot"))
+                .agg(F.max(F.struct("degree", "cls", "n", "comp", "own")).alias("p"))
+                .select("band", "key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot"), F.col("p.own").alias("own_pivot"))
             )
         pivots = checkpointed(pivots)
         if pivots.isEmpty():
@@ -191,7 +222,7 @@ def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
         done = tried if done is None else checkpointed(done.union(tried))
         pairs = (
             live.join(pivots, ["band", "key"])
-            .filter((F.col("comp") != F.col("comp_pivot")) & _similar_size(percent))
+            .filter((F.col("comp") != F.col("comp_pivot")) & _may_link(percent))
             .select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
             .distinct()
         )
