@@ -263,6 +263,12 @@ def is_contaminated(overlap: str) -> Column:
     return (n_hit(overlap) > 0) & (n_hit(overlap) * 20 >= F.col(f"{overlap}.n_words"))
 
 
+def kept_pieces(raw: bytes, begin: list[int], end: list[int]) -> bytes:
+    """``raw`` without the given runs."""
+    edges = [0, *itertools.chain.from_iterable(zip(begin, end, strict=True)), len(raw)]
+    return b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+
+
 def cut_bytes(docs: DataFrame, text_col: str, begin: str, end: str) -> DataFrame:
     """``docs`` without the byte spans that the array columns ``begin`` and ``end`` name in each text."""
 
@@ -273,9 +279,7 @@ def cut_bytes(docs: DataFrame, text_col: str, begin: str, end: str) -> DataFrame
             spans = zip(batch.column(batch.schema.get_field_index(begin)).to_pylist(), batch.column(batch.schema.get_field_index(end)).to_pylist(), strict=True)
             for i, (b, e) in enumerate(spans):
                 if b and texts[i] is not None:
-                    raw = texts[i].encode()
-                    edges = [0, *itertools.chain.from_iterable(zip(b, e, strict=True)), len(raw)]
-                    texts[i] = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode(errors="ignore")
+                    texts[i] = kept_pieces(texts[i].encode(), b, e).decode(errors="ignore")
             keep = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] not in (begin, end)]
             yield pa.RecordBatch.from_arrays(keep, [c for c in batch.schema.names if c not in (begin, end)])
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparksync.llm.decontaminate import is_contaminated, mark_overlaps, n_hit
 from sparksync.llm.near_dups import near_duplicates
+from sparksync.llm.suffix_dedup import mark_repeats
 from sparksync.llm.toxicity import toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,24 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked, (begin, end) = mark_repeats(docs, width=100)
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    n_removed = F.aggregate(F.zip_with(begin, end, lambda a, b: b - a), F.lit(0), lambda x, y: x + y)
+    # What is kept lies between the end of one removed run and the begin of the next.
+    pieces = F.zip_with(
+        F.concat(F.array(F.lit(0)), F.col(end)),
+        F.concat(F.col(begin), F.array(F.octet_length(raw))),
+        lambda a, b: F.hex(F.substring(raw, a + 1, b - a)),
+    )
+    return marked.select(
+        "doc_id",
+        F.octet_length(raw).cast("long").alias("n_bytes"),
+        n_removed.cast("long").alias("n_removed"),
+        F.size(begin).cast("long").alias("n_spans"),
+        F.sha2(F.unhex(F.array_join(pieces, "")), 256).alias("kept_sha256"),
+    )
