@@ -41,46 +41,61 @@ def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return x
 
 
+def room(offsets: np.ndarray, usable: np.ndarray, width: int) -> np.ndarray:
+    """Whether ``width`` bytes of the same usable row begin at each byte."""
+    edge = np.zeros(int(offsets[-1]) + 1, np.int8)
+    rows = np.flatnonzero(usable & (np.diff(offsets) >= width))
+    edge[offsets[:-1][rows]] += 1
+    edge[offsets[1:][rows] - width + 1] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
+
 class Suffixes:
-    """Cover sample and window names of a block's texts."""
+    """The texts of a block: names of byte runs, cover sample, candidates."""
 
-    def __init__(self, s: Slice, ids: np.ndarray, usable: np.ndarray, hasher: Hasher, width: int) -> None:
-        self.s, self.ids, self.width = s, ids, width
+    def __init__(self, s: Slice, id_col: str, hasher: Hasher, width: int) -> None:
+        column = s.column(id_col)
+        self.ids = np.asarray(column.fill_null(0)).astype(np.int64)
+        self.usable = np.asarray(column.is_valid()).astype(bool)
+        self.s, self.width = s, width
         n = len(s.data)
-        doc = np.repeat(np.arange(s.n), np.diff(s.offsets))
-        end = s.offsets[1:][doc]
-        self.doc = doc
-        self.names = hasher.windows(s.data, width)
-        starts = np.arange(len(self.names))
-        self.valid = (starts + width <= end[: len(starts)]) & usable[doc[: len(starts)]]
-        grams = hasher.windows(s.data, GRAM)
-        inside = (np.arange(len(grams)) + GRAM <= end[: len(grams)]) & usable[doc[: len(grams)]]
-        span = width - GRAM + 1
+        hasher._reserve(n + 1)
+        self.inverse = hasher.inverse
+        self.sums = np.zeros(n + 1, np.uint64)
+        terms = hasher.values[s.data]
+        terms *= hasher.power[:n]
+        np.cumsum(terms, out=self.sums[1:])
+
+    def names(self, starts: np.ndarray, width: int | np.ndarray) -> np.ndarray:
+        return mix((self.sums[starts + width] - self.sums[starts]) * self.inverse[starts])
+
+    def rows_of(self, starts: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.s.offsets, starts, "right") - 1
+
+    def take_sample(self) -> Entries:
+        """Sampled grams, and the whole text of each row as one more entry."""
+        offsets, span, n = self.s.offsets, self.width - GRAM + 1, len(self.s.data)
         self.sample = np.zeros(0, np.int64)
-        if len(self.names):
+        self.grams = np.zeros(0, np.uint64)
+        self.valid = room(offsets, self.usable, self.width)
+        if n >= self.width:
+            sums = self.sums[GRAM:] - self.sums[:-GRAM]
+            sums *= self.inverse[: n - GRAM + 1]
+            grams = mix(sums)
+            inside = room(offsets, self.usable, GRAM)[: len(grams)]
             # 31 bits of each gram's hash; the lowest bit is free for a flag.
-            self.order = np.where(inside, (grams >> np.uint64(33)).astype(np.uint32) << np.uint32(1), np.uint32(2**32 - 2))
+            self.order = (grams >> np.uint64(33)).astype(np.uint32) << np.uint32(1)
+            self.order[~inside] = 2**32 - 2
             low = sliding(self.order, span, np.minimum)
             padded = np.zeros(len(low) + 2 * (span - 1), np.uint32)
-            padded[span - 1 : span - 1 + len(low)] = np.where(self.valid, low, 0)
+            padded[span - 1 : span - 1 + len(low)] = low * self.valid[: len(low)]
             self.sample = np.flatnonzero((sliding(padded, span, np.maximum) == self.order) & inside)
-        self.grams = grams[self.sample]
-        # The whole text of each row, as one more entry.
-        big = s.offsets[1:] - s.offsets[:-1] >= width
-        rows = np.flatnonzero(big & usable)
-        sums = np.zeros(n + 1, np.uint64)
-        if n:
-            hasher._reserve(n + 1)
-            np.cumsum(hasher.values[s.data] * hasher.power[:n], out=sums[1:])
-        lengths = (s.offsets[1:] - s.offsets[:-1])[rows]
-        texts = (sums[s.offsets[1:]] - sums[s.offsets[:-1]])[rows]
-        if len(rows):
-            texts *= hasher.inverse[s.offsets[:-1][rows]]
-        self.rows, self.texts = rows, mix(texts + lengths.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-
-    def sample_entries(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sample and text names with the row of each."""
-        return np.concatenate([self.grams, self.texts]), np.concatenate([self.doc[self.sample], self.rows])
+            self.grams = grams[self.sample]
+        lengths = np.diff(offsets)
+        self.long_rows = np.flatnonzero(self.usable & (lengths >= self.width))
+        lengths = lengths[self.long_rows]
+        texts = mix(self.names(offsets[:-1][self.long_rows], lengths) + lengths.astype(np.uint64))
+        return Entries(np.concatenate([self.grams, texts]), np.concatenate([self.rows_of(self.sample), self.long_rows]), self.ids)
 
     def candidates(self, copy: np.ndarray, tied: np.ndarray) -> np.ndarray:
         """Starts whose own sample, the smallest in their width, is tied, outside copies of whole texts."""
@@ -89,7 +104,12 @@ class Suffixes:
         flagged = self.order | np.uint32(1)
         flagged[self.sample[tied]] ^= np.uint32(1)
         own = sliding(flagged, self.width - GRAM + 1, np.minimum) & np.uint32(1)
-        return np.flatnonzero(self.valid & (own == 0) & ~copy[self.doc[: len(self.valid)]])
+        starts = np.flatnonzero(self.valid[: len(own)] & (own == 0))
+        return starts[~copy[self.rows_of(starts)]]
+
+    def entries(self, starts: np.ndarray) -> Entries:
+        self.starts, self.rows = starts, self.rows_of(starts)
+        return Entries(self.names(starts, self.width), self.rows, self.ids)
 
 
 class Entries:
@@ -143,11 +163,6 @@ def first_of_each(bodies: list[bytes]) -> list[bytes]:
     return [shrink(c) for c in np.split(code, np.cumsum([len(i) for _, i in parts])[:-1])]
 
 
-def _ids(s: Slice, id_col: str) -> tuple[np.ndarray, np.ndarray]:
-    column = s.column(id_col)
-    return np.asarray(column.fill_null(0)).astype(np.int64), np.asarray(column.is_valid())
-
-
 def mark_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, tuple[str, str]]:
     """``docs`` with the removed byte runs of each text as two array columns, and their names.
 
@@ -163,34 +178,32 @@ def mark_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
     schema = T.StructType([*docs.schema.fields, T.StructField(begin_col, spans), T.StructField(end_col, spans)])
     blocks = pack_rows(docs, text_col)
 
-    def suffixes(s: Slice, hasher: Hasher) -> Suffixes:
-        return Suffixes(s, *_ids(s, id_col), hasher, width)
-
     def ask_samples():
         hasher = Hasher(seed=5, lower=False)
 
         def make(s: Slice) -> list[tuple[int, bytes]]:
-            found = suffixes(s, hasher)
-            return Entries(*found.sample_entries(), found.ids).messages(shards)
+            return Suffixes(s, id_col, hasher, width).take_sample().messages(shards)
 
         return make
 
-    def windows(found: Suffixes, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, Entries]:
-        samples = Entries(*found.sample_entries(), found.ids)
-        earlier, shared = samples.replies(replies, shards)
-        tied = shared | (samples.times > 1)
-        copy = np.zeros(found.s.n, bool)
-        own = samples.of[len(found.sample) :]
-        copy[found.rows] = earlier[own] | (samples.ids[own] < found.ids[found.rows])
-        starts = found.candidates(copy, tied[samples.of[: len(found.sample)]])
-        return copy, starts, Entries(found.names[starts], found.doc[starts], found.ids)
-
     def ask_windows():
         hasher = Hasher(seed=5, lower=False)
 
         def make(key: int, s: Slice, replies: dict[int, bytes]) -> pa.Table:
-            parts = windows(suffixes(s, hasher), replies)[2].messages(shards)
-            return pa.Table.from_batches([message_batch(key, parts)])
+            found = Suffixes(s, id_col, hasher, width)
+            samples = found.take_sample()
+            earlier, shared = samples.replies(replies, shards)
+            tied = shared | (samples.times > 1)
+            copy = np.zeros(s.n, bool)
+            own = samples.of[len(found.sample) :]
+            copy[found.long_rows] = earlier[own] | (samples.ids[own] < found.ids[found.long_rows])
+            starts = found.candidates(copy, tied[samples.of[: len(found.sample)]])
+            # What was found out goes along to the last step, past the shards.
+            marks = np.zeros(len(s.data), bool)
+            marks[starts] = True
+            memo = shrink(np.packbits(marks), copy.view(np.uint8))
+            parts = found.entries(starts).messages(shards)
+            return pa.Table.from_batches([message_batch(key, [*parts, (-1 - key % shards, memo)])])
 
         return make
 
@@ -198,20 +211,24 @@ def mark_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
         hasher = Hasher(seed=5, lower=False)
 
         def make(key: int, s: Slice, replies: dict[int, bytes]) -> pa.Table:
-            found = suffixes(s, hasher)
-            copy, starts, entries = windows(found, {k: b for k, b in replies.items() if k >= 0})
-            earlier, _ = entries.replies({-1 - k: b for k, b in replies.items() if k < 0}, shards)
-            rows = found.doc[starts]
+            found = Suffixes(s, id_col, hasher, width)
+            marks, copy = expand(replies.pop(-1 - key % shards))
+            copy = copy.view(bool)
+            starts = np.flatnonzero(np.unpackbits(marks, count=len(s.data)))
+            entries = found.entries(starts)
+            earlier, _ = entries.replies(replies, shards)
+            rows = found.rows
             gone = earlier[entries.of] | (entries.ids[entries.of] < found.ids[rows])
             # Starts after another start of the same name in the same row.
-            order = np.lexsort((starts, rows, entries.of))
+            order = np.lexsort((rows, entries.of))
             same = (np.diff(entries.of[order]) == 0) & (np.diff(rows[order]) == 0)
             gone[order[1:][same]] = True
             edge = np.zeros(len(s.data) + 1, np.int32)
-            np.add.at(edge, starts[gone], 1)
-            np.add.at(edge, starts[gone] + width, -1)
-            removed = np.cumsum(edge)[:-1] > 0
-            removed |= copy[found.doc]
+            edge[starts[gone]] += 1
+            edge[starts[gone] + width] -= 1
+            removed = np.cumsum(edge[:-1]) > 0
+            for r in np.flatnonzero(copy):
+                removed[s.offsets[r] : s.offsets[r + 1]] = True
             begins, ends = runs_of(removed, s.offsets)
             columns = [*s.batch.columns, *(list_column(x, s.offsets) for x in (begins, ends))]
             return pa.Table.from_arrays(columns, [*s.batch.schema.names, begin_col, end_col])
@@ -233,8 +250,8 @@ def mark_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
 
     about_samples = answer(send(blocks, text_col, ask_samples), first_of_each)
     asked = with_answers(blocks, about_samples, text_col, ask_windows, MESSAGE)
-    about_windows = answer(asked, first_of_each).selectExpr("-1 - shard AS shard", "block", "body")
-    marked = with_answers(blocks, about_samples.union(about_windows), text_col, finish, schema)
+    about_windows = answer(asked, first_of_each)
+    marked = with_answers(blocks, about_windows, text_col, finish, schema)
     return marked.withColumn(end_col, F.transform(end_col, lambda x: x + 1)), (begin_col, end_col)
 
 
