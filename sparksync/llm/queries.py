@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparksync.llm.decontaminate import is_contaminated, mark_overlaps, n_hit
 from sparksync.llm.near_dups import near_duplicates
+from sparksync.llm.pieces import decode, encode, read_pieces
 from sparksync.llm.suffix_dedup import mark_repeats
 from sparksync.llm.toxicity import toxicity
 
@@ -67,3 +69,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(begin).cast("long").alias("n_spans"),
         F.sha2(F.unhex(F.array_join(pieces, "")), 256).alias("kept_sha256"),
     )
+
+
+def piece_model() -> str:
+    """Where the public piece model is; SPARKSYNC_PIECE_MODEL names another file."""
+    return os.environ.get("SPARKSYNC_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = read_pieces(piece_model())
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    back = decode(coded, pieces)
+    return back.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_tokens"),
+        "piece_ids",
+        (F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))).alias("round_trip"),
+    )
