@@ -29,11 +29,11 @@ from sparksync.llm.text import Slice, buffers, slices
 BLOCK_BYTES = 4 << 20
 
 
-def pack_rows(docs: DataFrame, text_col: str) -> DataFrame:
+def pack_rows(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, payload): the rows with all their columns, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches, text_col, BLOCK_BYTES):
+        for s in slices(batches, text_col, block_bytes):
             sink = pa.BufferOutputStream()
             # A plain copy, so that the bytes do not depend on where the batch was cut.
             batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in s.batch.columns], schema=s.batch.schema)
@@ -142,6 +142,6 @@ def with_answers(
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def shard_count(docs: DataFrame) -> int:
-    """About a shard for every two scan partitions, whose size Spark bounds."""
-    return max(8, docs.rdd.getNumPartitions() // 2)
+def shard_count(docs: DataFrame, per_partition: float = 0.5) -> int:
+    """Shards by the number of scan partitions, whose size Spark bounds."""
+    return max(8, int(docs.rdd.getNumPartitions() * per_partition))

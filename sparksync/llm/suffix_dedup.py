@@ -172,11 +172,12 @@ def mark_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
     count, and matches are judged on the texts as they were given. The other
     columns pass through whatever their names are.
     """
-    shards = shard_count(docs)
+    # A bucket holds the candidates of a quarter of a scan partition.
+    shards = shard_count(docs, 4)
     begin_col, end_col = free_name(docs, "begin"), free_name(docs, "end")
     spans = T.ArrayType(T.IntegerType())
     schema = T.StructType([*docs.schema.fields, T.StructField(begin_col, spans), T.StructField(end_col, spans)])
-    blocks = pack_rows(docs, text_col)
+    blocks = pack_rows(docs, text_col, 2 << 20)
 
     def ask_samples():
         hasher = Hasher(seed=5, lower=False)
