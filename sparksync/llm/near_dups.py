@@ -130,21 +130,26 @@ def sets_of(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "cls binary, shingles binary").filter("cls is not null")
 
 
-def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs with both sets (sa, sb), those with 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, distance) of pairs with both sets (sa, sb).
+
+    linked is 100 * intersection >= percent * union, distance is the Jaccard distance.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked, distance = [], []
             for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
                 both = np.concatenate([a, b])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                linked.append(100 * common >= percent * (len(both) - common))
+                distance.append(1 - common / (len(both) - common))
+            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "distance"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, linked boolean, distance double")
 
 
 def _own_shingles(sets: DataFrame) -> DataFrame:
@@ -168,8 +173,14 @@ def _enough_shared(shared: Column, sizes: Column, percent: int) -> Column:
 
 
 def _may_link(percent: int) -> Column:
-    """Sizes and shingles that no other set has leave room for enough common ones."""
-    return _enough_shared(F.least(F.col("n") - F.col("own"), F.col("n_pivot") - F.col("own_pivot")), F.col("n") + F.col("n_pivot"), percent)
+    """Sizes, shingles that no other set has, and distances to a third set leave a link possible.
+
+    Jaccard distance keeps the triangle inequality, so linked sets are about as
+    far from the bucket's first pivot.
+    """
+    shared = F.least(F.col("n") - F.col("own"), F.col("n_pivot") - F.col("own_pivot"))
+    apart = F.coalesce(F.abs(F.col("far") - F.col("far_pivot")), F.lit(0.0))
+    return _enough_shared(shared, F.col("n") + F.col("n_pivot"), percent) & (apart <= 1 - percent / 100 + 1e-9)
 
 
 def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
@@ -184,20 +195,25 @@ def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
     degree = members.groupBy("cls").agg(F.sum("mates").alias("degree"))
     members = checkpointed(members.drop("mates").join(degree, "cls"))
     sets = checkpointed(fetch_sets(degree.select("cls")))
-    members = members.withColumn("own", F.lit(0).cast("long"))
+    members = members.withColumn("own", F.lit(0).cast("long")).withColumn("far", F.lit(None).cast("double"))
     roots, links, done, counted = None, None, None, False
     while True:
         if roots is None:
             live = members.withColumn("comp", F.col("cls"))
-            chief = live.groupBy("band", "key").agg(F.max(F.struct("degree", "cls", "n", "comp", "own")).alias("p"))
-            pivots = chief.select("band", "key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot"), F.col("p.own").alias("own_pivot"))
+            chief = live.groupBy("band", "key").agg(F.max(F.struct("degree", "cls", "n", "comp", "own", "far")).alias("p"))
+            pivots = chief.select("band", "key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot"), F.col("p.own").alias("own_pivot"), F.col("p.far").alias("far_pivot"))
         else:
             if not counted:
                 mixed = members.join(roots, members.cls == roots.node, "left").groupBy("band", "key")
                 mixed = mixed.agg(F.min(F.coalesce("root", "cls")).alias("lo"), F.max(F.coalesce("root", "cls")).alias("hi")).filter("lo != hi")
                 members = checkpointed(members.drop("own").join(mixed.select("band", "key"), ["band", "key"], "left_semi"))
                 own = _own_shingles(sets.join(members.select("cls").distinct(), "cls", "left_semi"))
-                members = checkpointed(members.join(own, "cls", "left").fillna(0, ["own"]))
+                members = members.drop("far").join(own, "cls", "left").fillna(0, ["own"])
+                to_first = compares.select(F.col("a").alias("cls"), F.col("b").alias("first"), F.col("distance").alias("far"))
+                to_first = to_first.union(compares.select("b", "a", "distance"))
+                firsts = pivots.select("band", "key", F.col("pivot").alias("first"))
+                members = members.join(firsts, ["band", "key"]).join(to_first, ["cls", "first"], "left")
+                members = checkpointed(members.withColumn("far", F.when(F.col("cls") == F.col("first"), 0.0).otherwise(F.col("far"))).drop("first"))
                 counted = True
             live = members.join(roots, members.cls == roots.node, "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
             chief = (
@@ -212,8 +228,8 @@ def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
                 .filter(_enough_shared(F.col("n") - F.col("own"), F.col("n") + F.col("least_n"), percent))
                 .join(done, ["band", "key", "cls"], "left_anti")
                 .groupBy("band", "key", F.pmod(F.xxhash64("cls"), F.lit(PIVOTS)).alias("slot"))
-                .agg(F.max(F.struct("degree", "cls", "n", "comp", "own")).alias("p"))
-                .select("band", "key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot"), F.col("p.own").alias("own_pivot"))
+                .agg(F.max(F.struct("degree", "cls", "n", "comp", "own", "far")).alias("p"))
+                .select("band", "key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot"), F.col("p.own").alias("own_pivot"), F.col("p.far").alias("far_pivot"))
             )
         pivots = checkpointed(pivots)
         if pivots.isEmpty():
@@ -227,7 +243,8 @@ def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
             .distinct()
         )
         full = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        found = checkpointed(confirmed(full, percent))
+        compares = checkpointed(compared(full, percent))
+        found = compares.filter("linked").select("a", "b")
         if links is None or not found.isEmpty():
             links = found if links is None else links.union(found)
             roots = checkpointed(components(links, "a", "b"))
