@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparksync.llm.decontaminate import is_contaminated, mark_overlaps, n_hit
 from sparksync.llm.near_dups import near_duplicates
 from sparksync.llm.pieces import decode, encode, read_pieces
+from sparksync.llm.sharding import place
 from sparksync.llm.suffix_dedup import mark_repeats
+from sparksync.llm.topk import top_k
 from sparksync.llm.toxicity import toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +89,17 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "piece_ids",
         (F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))).alias("round_trip"),
     )
+
+
+@query
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(48)]
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
