@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparksync.llm.decontaminate import is_contaminated, mark_overlaps, n_hit
 from sparksync.llm.near_dups import near_duplicates
 from sparksync.llm.pieces import decode, encode, read_pieces
+from sparksync.llm.quality import quality
 from sparksync.llm.sharding import place
 from sparksync.llm.suffix_dedup import mark_repeats
 from sparksync.llm.topk import top_k
@@ -103,3 +104,8 @@ SHARDS = [f"shard-{i:02d}" for i in range(48)]
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
