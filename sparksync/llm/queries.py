@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparksync.llm.decontaminate import is_contaminated, mark_overlaps, n_hit
 from sparksync.llm.near_dups import near_duplicates
+from sparksync.llm.ngram_lm import lm_scores
 from sparksync.llm.pieces import decode, encode, read_pieces
 from sparksync.llm.quality import quality
 from sparksync.llm.sharding import place
@@ -109,3 +110,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
