@@ -14,6 +14,7 @@ from sparksync.llm.pieces import decode, encode, read_pieces
 from sparksync.llm.quality import quality
 from sparksync.llm.sharding import place
 from sparksync.llm.suffix_dedup import mark_repeats
+from sparksync.llm.token_counts import token_counts
 from sparksync.llm.topk import top_k
 from sparksync.llm.toxicity import toxicity
 
@@ -115,3 +116,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), read_pieces(piece_model()))
