@@ -4,23 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparksync.llm.decontaminate import decontaminate
 from sparksync.llm.near_dups import near_duplicates
+from sparksync.llm.pieces import encode, read_pieces
+from sparksync.llm.queries import piece_model, table
+from sparksync.llm.suffix_dedup import remove_repeats
+from sparksync.llm.toxicity import toxicity
 from sparksync.session import scratch_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go. Rows without an id cannot be told apart and stay."""
+    rejected = toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id")
+    return docs.join(rejected.distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    verdict = near_duplicates(docs, width=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(verdict.distinct(), "doc_id", "left_semi")
+    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    gone = near_duplicates(docs, width=5, percent=80).filter("not kept and doc_id is not null").select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every byte under a string of 100 bytes that also starts earlier goes."""
+    return remove_repeats(docs, width=100)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out of contaminated documents; those that are half passages go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), width=13)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their piece ids."""
+    return encode(docs, read_pieces(piece_model()))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", remove_benchmark),
+    ("pieces", encode_pieces),
+]
 
+#: SQL cannot express the models and the byte-level stages; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
