@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-SAMPLE_BYTES = 4096
-
 
 def strong_hash(data: Column) -> Column:
     return F.sha2(data, 256)
@@ -16,6 +14,7 @@ def byte_slice(data: Column, offset: Column, length: Column) -> Column:
     return F.substring(data, (offset + 1).cast("int"), length.cast("int"))
 
 
+# The bounds 700 and 32768 and the multiple of 8.
 def auto_block_size(size: Column) -> Column:
     """Integer square root rounded down to a multiple of 8, kept within 700 .. 32768."""
     guess = F.floor(F.sqrt(size.cast("double"))).cast("bigint")
@@ -27,14 +26,6 @@ def auto_block_size(size: Column) -> Column:
     return F.greatest(F.lit(700), F.least(F.lit(32768), root - root % 8)).cast("int")
 
 
-def content_sample(data: Column) -> Column:
-    """Hash of the first and last 4 KiB (the whole content when shorter)."""
-    n = F.octet_length(data)
-    tail = F.substring(data, n - SAMPLE_BYTES + 1, F.lit(SAMPLE_BYTES))
-    head = F.substring(data, F.lit(1), F.lit(SAMPLE_BYTES))
-    return F.sha2(F.when(n > SAMPLE_BYTES, F.concat(head, tail)).otherwise(head), 256)
-
-
 def human_size(value: Column, suffix: str = "") -> Column:
     """1024-based size with one decimal, e.g. ``12.3M``."""
     units = ["B", "K", "M", "G", "T"]

@@ -39,7 +39,7 @@ def segment_glob_regex(pattern: str) -> str:
             end = pattern.index("]", i + 2)
             body = pattern[i + 1:end]
             negated = body.startswith("!")
-            out.append("[" + ("^" if negated else "") + body[negated:].replace("\\", "\\\\") + "]")
+            out.append("(?!/)[" + ("^" if negated else "") + body[negated:].replace("\\", "\\\\") + "]")
             i = end + 1
         else:
             out.append("[^/]*" if c == "*" else "[^/]" if c == "?" else quote(c))

@@ -29,8 +29,9 @@ def parent(path: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """Text after the last dot of the basename; null without one or for a name like '.x'."""
-    return F.nullif(F.regexp_extract(basename(path), r"(?s)\A.+\.([^.]*)\z", 1), F.lit(""))
+    """Text after the last dot of the basename, '' for a last dot; null without one or for a name like '.x'."""
+    pattern = r"(?s)\A.+\.([^.]*)\z"
+    return F.when(basename(path).rlike(pattern), F.regexp_extract(basename(path), pattern, 1))
 
 
 def stem(path: Column) -> Column:

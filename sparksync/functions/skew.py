@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_KEYS = 200
+HOT_KEYS = 10_000
 HOT_MIN_ROWS = 100_000
 
 

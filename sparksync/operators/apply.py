@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparksync.functions import paths
+
 ATTRIBUTES = ("mode", "mtime_sec", "mtime_nsec")
 
 
@@ -20,6 +22,8 @@ def apply_plan(plan: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     attrs = src.select("path", *[F.col(c).alias(f"_new_{c}") for c in ATTRIBUTES])
     fixes = changed.filter(F.col("action") == "meta").join(attrs, "path")
     gone = changed.filter(F.col("action").isin("update", "delete"))
+    if "kind" in src.columns and "kind" in dst.columns:
+        gone = gone.unionByName(below_replaced(src, dst).join(gone, "path", "left_anti").withColumn("action", F.lit("delete")))
     marks = fixes.unionByName(gone, allowMissingColumns=True)
     kept = dst.join(marks, "path", "left").filter(
         F.col("action").isNull() | (F.col("action") == "meta")
@@ -33,6 +37,14 @@ def apply_plan(plan: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     return kept.unionByName(moved.select(*[c for c in dst.columns if c in src.columns]), allowMissingColumns=True)
 
 
+def below_replaced(src: DataFrame, dst: DataFrame) -> DataFrame:
+    """Destination paths below a directory that is no directory in the source."""
+    dirs = dst.filter("kind = 'dir'").select("path")
+    replaced = src.filter("kind <> 'dir'").select("path").join(dirs, "path", "left_semi")
+    up = dst.select("path", F.explode(paths.ancestors(F.col("path"))).alias("_above"))
+    return up.join(replaced.select(F.col("path").alias("_above")), "_above", "left_semi").select("path").distinct()
+
+
 def backup_replaced(plan: DataFrame, dst: DataFrame) -> DataFrame:
     """Prior versions of replaced and deleted files, at ``<path>~``."""
     hit = plan.filter(F.col("action").isin("update", "delete")).select("path")

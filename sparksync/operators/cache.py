@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sparksync.functions.content import content_sample
+from sparksync.functions.content import strong_hash
 
-CACHE_KEY = ["path", "size", "mtime_sec", "mtime_nsec", "sample", "engine"]
+CACHE_KEY = ["path", "size", "mtime_sec", "mtime_nsec", "hash", "engine"]
 
 
 def cache_heads(blobs: DataFrame, engine: str, content: str = "content") -> DataFrame:
-    """What must agree for a stored signature to be served: size, times, a content sample, engine."""
-    data = F.col(content).cast("binary")
+    """What must agree for a stored signature to be served: size, times, the hash of the whole content, engine."""
+    known = F.col("hash") if "hash" in blobs.columns else strong_hash(F.col(content).cast("binary"))
     return blobs.select(
-        "path", "size", "mtime_sec", "mtime_nsec", content_sample(data).alias("sample"),
+        "path", "size", "mtime_sec", "mtime_nsec", known.alias("hash"),
         F.lit(engine).alias("engine"),
     )
 
@@ -32,5 +32,6 @@ def signature_cache(
     """
     heads = cache_heads(blobs, engine, content)
     hits = cache.join(heads, CACHE_KEY, "left_semi")
-    misses = heads.join(cache.select(*CACHE_KEY), CACHE_KEY, "left_anti").select("path")
+    # One key per blob, not one per chunk.
+    misses = heads.join(cache.select(*CACHE_KEY).distinct(), CACHE_KEY, "left_anti").select("path")
     return hits, misses

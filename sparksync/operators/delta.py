@@ -118,9 +118,12 @@ def validate_ops(ops: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
-def apply_patch(basis: DataFrame, ops: DataFrame, content: str = "content") -> DataFrame:
+def apply_patch(basis: DataFrame, ops: DataFrame, content: str = "content", heads: DataFrame | None = None) -> DataFrame:
     """Rebuild the content of every path in ``ops`` from its basis and the delta.
 
+    A source without bytes has no ops. With ``heads``, which names all paths to
+    rebuild, it comes out empty; without, it does not come out at all.
+
     Ops of a path are gathered first (at most one blob's worth), then joined
     with the basis once; slicing and concatenation run in the JVM on bytes.
     """
@@ -129,13 +132,15 @@ def apply_patch(basis: DataFrame, ops: DataFrame, content: str = "content") -> D
             F.collect_list(F.struct("op_idx", "op", "basis_offset", "len", "literal"))
         ).alias("_ops")
     )
+    if heads is not None:
+        recipe = heads.select("path").join(recipe, "path", "left")
     data = basis.select("path", F.col(content).cast("binary").alias("_data"))
     piece = lambda o: F.when(
         o["op"] == "copy", byte_slice(F.col("_data"), o["basis_offset"], o["len"])
     ).otherwise(o["literal"])
     pieces = F.transform("_ops", lambda o: F.hex(piece(o)))
     return recipe.join(data, "path", "left").select(
-        "path", F.unhex(F.array_join(pieces, "")).alias(content)
+        "path", F.coalesce(F.unhex(F.array_join(pieces, "")), F.lit(b"")).alias(content)
     )
 
 

@@ -27,7 +27,7 @@ def resolve_links(links: DataFrame, root: str = "/root") -> DataFrame:
     below = F.col("resolved").startswith(root.rstrip("/") + "/")
     inside = (
         F.when(F.col("resolved") == root, "")
-        .when(below, F.substring("resolved", len(root.rstrip("/")) + 2, 1 << 30))
+        .when(below, F.expr(f"substring(resolved, {len(root.rstrip('/')) + 2})"))
     )
     return links.withColumn("resolved", paths.normalize(full)).withColumn("inside", inside)
 

@@ -60,7 +60,7 @@ def verify_report(transferred: DataFrame, received: DataFrame, skipped: DataFram
     skip = skipped.select("path").distinct().withColumn("was_skipped", F.lit(True))
     status = (
         F.when(F.col("was_skipped"), "skipped")
-        .when(F.col("received_hash").isNull(), "no-hash")
+        .when(F.col("received_hash").isNull() | F.col("hash").isNull(), "no-hash")
         .when(F.col("hash") != F.col("received_hash"), "mismatch")
         .otherwise("ok")
     )

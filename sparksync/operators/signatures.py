@@ -22,6 +22,14 @@ def _weak(data: pd.Series) -> pd.Series:
     return data.map(weak_sum, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _weak_blocks(data: pd.Series, block: pd.Series) -> pd.Series:
+    def sums(blob: bytes, size: int) -> list[int]:
+        return [weak_sum(blob[i : i + size]) for i in range(0, len(blob), size)]
+
+    return pd.Series([sums(d, int(b)) for d, b in zip(data, block)])
+
+
 def weak_checksum(data: Column) -> Column:
     """Weak sum of each binary value: low half the byte sum, high half the position-weighted sum."""
     return _weak(data)
@@ -41,9 +49,14 @@ def fixed_block_signature(
         F.octet_length(data).cast("bigint").alias("_size"),
     ).withColumn("_block", auto_block_size(F.col("_size")) if block is None else F.lit(block))
     last = F.floor((F.col("_size") - 1) / F.col("_block")).cast("int")
-    blocks = blobs.filter("_size > 0").select(
-        "path", "_data", "_size", "_block", F.explode(F.sequence(F.lit(0), last)).alias("idx")
-    )
+    blobs = blobs.filter("_size > 0")
+    if weak:
+        # One call per blob; after the explode the blob would go to Python once per block.
+        blobs = blobs.withColumn("_weak", _weak_blocks("_data", "_block"))
+        at = F.posexplode("_weak").alias("idx", "weak")
+    else:
+        at = F.explode(F.sequence(F.lit(0), last)).alias("idx")
+    blocks = blobs.select("path", "_data", "_size", "_block", at)
     offset = F.col("idx").cast("bigint") * F.col("_block")
     sliced = blocks.select(
         "path",
@@ -51,11 +64,10 @@ def fixed_block_signature(
         offset.alias("offset"),
         F.least(F.col("_block").cast("bigint"), F.col("_size") - offset).cast("int").alias("len"),
         byte_slice(F.col("_data"), offset, F.col("_block")).alias("_piece"),
+        *(["weak"] if weak else []),
     )
-    out = sliced.withColumn("strong", strong_hash(F.col("_piece")))
-    if weak:
-        out = out.withColumn("weak", weak_checksum(F.col("_piece")))
-    return out.drop("_piece")
+    out = sliced.withColumn("strong", strong_hash(F.col("_piece"))).drop("_piece")
+    return out.select("path", "idx", "offset", "len", "strong", *(["weak"] if weak else []))
 
 
 def cdc_chunks(

@@ -233,7 +233,7 @@ ORACLES["assign_hardlinks"] = _plan(_DEFAULT, "path, s_hash, action, content_mat
     """, m AS (
   SELECT path, action,
     CASE WHEN content_matched OR action IN ('create','update') THEN
-      first_value(path) OVER (PARTITION BY substr(s_hash,1,15), content_matched OR action IN ('create','update')
+      first_value(path) OVER (PARTITION BY s_hash, content_matched OR action IN ('create','update')
         ORDER BY CASE WHEN content_matched THEN 0 ELSE 1 END, path) END AS rep
   FROM p)
 SELECT path, action, CASE WHEN action IN ('create','update') AND rep <> path THEN rep END AS link_to FROM m""".lstrip(),
@@ -401,7 +401,7 @@ SELECT path, sha256(reverse(s_content)) AS expected, hash AS actual FROM pair
 WHERE starts_with(hash, '0') AND reverse(s_content) <> s_content"""
 
 ORACLES["sliding_match_rebuild"] = _with(SRC, DST, _PAIR) + """
-SELECT path, hash FROM pair WHERE octet_length(encode(s_content)) > 0"""
+SELECT path, hash FROM pair"""
 
 ORACLES["chunk_dedup_report"] = """
 WITH w AS (
@@ -443,7 +443,7 @@ SELECT path, CASE WHEN size > 2000 AND path IN (SELECT path FROM dst) THEN 'delt
 ORACLES["pack_batches"] = _with(SRC) + """
 SELECT path, size, CAST(coalesce(sum(size) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
   // 65536 AS BIGINT) AS batch
-FROM src WHERE size <= 16384"""
+FROM src"""
 
 # --- reports -----------------------------------------------------------------
 

@@ -154,7 +154,7 @@ def plan_sync(
         .when(~in_dst, F.when(F.col("action") == "create", "new").otherwise("absent"))
         .when(F.col("action") == "update", F.col("_verdict"))
         .when(F.col("action") == "meta", F.col("_drift"))
-        .when(F.col("_verdict") != "", F.substring("_verdict", 2, 16))
+        .when(F.col("_verdict") != "", F.expr("substring(_verdict, 2)"))
         .otherwise("in-sync")
     )
     matched = (
@@ -211,29 +211,31 @@ def plan_meta_only(src: DataFrame, dst: DataFrame, **kw) -> DataFrame:
     return plan_sync(src, dst, **kw).filter(F.col("action") == "meta")
 
 
-def assign_hardlinks(src: DataFrame, dst: DataFrame, **flags) -> DataFrame:
-    """A plan with ``link_to`` for members of an inode group that need no transfer of their own.
+def assign_hardlinks(src: DataFrame, dst: DataFrame, group: str = "inode", **flags) -> DataFrame:
+    """A plan with ``link_to`` for members of a link group that need no transfer of their own.
+
+    ``group`` names the column that the members share.
 
     The representative of a group is its first content-matched member by path,
     otherwise its first transferred one. It is found with one map-side
     combined minimum, so a group that holds a large share of all files costs
     no large window; the join back spreads such a group.
     """
-    plan = plan_sync(src, dst, keep=["inode"], **flags)
+    plan = plan_sync(src, dst, keep=[group], **flags)
     transferred = F.col("action").isin("create", "update")
-    member = (F.col("kind") == "file") & F.col("inode").isNotNull()
+    member = (F.col("kind") == "file") & F.col(group).isNotNull()
     order = F.struct(F.when(F.col("content_matched"), 0).otherwise(1).alias("rank"), "path")
     groups = (
         plan.filter(member & (transferred | F.col("content_matched")))
-        .groupBy("inode")
+        .groupBy(group)
         .agg(F.min(order).alias("rep"), F.count("*").alias("n"))
         .filter("n > 1")
     )
-    reps = groups.select(F.col("inode").alias("_group"), F.col("rep.path").alias("_rep"))
-    hot = hot_of_counts(groups, "inode", "n", ties=["rep"]).select(F.col("inode").alias("_group"))
+    reps = groups.select(F.col(group).alias("_group"), F.col("rep.path").alias("_rep"))
+    hot = hot_of_counts(groups, group, "n", ties=["rep"]).select(F.col(group).alias("_group"))
     # Only transferred members can become links; other rows get no group and
     # so spread freely.
-    wanting = plan.withColumn("_group", F.when(member & transferred, F.col("inode")))
+    wanting = plan.withColumn("_group", F.when(member & transferred, F.col(group)))
     joined = lookup_join(wanting, reps, "_group", spread="path", hot=hot)
     link_to = F.when(F.col("_rep") != F.col("path"), F.col("_rep"))
     return joined.withColumn("link_to", link_to).drop("_rep", "_group")

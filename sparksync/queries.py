@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparksync.operators import apply, cache, delta, filters, links, reports, signatures, tiers
 from sparksync.plans import deletes, diff, pairing, planner
-from sparksync.session import scratch_path, spread_scan
+from sparksync.session import scratch_path
 from sparksync.sources import manifest, roots, samples
 from sparksync.streaming import bursts, watch
 
@@ -38,18 +38,12 @@ def _docs(spark, d):
 def _contents(spark, d):
     """Documents as (path, source, content) for work that is heavy per row."""
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id"), F.lit(".txt")))
-    return spread_scan(_docs(spark, d)).select("doc_id", "source", path.alias("path"), F.col("text").alias("content"))
+    return _docs(spark, d).select("doc_id", "source", path.alias("path"), F.col("text").alias("content"))
 
 
 # --- scans and sources -------------------------------------------------------
 
 
-@query
-def scan_manifest(spark, d):
-    """The shared tables' own files as the tree."""
-    return manifest.scan_manifest(spark, d).select("path", "kind", "size")
-
-
 @query
 def hash_manifest(spark, d):
     entries = samples.tree_manifest(spark, d).join(
@@ -438,7 +432,7 @@ def validate_ops(spark, d):
 
 def _rebuilt(spark, d):
     source, basis = samples.delta_pair(spark, d)
-    return delta.apply_patch(basis, delta.delta_between(source, basis, BLOCK))
+    return delta.apply_patch(basis, delta.delta_between(source, basis, BLOCK), heads=source)
 
 
 @query
@@ -465,7 +459,7 @@ def sliding_match(spark, d):
 def sliding_match_rebuild(spark, d):
     """Apply the deltas found at any offset: the result must be the source."""
     source, basis = samples.delta_pair(spark, d)
-    rebuilt = delta.apply_patch(basis, delta.delta_between(source, basis))
+    rebuilt = delta.apply_patch(basis, delta.delta_between(source, basis), heads=source)
     return rebuilt.select("path", F.sha2(F.col("content"), 256).alias("hash"))
 
 
@@ -504,7 +498,7 @@ def choose_strategy(spark, d):
 
 @query
 def pack_batches(spark, d):
-    return tiers.pack_batches(_src(spark, d).filter("size <= 16384"), 1 << 16)
+    return tiers.pack_batches(_src(spark, d), 1 << 16)
 
 
 # --- reports -----------------------------------------------------------------

@@ -27,17 +27,6 @@ def local_session(cores: str = "8", app: str = "sparksync") -> SparkSession:
     return spark
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Spread a table scan over all cores when it has fewer splits than that.
-
-    For work that is heavy per row on a small table. A large table has splits
-    enough and is left as it is. Only for plain scans, whose number of splits
-    is known without running anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder for checkpoints and staged tables.
 

@@ -113,7 +113,7 @@ def indexed_manifest(
     prefix = base.getFileSystem(conf).makeQualified(base).toString().rstrip("/") + "/"
     # A local path is spelt 'file:/' or 'file:///' in different places.
     one_slash = lambda p: F.regexp_replace(p, r"\Afile:/+", "file:/")
-    rel = F.substring(one_slash(F.col("path")), F.char_length(one_slash(F.lit(prefix))) + 1, F.lit(1 << 30))
+    rel = F.substring(one_slash(F.col("path")), F.char_length(one_slash(F.lit(prefix))) + 1, F.char_length("path"))
     visible = F.forall(
         paths.ancestors(F.col("path"), include_self=True), lambda p: globs.passes(p, includes, excludes)
     )

@@ -23,12 +23,13 @@ def topmost_roots(
 def entries_under(manifest: DataFrame, roots: DataFrame) -> DataFrame:
     """Entries equal to or below one of ``roots``, which must be topmost.
 
-    Each path then has at most one matching ancestor, so the ancestor join
-    yields no duplicates and needs no distinct.
+    The ancestors of the paths alone are joined with the roots.
     """
     up = F.explode(paths.ancestors(F.col("path"), include_self=True))
     tops = roots.select(F.col("root").alias("_above"))
-    return manifest.withColumn("_above", up).join(tops, "_above", "left_semi").drop("_above")
+    # Only paths are multiplied by their depth; the entries come back by a semi-join.
+    hit = manifest.select("path", up.alias("_above")).join(tops, "_above", "left_semi").select("path")
+    return manifest.join(hit.distinct(), "path", "left_semi")
 
 
 def merge_roots(
@@ -62,7 +63,7 @@ def parse_file_list(lines: DataFrame) -> DataFrame:
     checked = F.when(F.col("entry").startswith("/"), F.col("entry")).otherwise(
         F.raise_error(message).cast("string")
     )
-    return named.select(F.substring(checked, 2, 1 << 30).alias("root")).withColumn(
+    return named.select(F.regexp_replace(checked, r"(?s)\A.", "").alias("root")).withColumn(
         "root", F.regexp_replace("root", r"/+\z", "")
     )
 
@@ -127,4 +128,4 @@ def expand_glob_source(manifest: DataFrame, pattern: str, must_match: bool = Tru
         raise ValueError(f"no files match source pattern '{pattern}'")
     if base in ("", "/"):
         return chosen
-    return chosen.withColumn("path", F.substring("path", len(base) + 2, 1 << 30))
+    return chosen.withColumn("path", F.expr(f"substring(path, {len(base) + 2})"))

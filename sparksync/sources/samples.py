@@ -57,8 +57,8 @@ def dst_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     last = doc % 10
     content = (
-        F.when(last == 1, F.concat(F.substring("text", 1, 100), F.lit("EDIT"), F.substring("text", 101, 1 << 30)))
-        .when(last == 6, F.concat(F.substring("text", 2, 1 << 30), F.substring("text", 1, 1)))
+        F.when(last == 1, F.concat(F.substring("text", 1, 100), F.lit("EDIT"), F.expr("substring(text, 101)")))
+        .when(last == 6, F.concat(F.expr("substring(text, 2)"), F.substring("text", 1, 1)))
         .otherwise(F.col("text"))
     )
     kept = docs.filter(last != 0).select(
@@ -92,9 +92,8 @@ def dst_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_content_inode(manifest: DataFrame) -> DataFrame:
-    """Rows with equal content share an inode number derived from the hash."""
-    inode = F.conv(F.substring("hash", 1, 15), 16, 10).cast("bigint")
-    return manifest.withColumn("inode", inode)
+    """Rows with equal content share a group, named by the whole hash."""
+    return manifest.withColumn("inode", F.col("hash"))
 
 
 def link_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

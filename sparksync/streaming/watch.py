@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import time
 import uuid
@@ -114,13 +115,13 @@ def apply_changes(changes: DataFrame, location: str, tag: str) -> None:
         burst.unpersist()
 
 
-def retry_cycle(step: Callable[[], None], attempts: int = 3, backoff: float = RETRY_SECONDS) -> None:
-    """Run a cycle; when it fails, run it again with the same input after a pause."""
-    for attempt in range(attempts):
+def retry_cycle(step: Callable[[], None], attempts: int | None = None, backoff: float = RETRY_SECONDS) -> None:
+    """Run a cycle; when it fails, run it again with the same input after a pause, for ever or ``attempts`` times."""
+    for attempt in itertools.count(1):
         try:
             return step()
         except Exception:
-            if attempt == attempts - 1:
+            if attempt == attempts:
                 raise
             time.sleep(backoff)
 
@@ -130,21 +131,22 @@ def watch_sync(
     location: str,
     checkpoint: str,
     baseline: DataFrame | None = None,
-    attempts: int = 3,
+    attempts: int | None = None,
     backoff: float = RETRY_SECONDS,
     available_now: bool = False,
     processing_time: str = "5 seconds",
     compact_every: int = 100,
     apply: Callable[[DataFrame, str, str], None] = apply_changes,
 ) -> StreamingQuery:
-    """Baseline sync, then one plan and apply per micro-batch; ``read_synced`` shows the state.
+    """Baseline sync if nothing is published yet, then one plan and apply per micro-batch; ``read_synced`` shows the state.
 
     Changes that arrive during a cycle form the next micro-batch, so they
     fold into one more cycle. A failed cycle is retried with the same batch;
     folding a batch in twice gives the same state, so a replay after a
     restart from ``checkpoint`` is safe.
     """
-    if baseline is not None:
+    # A snapshot that is there already holds what earlier cycles applied, which the checkpoint does not replay.
+    if baseline is not None and current_run(changes.sparkSession, location) is None:
         sync_cycle(baseline, location)
 
     # Batch numbers are only unique within one checkpoint.
