@@ -260,7 +260,7 @@ def _viterbi_fold(n: Column, edges: Column, low: float) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces, fold: str | None = None) -> DataFrame:
-    """(key, ids) of distinct words (key, word); a character without a piece is minus its code point.
+    """(key, ids) of distinct words (key, word); a character without a piece is -1 minus its code point.
 
     ``fold`` is "viterbi" or "merge", by default what the model's kind calls for.
     """
@@ -287,7 +287,7 @@ def encode_words(words: DataFrame, pieces: Pieces, fold: str | None = None) -> D
     edges = spans.join(table, "piece", "left").filter("id is not null or end = start + 1")
     place = F.col("start") * 64 + F.col("end")
     if fold == "viterbi":
-        edge = F.struct("start", "end", "score", F.coalesce("id", -F.ascii("piece")).alias("id"))
+        edge = F.struct("start", "end", "score", F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
         grouped = edges.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
         by_span = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["start"] * 64 + e["end"], e["id"])))
         cuts = let(F.filter("edges", lambda e: e["score"].isNotNull()), lambda e: _viterbi_fold(F.col("n"), e, low))
@@ -299,7 +299,7 @@ def encode_words(words: DataFrame, pieces: Pieces, fold: str | None = None) -> D
         by_span = F.map_from_entries(F.transform("edges", lambda e: F.struct((e % 4096).cast("int"), F.shiftright(e, 12))))
         cuts = let(by_span, lambda m: _merge_fold(F.col("n"), m))
         lone = F.lit((1 << 40) - (1 << 21))
-        id_of = lambda code: F.when(code >= lone, lone - code).otherwise(code % (1 << 20)).cast("int")
+        id_of = lambda code: F.when(code >= lone, lone - code - 1).otherwise(code % (1 << 20)).cast("int")
     spans_of = lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: a * 64 + F.get(c, i + 1))
     ids = let(by_span, lambda m: F.transform(let(cuts, spans_of), lambda k: id_of(m[k])))
     folded = grouped.select("key", ids.alias("ids"))
@@ -309,7 +309,7 @@ def encode_words(words: DataFrame, pieces: Pieces, fold: str | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [best_path(w.as_py(), scores, longest) if fold == "viterbi" else merge_encode(w.as_py(), scores) for w in batch.column(1)]
-            coded = pa.array([[numbers.get(t, -ord(t[0])) for t in ts] for ts in found], pa.list_(pa.int32()))
+            coded = pa.array([[numbers.get(t, -1 - ord(t[0])) for t in ts] for ts in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), coded], ["key", "ids"])
 
     long = sized.filter(f"n > {LONG}").select("key", "word").mapInArrow(run, "key long, ids array<int>")
@@ -374,7 +374,7 @@ def _to_bytes(flat: np.ndarray, n: np.ndarray, zero: int) -> tuple[np.ndarray, n
     if not len(odd):
         return flat, n
     width = np.ones(len(flat), np.int64)
-    code = -flat[odd].astype(np.int64)
+    code = -1 - flat[odd].astype(np.int64)
     width[odd] = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
     word = np.repeat(np.arange(len(n)), n)
     out = np.repeat(flat, width)

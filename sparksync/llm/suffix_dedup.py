@@ -58,6 +58,7 @@ class Suffixes:
         self.ids = np.asarray(column.fill_null(0)).astype(np.int64)
         self.usable = np.asarray(column.is_valid()).astype(bool)
         self.s, self.width = s, width
+        self.gram = min(GRAM, max(1, width // 3))
         n = len(s.data)
         hasher._reserve(n + 1)
         self.inverse = hasher.inverse
@@ -74,15 +75,15 @@ class Suffixes:
 
     def take_sample(self) -> Entries:
         """Sampled grams, and the whole text of each row as one more entry."""
-        offsets, span, n = self.s.offsets, self.width - GRAM + 1, len(self.s.data)
+        offsets, span, n = self.s.offsets, self.width - self.gram + 1, len(self.s.data)
         self.sample = np.zeros(0, np.int64)
         self.grams = np.zeros(0, np.uint64)
         self.valid = room(offsets, self.usable, self.width)
         if n >= self.width:
-            sums = self.sums[GRAM:] - self.sums[:-GRAM]
-            sums *= self.inverse[: n - GRAM + 1]
+            sums = self.sums[self.gram :] - self.sums[: -self.gram]
+            sums *= self.inverse[: n - self.gram + 1]
             grams = mix(sums)
-            inside = room(offsets, self.usable, GRAM)[: len(grams)]
+            inside = room(offsets, self.usable, self.gram)[: len(grams)]
             # 31 bits of each gram's hash; the lowest bit is free for a flag.
             self.order = (grams >> np.uint64(33)).astype(np.uint32) << np.uint32(1)
             self.order[~inside] = 2**32 - 2
@@ -103,7 +104,7 @@ class Suffixes:
             return np.zeros(0, np.int64)
         flagged = self.order | np.uint32(1)
         flagged[self.sample[tied]] ^= np.uint32(1)
-        own = sliding(flagged, self.width - GRAM + 1, np.minimum) & np.uint32(1)
+        own = sliding(flagged, self.width - self.gram + 1, np.minimum) & np.uint32(1)
         starts = np.flatnonzero(self.valid[: len(own)] & (own == 0))
         return starts[~copy[self.rows_of(starts)]]
 
