@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sparksync.llm.graph import components
 from sparksync.llm.text import WHITE, Hasher, Words, mix, seeds, signed, slices
@@ -35,6 +35,7 @@ from sparksync.session import checkpointed
 COORDS = 256
 BANDS = 32
 PIVOTS = 256
+PACK = 128
 
 
 def shingle_sets(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,20 +168,89 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
     return single.groupBy("cls").agg(F.count("*").alias("own"))
 
 
-def _enough_shared(shared: Column, sizes: Column, percent: int) -> Column:
-    """100 * shared >= percent * union, for sets of that total size."""
+def _enough_shared(shared, sizes, percent: int):
+    """100 * shared >= percent * union, for sets of that total size; columns or arrays."""
     return shared * (100 + percent) >= sizes * percent
 
 
-def _may_link(percent: int) -> Column:
-    """Sizes, shingles that no other set has, and distances to a third set leave a link possible.
+def _packs(rows: DataFrame, keys: list[str], sets: DataFrame, bands: DataFrame, name: str) -> DataFrame:
+    """Rows of a group side by side with their sets and bands, in ``name``."""
+    full = rows.join(bands, "cls").join(sets, "cls")
+    return full.groupBy(*keys).agg(F.collect_list(F.struct("cls", "comp", "n", "own", "far", "bands", "shingles")).alias(name))
 
-    Jaccard distance keeps the triangle inequality, so linked sets are about as
-    far from the bucket's first pivot.
+
+def _links_in_packs(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the links between members and pivots of a bucket that are in different components.
+
+    Sizes, shingles that no other set has, and the distances to the bucket's
+    first pivot rule most pairs out: Jaccard distance keeps the triangle
+    inequality, so linked sets are about as far from a third. A pair is
+    compared in the first band that it shares, and only links leave the task.
     """
-    shared = F.least(F.col("n") - F.col("own"), F.col("n_pivot") - F.col("own_pivot"))
-    apart = F.coalesce(F.abs(F.col("far") - F.col("far_pivot")), F.lit(0.0))
-    return _enough_shared(shared, F.col("n") + F.col("n_pivot"), percent) & (apart <= 1 - percent / 100 + 1e-9)
+
+    def fields(packed: pa.Scalar) -> dict:
+        rows = packed.values
+        out = {k: np.asarray(rows.field(k)) for k in ("n", "own")}
+        out["far"] = np.asarray(rows.field("far").cast(pa.float64()).fill_null(float("nan")))
+        out["bands"] = np.asarray(rows.field("bands").flatten()).reshape(len(rows), BANDS)
+        out["cls"], out["comp"] = rows.field("cls").to_pylist(), rows.field("comp").to_pylist()
+        out["sets"] = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("shingles")]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, group, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                m, q = fields(group), fields(asked)
+                number: dict[bytes, int] = {}
+                comps = [np.array([number.setdefault(c, len(number)) for c in x["comp"]]) for x in (m, q)]
+                may = comps[0][:, None] != comps[1]
+                shared = np.minimum((m["n"] - m["own"])[:, None], q["n"] - q["own"])
+                may &= _enough_shared(shared, m["n"][:, None] + q["n"], percent)
+                may &= ~(np.abs(m["far"][:, None] - q["far"]) > 1 - percent / 100 + 1e-9)
+                linked = []
+                for i, j in np.argwhere(may):
+                    if int(np.argmax(m["bands"][i] == q["bands"][j])) != band:
+                        continue
+                    both = np.concatenate([m["sets"][i], q["sets"][j]])
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= percent * (len(both) - common):
+                        linked.append((m["cls"][i], q["cls"][j]))
+                columns = [pa.array([x[k] for x in linked], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    joined = members.join(pivots, ["band", "key"])
+    return joined.select("band", "members", "pivots").mapInArrow(run, "a binary, b binary")
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(band, key, cls, n, degree) of all classes that share a bucket; degree counts the bucket mates."""
+    rows = classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("band", "key").agg(F.count("*").alias("mates")).filter("mates > 1")
+    members = checkpointed(rows.join(shared, ["band", "key"]))
+    degree = members.groupBy("cls").agg(F.sum("mates").alias("degree"))
+    return checkpointed(members.drop("mates").join(degree, "cls"))
+
+
+def _first_round(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(band, key, first) and the comparisons of every member with its bucket's first pivot."""
+    chief = members.groupBy("band", "key").agg(F.max(F.struct("degree", "cls", "n")).alias("p"))
+    firsts = checkpointed(chief.select("band", "key", F.col("p.cls").alias("first"), F.col("p.n").alias("n_first")))
+    similar_size = F.least("n", "n_first") * 100 >= F.greatest("n", "n_first") * percent
+    pairs = members.join(firsts, ["band", "key"]).filter((F.col("cls") != F.col("first")) & similar_size)
+    pairs = pairs.select(F.least("cls", "first").alias("a"), F.greatest("cls", "first").alias("b")).distinct()
+    full = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return firsts, checkpointed(compared(full, percent))
+
+
+def _in_components(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets with several components, with their own, the bucket's main one and its smallest set."""
+    live = members.join(roots, members.cls == roots.node, "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
+    buckets = live.groupBy("band", "key").agg(
+        F.max(F.struct("degree", "cls", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n"), F.count("*").alias("size")
+    )
+    mixed = buckets.filter("lo != hi").select("band", "key", F.col("p.comp").alias("main"), "least_n", "size")
+    return live.join(mixed, ["band", "key"])
 
 
 def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
@@ -189,66 +259,41 @@ def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
     ``classes`` has cls, n and bands; ``fetch_sets`` gives (cls, shingles) for
     a table of wanted cls.
     """
-    rows = classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.count("*").alias("mates")).filter("mates > 1")
-    members = checkpointed(rows.join(shared, ["band", "key"]))
-    degree = members.groupBy("cls").agg(F.sum("mates").alias("degree"))
-    members = checkpointed(members.drop("mates").join(degree, "cls"))
-    sets = checkpointed(fetch_sets(degree.select("cls")))
-    members = members.withColumn("own", F.lit(0).cast("long")).withColumn("far", F.lit(None).cast("double"))
-    roots, links, done, counted = None, None, None, False
+    members = _members(classes)
+    sets = checkpointed(fetch_sets(members.select("cls").distinct()))
+    firsts, compares = _first_round(members, sets, percent)
+    links = compares.filter("linked").select("a", "b")
+    roots = checkpointed(components(links, "a", "b"))
+
+    # What later rounds rule pairs out by: shingles of one's own, distance to the first pivot.
+    members = checkpointed(_in_components(members, roots).select("band", "key", "cls", "n", "degree"))
+    own = _own_shingles(sets.join(members.select("cls").distinct(), "cls", "left_semi"))
+    to_first = compares.select(F.col("a").alias("cls"), F.col("b").alias("first"), F.col("distance").alias("far"))
+    to_first = to_first.union(compares.select("b", "a", "distance"))
+    members = members.join(own, "cls", "left").fillna(0, ["own"]).join(firsts.drop("n_first"), ["band", "key"])
+    members = members.join(to_first, ["cls", "first"], "left")
+    members = checkpointed(members.withColumn("far", F.when(F.col("cls") == F.col("first"), 0.0).otherwise(F.col("far"))).drop("first"))
+    bands = classes.select("cls", "bands")
+    done = members.select("band", "key", "cls").limit(0)
     while True:
-        if roots is None:
-            live = members.withColumn("comp", F.col("cls"))
-            chief = live.groupBy("band", "key").agg(F.max(F.struct("degree", "cls", "n", "comp", "own", "far")).alias("p"))
-            pivots = chief.select("band", "key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot"), F.col("p.own").alias("own_pivot"), F.col("p.far").alias("far_pivot"))
-        else:
-            if not counted:
-                mixed = members.join(roots, members.cls == roots.node, "left").groupBy("band", "key")
-                mixed = mixed.agg(F.min(F.coalesce("root", "cls")).alias("lo"), F.max(F.coalesce("root", "cls")).alias("hi")).filter("lo != hi")
-                members = checkpointed(members.drop("own").join(mixed.select("band", "key"), ["band", "key"], "left_semi"))
-                own = _own_shingles(sets.join(members.select("cls").distinct(), "cls", "left_semi"))
-                members = members.drop("far").join(own, "cls", "left").fillna(0, ["own"])
-                to_first = compares.select(F.col("a").alias("cls"), F.col("b").alias("first"), F.col("distance").alias("far"))
-                to_first = to_first.union(compares.select("b", "a", "distance"))
-                firsts = pivots.select("band", "key", F.col("pivot").alias("first"))
-                members = members.join(firsts, ["band", "key"]).join(to_first, ["cls", "first"], "left")
-                members = checkpointed(members.withColumn("far", F.when(F.col("cls") == F.col("first"), 0.0).otherwise(F.col("far"))).drop("first"))
-                counted = True
-            live = members.join(roots, members.cls == roots.node, "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
-            chief = (
-                live.groupBy("band", "key")
-                .agg(F.max(F.struct("degree", "cls", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n"))
-                .filter("lo != hi")
-                .select("band", "key", F.col("p.comp").alias("main"), "least_n")
-            )
-            live = checkpointed(live.join(chief, ["band", "key"]))
-            pivots = (
-                live.filter("comp != main")
-                .filter(_enough_shared(F.col("n") - F.col("own"), F.col("n") + F.col("least_n"), percent))
-                .join(done, ["band", "key", "cls"], "left_anti")
-                .groupBy("band", "key", F.pmod(F.xxhash64("cls"), F.lit(PIVOTS)).alias("slot"))
-                .agg(F.max(F.struct("degree", "cls", "n", "comp", "own", "far")).alias("p"))
-                .select("band", "key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot"), F.col("p.own").alias("own_pivot"), F.col("p.far").alias("far_pivot"))
-            )
-        pivots = checkpointed(pivots)
-        if pivots.isEmpty():
+        live = checkpointed(_in_components(members, roots))
+        strays = live.filter("comp != main").filter(_enough_shared(F.col("n") - F.col("own"), F.col("n") + F.col("least_n"), percent))
+        slot = F.pmod(F.xxhash64("cls"), F.lit(PIVOTS)).alias("slot")
+        chosen = strays.join(done, ["band", "key", "cls"], "left_anti").groupBy("band", "key", slot)
+        chosen = chosen.agg(F.max(F.struct("cls", "comp", "n", "own", "far")).alias("p")).select("band", "key", "p.*")
+        chosen = checkpointed(chosen)
+        if chosen.isEmpty():
             break
-        tried = pivots.select("band", "key", F.col("pivot").alias("cls"))
-        done = tried if done is None else checkpointed(done.union(tried))
-        pairs = (
-            live.join(pivots, ["band", "key"])
-            .filter((F.col("comp") != F.col("comp_pivot")) & _may_link(percent))
-            .select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
-            .distinct()
-        )
-        full = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        compares = checkpointed(compared(full, percent))
-        found = compares.filter("linked").select("a", "b")
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
+        done = checkpointed(done.union(chosen.select("band", "key", "cls")))
+        pivots = _packs(chosen, ["band", "key"], sets, bands, "pivots")
+        asked = live.join(chosen.select("band", "key").distinct(), ["band", "key"], "left_semi")
+        asked = asked.withColumn("slot", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / PACK)))
+        packs = _packs(asked, ["band", "key", "slot"], sets, bands, "members")
+        found = checkpointed(_links_in_packs(packs, pivots, percent))
+        if not found.isEmpty():
+            links = links.union(found)
             roots = checkpointed(components(links, "a", "b"))
-    return roots.select(F.col("node").alias("cls"), "root") if roots is not None else classes.select("cls", F.col("cls").alias("root")).limit(0)
+    return roots.select(F.col("node").alias("cls"), "root")
 
 
 def near_duplicates(
