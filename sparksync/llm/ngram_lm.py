@@ -261,11 +261,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     as they are there. Other columns are not read. Without training rows
     every word is unknown.
     """
-    shards = shard_count(docs, 2)
+    shards = shard_count(docs, 4)
     rows = docs.select(
         F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"), F.coalesce(fold(id_col, folds) != held, F.lit(False)).alias("_train")
     )
-    blocks = pack_rows(rows, "_text")
+    blocks = pack_rows(rows, "_text", 2 << 20)
     hot, train_rows, train_words = _frequent(blocks, "_text", "_train")
 
     def ask():
