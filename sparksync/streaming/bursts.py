@@ -271,12 +271,13 @@ class CappedBursts(StatefulProcessor):
         if state is not None:
             self.handle.deleteTimer(self._deadline(state[0], state[1]))
         done = []
-        for batch in rows:
-            for ms in np.sort(batch["ms"].to_numpy()):
-                ms = int(ms)
-                if state is not None and ms - state[1] <= self.quiet and ms < state[0] + self.cap:
-                    state = (state[0], ms, state[2] + 1)
-                    continue
+        # A key's rows of one micro-batch come in several batches; the order holds over all of them.
+        for ms in np.sort(np.concatenate([batch["ms"].to_numpy() for batch in rows])).tolist():
+            if state is not None and state[0] - ms > self.quiet:
+                done.append((ms, ms, 1))  # late, and before the open burst
+            elif state is not None and ms - state[1] <= self.quiet and ms < state[0] + self.cap:
+                state = (min(state[0], ms), max(state[1], ms), state[2] + 1)
+            else:
                 if state is not None:
                     done.append(state)
                 state = (ms, ms, 1)

@@ -109,3 +109,11 @@ def test_tiers(spark):
     assert got == ["small", "small", "medium", "medium", "large"]
     strategy = lambda s, there: spark.range(1).select(tiers.choose_strategy(F.lit(s), F.lit(there))).first()[0]
     assert [strategy(10 << 20, True), strategy((10 << 20) + 1, True), strategy(1 << 30, False)] == ["copy", "delta", "copy"]
+
+
+def test_a_file_in_place_of_a_directory_clears_what_was_below(spark):
+    src = snap(spark, ("a", "file", 420, 1), ("ab/x", "x", 420, 1))
+    dst = snap(spark, ("a/x", "x", 420, 1), ("a/b/y", "y", 420, 1), ("ab/x", "x", 420, 1)).union(
+        spark.createDataFrame([("a", "dir", 0, 493, 1, 0, "")], COLS)
+    )
+    assert set(as_dict(apply.apply_plan(plan_sync(src, dst), src, dst))) == {"a", "ab/x"}

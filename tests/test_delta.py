@@ -199,9 +199,9 @@ def test_signature_cache(spark):
     new = rows(("same", big, 1), ("time", big, 2), ("head", b"!" + big[1:], 1), ("middle", middle, 1), ("new", big, 1))
     stored = cache.signature_cache_entries(old, signatures.fixed_block_signature(old), "fixed")
     hits, misses = cache.signature_cache(new, stored, "fixed")
-    # A change outside head and tail that keeps size and time is a hit by design.
-    assert {r["path"] for r in hits.collect()} == {"same", "middle"}
-    assert {r["path"] for r in misses.collect()} == {"time", "head", "new"}
+    # A change anywhere is a miss, also one that keeps size and time.
+    assert {r["path"] for r in hits.collect()} == {"same"}
+    assert {r["path"] for r in misses.collect()} == {"time", "head", "middle", "new"}
     assert cache.signature_cache(new, stored, "cdc")[0].isEmpty()
 
 
@@ -214,3 +214,21 @@ def test_fallback(spark):
     assert get() == {"a": None, "b": None, "c": "empty-basis"}
     assert get(budget=50) == {"a": "literal-budget", "b": None, "c": "empty-basis"}
     assert get(cross_basis=True)["a"] == "dissimilar"
+
+
+def test_emptied_and_new_empty_files_come_back(spark):
+    cols = "path string, content binary, hash string"
+    source = spark.createDataFrame([("emptied", b"", "e"), ("kept", b"abc" * 900, "k"), ("new", b"", "e")], cols)
+    basis = spark.createDataFrame([("emptied", b"x" * 2000, "x"), ("kept", b"abc" * 800, "y"), ("new", b"", "z")], cols)
+    for block in (64, None):
+        ops = delta.delta_between(source, basis, block) if block else delta.delta_between(source, basis)
+        built = {r["path"]: bytes(r["content"]) for r in delta.apply_patch(basis, ops, heads=source).collect()}
+        assert built == {"emptied": b"", "kept": b"abc" * 900, "new": b""}
+
+
+def test_blobs_do_not_go_to_python_beside_their_blocks(spark):
+    blobs = spark.createDataFrame([("a", noise(5_000))], "path string, content binary")
+    signed = signatures.fixed_block_signature(blobs, block=512, weak=True)
+    for columns in (["path", "weak"], ["path", "idx", "strong", "weak"]):
+        plan = signed.select(*columns)._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Generate") < plan.index("ArrowEvalPython")

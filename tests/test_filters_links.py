@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from sparksync.functions import globs, paths
-from sparksync.operators import filters, links
+from sparksync.operators import filters, links, reports
 
 FILTER_CASES = [
     # (excludes, includes, passing, hidden)
@@ -160,3 +160,18 @@ def test_final_mode(spark):
     for path, kind, mode, link, flags, want in MODES:
         df = spark.createDataFrame([(path, kind, mode, link)], "path string, kind string, mode int, link_target string")
         assert links.final_mode(df, **flags).first()["mode"] == want
+
+
+def test_classes_stay_inside_a_name_and_dots_count(spark):
+    df = spark.createDataFrame([("a/x",), ("ab",), ("a.",), ("a",)], "path string")
+    hit = {r["path"] for r in df.filter(globs.pattern_predicate("/a[!b]x", F.col("path"))).collect()}
+    assert hit == set()
+    got = {r["path"]: r["e"] for r in df.select("path", paths.extension(F.col("path")).alias("e")).collect()}
+    assert got == {"a/x": None, "ab": None, "a.": "", "a": None}
+
+
+def test_missing_source_hash_is_no_hash(spark):
+    sent = spark.createDataFrame([("a", None), ("b", "x")], "path string, hash string")
+    got = spark.createDataFrame([("a", "x"), ("b", "x")], "path string, hash string")
+    skips = sent.limit(0).select("path")
+    assert {r["path"]: r["status"] for r in reports.verify_report(sent, got, skips).collect()} == {"a": "no-hash", "b": "ok"}

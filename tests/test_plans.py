@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from sparksync.queries import REGISTRY
 
 STREAMING = {"watch_sync", "retry_cycle", "bounded_watch", "watch_totals", "debounce_stream"}
 
@@ -14,7 +14,7 @@ def plans(spark, sf):
     try:
         yield {
             name: fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
-            for name, fn in entry.queries().items()
+            for name, fn in REGISTRY.items()
             if name not in STREAMING
         }
     finally:

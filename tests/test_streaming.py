@@ -155,6 +155,40 @@ def test_watch_cycles(spark, tmp_path):
     assert snapshot(spark, place) == {"a": "22", "b": "back"}
 
 
+def test_second_start_keeps_applied_changes(spark, tmp_path):
+    src, place = str(tmp_path / "in"), str(tmp_path / "table")
+    spark.createDataFrame([change("a", "22", 1), change("b", "", 2, True)], CHANGE).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(CHANGE).parquet(src)
+    baseline = spark.createDataFrame([change("a", "1", 0), change("b", "1", 0)], CHANGE).drop("seq", "deleted")
+    for _ in range(2):
+        watch.watch_sync(stream, place, str(tmp_path / "cp"), baseline=baseline, available_now=True).awaitTermination()
+        assert snapshot(spark, place) == {"a": "22"}
+
+
+def test_capped_stream_with_small_batches(spark, tmp_path):
+    """More events of a key than an Arrow batch holds, and a late event."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    feed(spark, [("k", 20.0), ("k", 21.0), ("k", 1.0), ("k", 2.5), ("k", 2.0)]).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("key string, ts timestamp").parquet(src)
+    conf = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for end in (1e6, 2e6):
+            feed(spark, [("end", end)]).write.mode("append").parquet(src)
+            bursts.debounce_capped_stream(stream, "key", 2.0, 10.0, "1 hour").writeStream.outputMode("append").option(
+                "checkpointLocation", str(tmp_path / "cp")
+            ).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    got = sorted(r["events"] for r in spark.read.parquet(out).filter("key = 'k'").collect())
+    assert got == [2, 3]
+
+
 def test_failed_cycle_is_retried(spark, tmp_path):
     calls = []
 
