@@ -33,6 +33,7 @@ from sparksync.llm.text import BASE, Slice, mix, seeds
 
 MARK = "▁"
 LONG = 48
+BLOCK_BYTES = 2 << 20  # as characters of four bytes and hashes of eight, a block takes many times that
 MOST_PIECES = 1_000_000  # a larger table is joined by shuffling
 
 
@@ -99,12 +100,11 @@ class Splitter:
         offsets = offsets + np.concatenate([[0], np.cumsum(full)])
         n = len(chars)
         cut = np.ones(n, bool)
-        a, b = chars[:-1].astype(np.int64), chars[1:].astype(np.int64)
-        small = (a < 1024) & (b < 1024)
-        joined = np.zeros(max(n - 1, 0), bool)
-        joined[small] = self.table[a[small], b[small]]
+        a, b = chars[:-1], chars[1:]
+        small = (a | b) < 1024
+        joined = self.table[a & 1023, b & 1023] & small
         rest = np.flatnonzero(~small)
-        key = (a[rest] << 32) | b[rest]
+        key = (a[rest].astype(np.int64) << 32) | b[rest]
         if len(self.pairs):
             joined[rest] = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] == key
         cut[1:] = ~joined
@@ -325,7 +325,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out_col: str
     out = free_name(docs, out_col)
     shards, pairs, zero = shard_count(docs), pieces.pairs(), pieces.byte_zero
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    blocks = pack_rows(docs, text_col)
+    blocks = pack_rows(docs, text_col, BLOCK_BYTES)
     messages = block_words(blocks, text_col, pairs, shards)
     coded = encode_words(distinct_words(messages), pieces, fold).withColumn("shard", F.shiftright("key", 32).cast("int"))
 

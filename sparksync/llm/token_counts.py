@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparksync.llm.blocks import expand, pack_rows, send, shard_bounds, shard_count, shrink
-from sparksync.llm.pieces import Pieces, Splitter, _distinct, merge_encode, pack_words, unpack_words
+from sparksync.llm.pieces import BLOCK_BYTES, Pieces, Splitter, _distinct, merge_encode, pack_words, unpack_words
 from sparksync.llm.text import Slice
 
 
@@ -51,7 +51,7 @@ def word_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
                 total[word] += n
         return pa.table({"word": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
 
-    messages = send(pack_rows(docs.select(text_col), text_col), text_col, ask)
+    messages = send(pack_rows(docs.select(text_col), text_col, BLOCK_BYTES), text_col, ask)
     return messages.groupBy("shard").applyInArrow(add, "word string, n long")
 
 
