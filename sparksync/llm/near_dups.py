@@ -286,7 +286,18 @@ def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
             break
         done = checkpointed(done.union(chosen.select("band", "key", "cls")))
         pivots = _packs(chosen, ["band", "key"], sets, bands, "pivots")
-        asked = live.join(chosen.select("band", "key").distinct(), ["band", "key"], "left_semi")
+        # Only members that some pivot of the bucket could be linked with fetch their sets.
+        limits = chosen.groupBy("band", "key").agg(
+            F.min(F.coalesce("far", F.lit(-9.0))).alias("near_p"),
+            F.max(F.coalesce("far", F.lit(9.0))).alias("far_p"),
+            F.max(F.col("n") - F.col("own")).alias("shared_p"),
+            F.min("n").alias("n_p"),
+        )
+        slack = 1 - percent / 100 + 1e-9
+        asked = live.join(limits, ["band", "key"]).filter(
+            _enough_shared(F.least(F.col("n") - F.col("own"), F.col("shared_p")), F.col("n") + F.col("n_p"), percent)
+            & F.coalesce(F.col("far").between(F.col("near_p") - slack, F.col("far_p") + slack), F.lit(True))
+        )
         asked = asked.withColumn("slot", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / PACK)))
         packs = _packs(asked, ["band", "key", "slot"], sets, bands, "members")
         found = checkpointed(_links_in_packs(packs, pivots, percent))
