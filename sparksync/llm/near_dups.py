@@ -46,7 +46,7 @@ def shingle_sets(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarr
     factors = seeds(width, 99) | np.uint64(1)
     n = len(hashes)
     sums = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         sums[: n - k] += hashes[k:] * factors[k]
     left = words.first[1:][words.doc] - np.arange(n)  # words from here to the end of the row
     whole = left >= width

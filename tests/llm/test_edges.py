@@ -83,6 +83,17 @@ def test_near_duplicates(docs, empty):
     assert near_dups.near_duplicates(empty).collect() == []
 
 
+def test_near_duplicates_at_width_5(spark, docs):
+    for text in ("two words", "now three words"):
+        alone = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert [tuple(r) for r in near_dups.near_duplicates(alone, width=5).collect()] == [(1, 1, 1, True)]
+    short = spark.createDataFrame([(9, "two words")], "doc_id long, text string")
+    rows = near_dups.near_duplicates(docs.select("doc_id", "text").union(short), width=5).collect()
+    found = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in rows}
+    assert len(rows) == len(ROWS) + 1 and found[(9, 1)] == (9, True)
+    assert found[(1, 12)] == (1, True) and found[(2, 12)] == (1, False) and found[(None, 12)] == (1, False)
+
+
 def test_lm_scores(docs, empty):
     rows = ngram_lm.lm_scores(docs).collect()
     assert len(rows) == len(ROWS)
