@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparksync.llm.labelled import fit_logistic, fit_sample, fold, logistic
 from sparksync.llm.text import NOT_ALNUM, Hasher, Words, fold_case, slices
+from sparksync.session import checkpointed
 
 FIT_ROWS = 20_000
 CANDIDATES = 20_000
 LEXICON = 200
 MIN_DOCS = 6
-MIN_PLACES = 0.25  # different words before a term, per text it is in
 MIN_ODDS = 30.0
 WINDOW = 6
 CONTEXT_BUCKETS = 1 << 14
@@ -70,7 +70,12 @@ def _term_counts(sample: DataFrame, label: int, among: set[tuple[bytes, bool]] |
 
 
 def learn_lexicon(sample: DataFrame) -> list[tuple[bytes, bool]]:
-    """At most LEXICON (term, is a whole word), from at most CANDIDATES terms of toxic texts."""
+    """At most LEXICON (term, is a whole word), from at most CANDIDATES terms of toxic texts.
+
+    Copies of a text count once for each label that they have, so that they
+    neither add a term nor bar one.
+    """
+    sample = checkpointed(sample.groupBy("label", F.sha2("text", 256)).agg(F.min("text").alias("text")).select("text", "label"))
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return []
@@ -81,30 +86,11 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[bytes, bool]]:
     def odds(term: tuple[bytes, bool]) -> float:
         return (toxic[term] + 0.5) / sizes[1] / ((clean.get(term, 0) + 0.5) / sizes[0])
 
-    able = {t: i for i, t in enumerate(sorted(t for t in toxic if odds(t) >= MIN_ODDS))}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, bytes]] = set()
-        for s in slices(batches, "text"):
-            words = Words(s.data, s.offsets, SEPARATORS)
-            raw = fold_case()[s.data].tobytes()
-            before = b""
-            for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True):
-                word = raw[a:b]
-                if 3 <= b - a <= 40:
-                    seen.update((able[t], before) for t in _prefixes(word) if t in able)
-                before = word
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.binary())], ["term", "before"])
-
-    pairs = sample.filter("label = 1").select("text").mapInArrow(run, "term int, before binary").distinct()
-    places = {r.term: r["count"] for r in pairs.groupBy("term").count().collect()}
+    able = [t for t in toxic if odds(t) >= MIN_ODDS]
     chosen: list[tuple[bytes, bool]] = []
     # The most frequent first; of equals the whole word, then the longer stem.
     for term in sorted(able, key=lambda t: (-toxic[t], not t[1], -len(t[0]), t[0])):
         text, whole = term
-        # Copies of one text repeat a word in one place; a term of its own turns up after many words.
-        if places.get(able[term], 0) < max(MIN_DOCS, MIN_PLACES * toxic[term]):
-            continue
         implied = any(text.startswith(c) for c, w in chosen if not w)
         explained = not whole and sum(toxic[c] for c in chosen if c[0].startswith(text)) >= 0.9 * toxic[term]
         if not implied and not explained:

@@ -57,6 +57,18 @@ def test_levenshtein_table():
         assert kind == want, word
 
 
+def test_copies_neither_add_nor_bar_a_term(spark):
+    rng = random.Random(5)
+    noise = lambda: " ".join("w" + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12))
+    toxic = [(f"{noise()} {noise().split()[0]} gribbet {noise()}", 1) for _ in range(30)]
+    toxic += [(f"{noise()} you snorkop {noise()}", 1) for _ in range(30)]
+    copies = [("only here stands zumblat beside gribbet and nothing more", 1)] * 400
+    clean = [(f"{noise()} you here only stands and nothing more beside", 0) for _ in range(2000)]
+    sample = spark.createDataFrame(toxic + copies + clean, "text string, label int")
+    found = {t for t, whole in toxicity.learn_lexicon(sample) if whole}
+    assert {b"gribbet", b"snorkop"} <= found and b"zumblat" not in found
+
+
 def test_automaton_against_plain_search():
     rng = random.Random(2)
     code = lambda ws: np.array([ord(w) * 2654435761 % 2**64 for w in ws], np.uint64)
