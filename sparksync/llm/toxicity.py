@@ -28,8 +28,6 @@ from sparksync.llm.text import NOT_ALNUM, Hasher, Words, fold_case, slices
 from sparksync.session import checkpointed
 
 FIT_ROWS = 20_000
-CANDIDATES = 20_000
-LEXICON = 200
 MIN_DOCS = 6
 MIN_ODDS = 30.0
 WINDOW = 6
@@ -51,26 +49,26 @@ def _doc_words(s, words: Words) -> Iterator[set[bytes]]:
         yield {raw[a:b] for a, b in spans[words.first[d] : words.first[d + 1]] if 3 <= b - a <= 40}
 
 
-def _term_counts(sample: DataFrame, label: int, among: set[tuple[bytes, bool]] | None) -> DataFrame:
-    """(term, whole, docs): in how many texts of a label each term occurs."""
+def _term_counts(sample: DataFrame) -> DataFrame:
+    """(term, whole, toxic, clean): in how many texts of either label each term occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for s in slices(batches, "text"):
-            for found in _doc_words(s, Words(s.data, s.offsets, SEPARATORS)):
-                terms = {t for w in found for t in _prefixes(w)}
-                counts.update(terms if among is None else terms & among)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([t for t, _ in counts], pa.binary()), pa.array([w for _, w in counts], pa.bool_()), pa.array(list(counts.values()), pa.int64())],
-            ["term", "whole", "docs"],
-        )
+            label = np.asarray(s.column("label"))
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for y, found in zip(label.tolist(), _doc_words(s, Words(s.data, s.offsets, SEPARATORS)), strict=True):
+                counts[y == 1].update({t for w in found for t in _prefixes(w)})
+            terms = list(counts[0].keys() | counts[1].keys())
+            columns = [pa.array([t for t, _ in terms], pa.binary()), pa.array([w for _, w in terms], pa.bool_())]
+            columns += [pa.array([counts[y][t] for t in terms], pa.int64()) for y in (1, 0)]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "whole", "toxic", "clean"])
 
-    found = sample.filter(F.col("label") == label).select("text").mapInArrow(run, "term binary, whole boolean, docs long")
-    return found.groupBy("term", "whole").agg(F.sum("docs").alias("docs"))
+    found = sample.mapInArrow(run, "term binary, whole boolean, toxic long, clean long")
+    return found.groupBy("term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_lexicon(sample: DataFrame) -> list[tuple[bytes, bool]]:
-    """At most LEXICON (term, is a whole word), from at most CANDIDATES terms of toxic texts.
+    """Every (term, is a whole word) in MIN_DOCS toxic texts with MIN_ODDS that no other of them stands for.
 
     Copies of a text count once for each label that they have, so that they
     neither add a term nor bar one.
@@ -79,25 +77,21 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[bytes, bool]]:
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return []
-    rows = _term_counts(sample, 1, None).filter(F.col("docs") >= MIN_DOCS).orderBy(F.desc("docs"), "term", "whole").limit(CANDIDATES).collect()
-    toxic = {(bytes(r.term), r.whole): r.docs for r in rows}
-    clean = {(bytes(r.term), r.whole): r.docs for r in _term_counts(sample, 0, set(toxic)).collect()}
-
-    def odds(term: tuple[bytes, bool]) -> float:
-        return (toxic[term] + 0.5) / sizes[1] / ((clean.get(term, 0) + 0.5) / sizes[0])
-
-    able = [t for t in toxic if odds(t) >= MIN_ODDS]
-    chosen: list[tuple[bytes, bool]] = []
+    odds = (F.col("toxic") + 0.5) / sizes[1] / ((F.col("clean") + 0.5) / sizes[0])
+    passed = _term_counts(sample).filter((F.col("toxic") >= MIN_DOCS) & (odds >= MIN_ODDS)).select("term", "whole", "toxic")
+    toxic = {(bytes(r.term), r.whole): r.toxic for r in passed.collect()}
+    chosen: set[tuple[bytes, bool]] = set()
+    below: Counter = Counter()  # texts of the chosen terms that start with these bytes
     # The most frequent first; of equals the whole word, then the longer stem.
-    for term in sorted(able, key=lambda t: (-toxic[t], not t[1], -len(t[0]), t[0])):
+    for term in sorted(toxic, key=lambda t: (-toxic[t], not t[1], -len(t[0]), t[0])):
         text, whole = term
-        implied = any(text.startswith(c) for c, w in chosen if not w)
-        explained = not whole and sum(toxic[c] for c in chosen if c[0].startswith(text)) >= 0.9 * toxic[term]
+        starts = [text[:n] for n in range(1, len(text) + 1)]
+        implied = any((c, False) in chosen for c in starts)
+        explained = not whole and below[text] >= 0.9 * toxic[term]
         if not implied and not explained:
-            chosen.append(term)
-        if len(chosen) == LEXICON:
-            break
-    return chosen
+            chosen.add(term)
+            below.update(dict.fromkeys(starts, toxic[term]))
+    return sorted(chosen)
 
 
 def build_table(lexicon: list[tuple[bytes, bool]]) -> dict[str, np.ndarray]:
@@ -139,7 +133,12 @@ def build_table(lexicon: list[tuple[bytes, bool]]) -> dict[str, np.ndarray]:
     while queue:
         state = queue.pop()
         row = table[numbers[state]]
+        # Letters that no node of the state goes on with all lead where a letter of no term does.
+        onward = {b for v, _ in state for b in nodes[v]}
         for c, b in enumerate([None, *letters]):
+            if c and b not in onward:
+                row[c] = row[0]
+                continue
             after: set[tuple[int, int]] = set()
             hit = False
             for v, e in state:
@@ -248,7 +247,7 @@ def _context_weights(sample: DataFrame, table: dict[str, np.ndarray]) -> np.ndar
 
 
 class ToxicityModel:
-    """What the documents are scored with; its size is bounded by the constants above."""
+    """What the documents are scored with; the labelled sample bounds its size."""
 
     def __init__(self, lexicon: list[tuple[bytes, bool]], table: dict, weights: np.ndarray, regression: np.ndarray) -> None:
         self.lexicon, self.table, self.weights, self.regression = lexicon, table, weights, regression

@@ -69,6 +69,17 @@ def test_copies_neither_add_nor_bar_a_term(spark):
     assert {b"gribbet", b"snorkop"} <= found and b"zumblat" not in found
 
 
+def test_lexicon_has_every_term_with_the_odds(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))[::-1]
+    terms, common = [f"{name(1000 * i)}x" for i in range(300)], [f"{name(7 * i)}clean{name(i)}" for i in range(4000)]
+    toxic = [(" ".join([*common, *terms[i % 10 * 30 : i % 10 * 30 + 30], f"own{i}"]), 1) for i in range(70)]
+    clean = [(" ".join([*common, f"own{i}"]), 0) for i in range(70, 470)]
+    sample = spark.createDataFrame(toxic + clean, "text string, label int")
+    found = toxicity.learn_lexicon(sample)
+    stands = {t for t, whole in found if whole} | {t for t in map(str.encode, terms) if any(t.startswith(c) for c, w in found if not w)}
+    assert set(map(str.encode, terms)) <= stands and not any(t.startswith(c.encode()) for t, _ in found for c in common)
+
+
 def test_automaton_against_plain_search():
     rng = random.Random(2)
     code = lambda ws: np.array([ord(w) * 2654435761 % 2**64 for w in ws], np.uint64)
