@@ -9,7 +9,8 @@ rounds for all but short texts. Two sets agree in a coordinate with the
 probability of their Jaccard similarity.
 
 Equal sets are one class, found by a digest, so copies never meet each other.
-Classes with an equal band are candidates. Inside a bucket nobody is compared
+Classes with an equal band are candidates; ``band_shape`` sets the bands by the
+threshold. Inside a bucket nobody is compared
 with everybody: the member with the most bucket mates is the pivot of the
 first round, which joins nearly all of a group of near copies, since they
 surround their original. Later rounds take up to ``PIVOTS`` members per bucket
@@ -33,7 +34,7 @@ from sparksync.llm.text import WHITE, Hasher, Words, mix, seeds, signed, slices
 from sparksync.session import checkpointed
 
 COORDS = 256
-BANDS = 32
+MAX_LOSS = 1e-4  # chance that a pair at the threshold shares no band
 PIVOTS = 256
 PACK = 128
 
@@ -64,6 +65,13 @@ def shingle_sets(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarr
     return doc[new], x[new]
 
 
+def band_shape(percent: int) -> tuple[int, int]:
+    """(bands, coordinates of each): the longest bands that lose a pair at ``percent`` with at most MAX_LOSS."""
+    fits = [r for r in range(1, COORDS + 1) if (1 - (percent / 100) ** r) ** (COORDS // r) <= MAX_LOSS]
+    length = max(fits, default=1)
+    return COORDS // length, length
+
+
 def sketches(doc: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
     """Sketch of each row's set; rows without elements keep the largest value."""
     empty = np.uint64(2**64 - 1)
@@ -92,9 +100,10 @@ def _class_keys(doc: np.ndarray, x: np.ndarray, rows: int) -> list[bytes | None]
     return [raw[16 * i : 16 * i + 16] if bounds[i] < bounds[i + 1] else None for i in range(rows)]
 
 
-def sketch_documents(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def sketch_documents(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """(id, n_shingles, cls, bands) of every row; cls and bands are null for an empty set."""
     kind = docs.schema[id_col].dataType
+    count, length = band_shape(percent)
     schema = f"{id_col} {kind.simpleString()}, n_shingles long, cls binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +113,10 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, width: int) ->
             words = Words(s.data, s.offsets, WHITE)
             doc, x = shingle_sets(words, hasher.words(s.data, words), width)
             sizes = np.bincount(doc, minlength=s.n)
-            terms = mix(sketches(doc, x, s.n)) * salt
-            bands = signed(mix(terms.reshape(s.n, BANDS, -1).sum(2)))
+            terms = (mix(sketches(doc, x, s.n)) * salt)[:, : count * length]
+            bands = signed(mix(terms.reshape(s.n, count, length).sum(2)))
             lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, (s.n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.ravel()), mask=pa.array(sizes == 0)
+                pa.array(np.arange(0, (s.n + 1) * count, count, dtype=np.int32)), pa.array(bands.ravel()), mask=pa.array(sizes == 0)
             )
             keys = pa.array(_class_keys(doc, x, s.n), pa.binary())
             yield pa.RecordBatch.from_arrays([s.column(id_col), pa.array(sizes), keys, lists], [id_col, "n_shingles", "cls", "bands"])
@@ -192,7 +201,7 @@ def _links_in_packs(members: DataFrame, pivots: DataFrame, percent: int) -> Data
         rows = packed.values
         out = {k: np.asarray(rows.field(k)) for k in ("n", "own")}
         out["far"] = np.asarray(rows.field("far").cast(pa.float64()).fill_null(float("nan")))
-        out["bands"] = np.asarray(rows.field("bands").flatten()).reshape(len(rows), BANDS)
+        out["bands"] = np.asarray(rows.field("bands").flatten()).reshape(len(rows), -1)
         out["cls"], out["comp"] = rows.field("cls").to_pylist(), rows.field("comp").to_pylist()
         out["sets"] = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("shingles")]
         return out
@@ -320,7 +329,7 @@ def near_duplicates(
     component of its class if that has any id, else null, and is kept only in
     the latter case. Other columns are not read. An empty table gives no rows.
     """
-    rows = checkpointed(sketch_documents(docs, id_col, text_col, width))
+    rows = checkpointed(sketch_documents(docs, id_col, text_col, width, percent))
     classes = checkpointed(
         rows.filter("cls is not null")
         .groupBy("cls")

@@ -44,6 +44,16 @@ def test_sketches_agree_as_often_as_sets_overlap():
     assert abs((made[0] == made[1]).mean() - 300 / 500) < 0.12
 
 
+def test_bands_follow_the_threshold(spark):
+    assert near_dups.band_shape(85) == (32, 8) and near_dups.band_shape(80) == (42, 6)
+    for percent in (70, 80, 85, 90):
+        bands, length = near_dups.band_shape(percent)
+        assert bands * length <= near_dups.COORDS and (1 - (percent / 100) ** length) ** bands <= 1e-4
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, None)], "doc_id long, text string")
+    sizes = [len(r.bands) for r in near_dups.sketch_documents(docs, "doc_id", "text", 5, 80).filter("bands is not null").collect()]
+    assert sizes == [42]
+
+
 def test_levenshtein_table():
     terms = [(b"idiot", True), (b"scum", True), (b"lowei", False)]
     found = toxicity.build_table(terms)
