@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparksync.llm.decontaminate import decontaminate
-from sparksync.llm.near_dups import near_duplicates
+from sparksync.llm.near_dups import one_of_each
 from sparksync.llm.pieces import encode, read_pieces
 from sparksync.llm.queries import piece_model, table
 from sparksync.llm.suffix_dedup import remove_repeats
-from sparksync.llm.toxicity import toxicity
+from sparksync.llm.toxicity import fit_toxicity
 from sparksync.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go. Rows without an id cannot be told apart and stay."""
-    rejected = toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id")
-    return docs.join(rejected.distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that the toxicity model rejects go, each by its own text, also where ids are repeated or null."""
+    return fit_toxicity(docs, table(spark, sf_dir, "labels")).accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    gone = near_duplicates(docs, width=5, percent=80).filter("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates stays, the one with the smallest doc_id; see ``one_of_each``."""
+    return one_of_each(docs, width=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sparksync.llm.decontaminate import free_name
 from sparksync.llm.graph import components
 from sparksync.llm.text import WHITE, Hasher, Words, mix, seeds, signed, slices
 from sparksync.session import checkpointed
@@ -100,11 +101,12 @@ def _class_keys(doc: np.ndarray, x: np.ndarray, rows: int) -> list[bytes | None]
     return [raw[16 * i : 16 * i + 16] if bounds[i] < bounds[i + 1] else None for i in range(rows)]
 
 
-def sketch_documents(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(id, n_shingles, cls, bands) of every row; cls and bands are null for an empty set."""
+def sketch_documents(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_shingles, cls, bands) and the columns ``carry`` of every row; cls and bands are null for an empty set."""
     kind = docs.schema[id_col].dataType
     count, length = band_shape(percent)
     schema = f"{id_col} {kind.simpleString()}, n_shingles long, cls binary, bands array<long>"
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -119,9 +121,10 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, width: int, pe
                 pa.array(np.arange(0, (s.n + 1) * count, count, dtype=np.int32)), pa.array(bands.ravel()), mask=pa.array(sizes == 0)
             )
             keys = pa.array(_class_keys(doc, x, s.n), pa.binary())
-            yield pa.RecordBatch.from_arrays([s.column(id_col), pa.array(sizes), keys, lists], [id_col, "n_shingles", "cls", "bands"])
+            columns = [s.column(id_col), pa.array(sizes), keys, lists, *map(s.column, carry)]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_shingles", "cls", "bands", *carry])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, *carry).mapInArrow(run, schema)
 
 
 def sets_of(docs: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -316,20 +319,11 @@ def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
     return roots.select(F.col("node").alias("cls"), "root")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
-) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    component_id is the smallest id among the rows reached through links.
-    A null or empty text, or one without words, has no shingles, links with
-    nothing and is its own component. Repeated rows are copies of each other;
-    rows with one id and different texts are documents of their own that share
-    the id. A row without an id is never a component's name: it gets the
-    component of its class if that has any id, else null, and is kept only in
-    the latter case. Other columns are not read. An empty table gives no rows.
-    """
-    rows = checkpointed(sketch_documents(docs, id_col, text_col, width, percent))
+def _grouped(
+    docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, carry: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, cls) with ``carry`` of every row, and (cls, rep, root) of every class: smallest id, component."""
+    rows = checkpointed(sketch_documents(docs, id_col, text_col, width, percent, carry))
     classes = checkpointed(
         rows.filter("cls is not null")
         .groupBy("cls")
@@ -346,11 +340,49 @@ def near_duplicates(
         return sets_of(texts, "_text", width).join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
     roots = class_links(classes.drop("rep"), fetch, percent)
-    named = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = classes.select("cls", "rep").join(roots, "cls", "left")
+    return rows.drop("bands"), named.withColumn("root", F.coalesce("root", "cls"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
+) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    component_id is the smallest id among the rows reached through links.
+    A null or empty text, or one without words, has no shingles, links with
+    nothing and is its own component. Repeated rows are copies of each other;
+    rows with one id and different texts are documents of their own that share
+    the id. A row without an id is never a component's name: it gets the
+    component of its class if that has any id, else null, and is kept only in
+    the latter case. Other columns are not read. An empty table gives no rows.
+    """
+    rows, named = _grouped(docs, id_col, text_col, width, percent)
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(lowest, "root").select("cls", "component_id")
-    out = rows.drop("bands").join(named, "cls", "left")
+    out = rows.join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
     return out.select(
         id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col).eqNullSafe(component), F.lit(False)).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, of several the one with the smallest digest.
+
+    Rows are told apart by id and text, not by the id alone, so a text of its
+    own stays whatever other rows share its id. Of rows with equal id and text
+    any one stays. Rows without an id come after all others, so a component of
+    such rows only keeps one of them. Rows without words stay, all of them.
+    """
+    key = free_name(docs, "key")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = F.coalesce(F.sha2(F.col(id_col).cast("string").cast("binary"), 256), F.lit("-"))
+    keyed = docs.withColumn(key, F.sha2(F.concat(named, text).cast("binary"), 256))
+    plain = keyed.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(key).alias("_key"))
+    rows, classes = _grouped(plain, "_id", "_text", width, percent, ("_key",))
+    own = rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_key")).alias("best"))
+    best = own.join(classes.select("cls", "root"), "cls").groupBy("root").agg(F.min("best").alias("best"))
+    has_words = text.rlike(r"[^\x20\x09-\x0D]")
+    stays = keyed.filter(has_words).join(best.select(F.col("best._key").alias(key)), key, "left_semi").dropDuplicates([key])
+    return stays.union(keyed.filter(~has_words).select(stays.columns)).select(docs.columns)

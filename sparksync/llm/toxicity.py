@@ -269,6 +269,18 @@ class ToxicityModel:
 
         return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double, n_exact long, n_misspelled long")
 
+    def accepted(self, docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+        """The rows of ``docs`` that score below ``threshold``, each judged by its own text."""
+        table, weights, regression = self.table, self.weights, self.regression
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher = Hasher()
+            for s in slices(batches, text_col):
+                score = logistic(Contexts(s, table, hasher).features(s.n, weights), regression)
+                yield s.batch.filter(pa.array(score < threshold))
+
+        return docs.mapInArrow(run, docs.schema)
+
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> ToxicityModel:
     """Learn lexicon, context weights and regression from at most ``rows`` labelled texts.

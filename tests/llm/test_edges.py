@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparksync.llm import decontaminate, ngram_lm, near_dups, pieces, quality, sharding, suffix_dedup, token_counts, topk, toxicity
 from sparksync.llm.queries import piece_model
 
@@ -83,6 +84,24 @@ def test_near_duplicates(docs, empty):
     assert near_dups.near_duplicates(empty).collect() == []
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    story, other = ROWS[0][1], "another clean text with quite other words that nobody has written before this day"
+    rows = [(1, story, "a"), (2, story, "b"), (2, other, "c"), (2, other, "c"), (None, story, "d"), (None, "only without an id", "e"), (None, "only without an id", "f"), (3, "", "g"), (3, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text), r.key) for r in kept.collect())
+    assert [x for x in got if x[1] != "only without an id"] == sorted([("1", story, "a"), ("2", other, "c"), ("3", "", "g"), ("3", "None", "h")])
+    assert len([x for x in got if x[1] == "only without an id"]) == 1
+
+    known = [(i, f"what a gribbet number{i} you are", 1) for i in range(100, 160)] + [(i, f"what a nice number{i} you are", 0) for i in range(160, 400)]
+    mixed = [(7, "what a gribbet you are"), (7, "what a nice day"), (None, "what a gribbet you are"), (None, "such a day"), (8, None)]
+    spark.createDataFrame([(i, y) for i, _, y in known], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in known] + mixed, "doc_id long, text string")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).filter("doc_id is null or doc_id < 100").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("7", "what a nice day"), ("8", "None"), ("None", "such a day")]
+
+
 def test_near_duplicates_at_width_5(spark, docs):
     for text in ("two words", "now three words"):
         alone = spark.createDataFrame([(1, text)], "doc_id long, text string")
