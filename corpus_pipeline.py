@@ -46,7 +46,7 @@ STAGES = [
     ("pieces", encode_pieces),
 ]
 
-#: SQL cannot express the models and the byte-level stages; the stages are tested against brute force.
+#: SQL cannot express the models and the byte-level stages; toxicity is tested against its query, the others against plain versions.
 ORACLE_SQL = None
 
 
