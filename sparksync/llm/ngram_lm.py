@@ -1,4 +1,4 @@
-"""Language-model scores from an Elias-Fano trie of word pairs.
+"""Language-model scores from a trie of word pairs, stored by Elias-Fano.
 
 The model interpolates: p(w | v) = max(c(v w) - D, 0) / c(v) + D * T(v) / c(v) * p(w),
 where T(v) is the number of different words after v and p(w) = (c(w) + 1) / (N + V + 1).
@@ -10,9 +10,11 @@ each context's successors, also monotone, and the successors, whose numbers
 within a context are made monotone over all contexts by adding the context's
 place times the number of words. Each is stored by Elias-Fano: high bits in unary,
 low bits packed. The discounted probabilities are quantised to 16 bits beside
-the successors. The levels lie in one file that is memory-mapped while a shard
-answers and removed afterwards. A pair is found by the successor search for its
-number relative to its context.
+the successors. The levels go through one file, which is mapped and removed
+after a shard has answered, but they are not searched there: all four are
+decoded into plain 64-bit arrays, so a shard takes the memory of those. A pair
+is found by binary search for its number, the context's place times the number
+of words plus the word's, among all pairs of the shard.
 
 Blocks of documents send their distinct pairs with training counts, which build
 the trie and query it at once. Frequent contexts, at most ``HOT`` of them, are
@@ -77,7 +79,7 @@ class EliasFano:
 
 
 class Trie:
-    """The levels of one shard, in a memory-mapped file."""
+    """The levels of one shard, written to a file and decoded from it; codes and totals stay mapped."""
 
     def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, path: str) -> None:
         """``context`` and ``word`` are sorted distinct pairs with a positive count."""
