@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sparksync.llm.chat import MISTRAL_LIKE
+
 #: SQL text of a lower-cased text and its words, for A-Z only.
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -69,7 +71,38 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+def _escaped(text: str) -> str:
+    """SQL for a text with doubled backslashes and broken control strings."""
+    text = rf"replace(coalesce({text}, ''), '\', '\\')"
+    for word in MISTRAL_LIKE.control():
+        text = rf"replace({text}, '{word}', '{word[0]}\{word[1:]}')"
+    return text
+
+
+CHAT = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(k, r)
+),
+marked AS (
+    SELECT *, {_escaped('text')} AS body, CASE role WHEN 'system' THEN '[SYS]' WHEN 'user' THEN '[INST]' WHEN 'assistant' THEN '[ANS]'
+        ELSE '[ROLE]' || {_escaped('role')} || '[/ROLE]' END AS first,
+        CASE role WHEN 'system' THEN '[/SYS]' WHEN 'user' THEN '[/INST]' WHEN 'assistant' THEN '</s>' ELSE '[/TURN]' END AS last
+    FROM turns
+),
+joined AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, body) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn, role, body) FILTER (WHERE role = 'assistant'), '') AS learned,
+        3 + sum(length(first) + length(body) + length(last)) AS formatted_chars
+    FROM marked GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+    CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM joined
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_chat_formatting": CHAT,
     "op7_topk_search": TOP_K,
     "op9_benchmark_decontamination": DECONTAMINATION,
     "op4_minhash_near_dedup": f"WITH RECURSIVE {_near(3, 85, 'documents')} SELECT * FROM near_out",
