@@ -5,14 +5,16 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sparksync.functions.binding import let
 from sparksync.llm.chat import format_chat, learned_text, read_turns
 from sparksync.llm.decontaminate import is_contaminated, mark_overlaps, n_hit
 from sparksync.llm.near_dups import near_duplicates
 from sparksync.llm.ngram_lm import lm_scores
 from sparksync.llm.pieces import decode, encode, read_pieces
 from sparksync.llm.quality import quality
+from sparksync.llm.runs import find_runs
 from sparksync.llm.sharding import place
 from sparksync.llm.suffix_dedup import mark_repeats
 from sparksync.llm.token_counts import token_counts
@@ -146,3 +148,38 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def with_periodic_tail(text: Column, doc_id: Column) -> Column:
+    """The text of every tenth document by hash ends in a repeated stretch of its own words; others are left alone."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        period = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % period)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, at(i))), " ")).otherwise(text)
+
+    return F.when(h % 10 == 0, let(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)")), planted)).otherwise(text)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_periodic_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    marked, out = find_runs(docs, least=6, periods=4)
+    runs = F.col(f"{out}.runs")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform(runs, lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    marked = marked.select("doc_id", F.size(runs).cast("long").alias("n_runs"), longest.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(f"{out}.collapsed", 256).alias("collapsed_sha256"))
+    return marked.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.start")).alias("start"),
+        "best.length",
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
