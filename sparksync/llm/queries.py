@@ -20,6 +20,7 @@ from sparksync.llm.suffix_dedup import mark_repeats
 from sparksync.llm.token_counts import token_counts
 from sparksync.llm.topk import top_k
 from sparksync.llm.toxicity import toxicity
+from sparksync.llm.whitening import whiten
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -183,3 +184,8 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "runs_sha256",
         "collapsed_sha256",
     )
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), most=16)
