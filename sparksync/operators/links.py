@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparksync.functions import paths
-from sparksync.functions.skew import lookup_join
+from sparksync.operators.link_targets import MAX_HOPS, absolute, all_places, below_root, final_targets, resolved_links
 from sparksync.session import checkpointed
 
 # Extensions that make a file from Windows executable.
@@ -32,30 +32,46 @@ def resolve_links(links: DataFrame, root: str = "/root") -> DataFrame:
     return links.withColumn("resolved", paths.normalize(full)).withColumn("inside", inside)
 
 
-def classify_links(links: DataFrame, external: DataFrame, root: str = "/root") -> DataFrame:
-    """internal / external-file / external-dir / dangling-external per link.
-
-    A target below the root is internal even when nothing is there.
-    ``external`` lists (path, kind) of what exists outside; many links may
-    share one target, so the lookup spreads a hot target.
+def classify_links(
+    links: DataFrame, external: DataFrame, root: str = "/root", entries: DataFrame | None = None, max_hops: int = MAX_HOPS
+) -> DataFrame:
+    """internal / external-file / external-dir / dangling-external per link, by the end of its chain.
+
+    A chain that ends below the root is internal even when nothing is there.
+    A chain without an end is judged by the target as it is written.
+    ``external`` lists (path, kind[, link_target]) of what exists outside,
+    ``entries`` the whole inventory. Added columns: ``final`` and
+    ``final_inside`` (null for a loop), ``target_kind`` of what is at the end
+    (null if nothing is known there), ``link_class``.
     """
-    resolved = resolve_links(links, root)
-    known = external.select(F.col("path").alias("resolved"), F.col("kind").alias("_target_kind"))
+    places = checkpointed(all_places(links if entries is None else entries, external, root))
+    ends = resolved_links(places, root, max_hops).select(F.col("place").alias("_place"), "final", "target_kind")
+    joined = resolve_links(links, root).withColumn("_place", absolute(F.col("path"), root)).join(ends, "_place", "left").drop("_place")
+    joined = joined.withColumn("final_inside", below_root(F.col("final"), root))
     cls = (
-        F.when(F.col("inside").isNotNull(), "internal")
-        .when(F.col("_target_kind") == "dir", "external-dir")
-        .when(F.col("_target_kind").isNotNull(), "external-file")
+        F.when(F.coalesce("final_inside", F.when(F.col("final").isNull(), F.col("inside"))).isNotNull(), "internal")
+        .when(F.col("target_kind") == "dir", "external-dir")
+        .when(F.col("target_kind").isNotNull(), "external-file")
         .otherwise("dangling-external")
     )
-    joined = lookup_join(resolved, known, "resolved", spread="path")
-    return joined.withColumn("link_class", cls).drop("_target_kind")
+    return joined.withColumn("link_class", cls)
+
+
+def rewrite_internal_links(links: DataFrame, root: str = "/root", external: DataFrame | None = None) -> DataFrame:
+    """Internal links with the target written relative to the link's own directory.
+
+    The target as written counts where it lies inside; a link that comes back
+    inside by way of links outside gets the end of its chain.
+    """
+    if "link_class" not in links.columns:
+        none = links.sparkSession.createDataFrame([], "path string, kind string, link_target string")
+        links = classify_links(links, none if external is None else external, root)
+    kept = links.filter(F.col("link_class") == "internal")
+    return kept.withColumn("rewritten", _rewritten())
 
 
-def rewrite_internal_links(links: DataFrame, root: str = "/root") -> DataFrame:
-    """Internal links with the target written relative to the link's own directory."""
-    inside = resolve_links(links, root).filter(F.col("inside").isNotNull())
-    target = paths.relative_to(paths.parent(F.col("path")), F.col("inside"))
-    return inside.withColumn("rewritten", target)
+def _rewritten() -> Column:
+    return paths.relative_to(paths.parent(F.col("path")), F.coalesce("inside", "final_inside"))
 
 
 @dataclass(frozen=True)
@@ -76,36 +92,36 @@ def link_policy(
 ) -> DataFrame:
     """What becomes of each classified link: link (with its target), content, or skip (with a reason).
 
-    ``followable`` tells whether a link can be read through; by default
-    external links can, internal ones when they do not name themselves.
+    ``followable`` tells whether a link can be read through; by default a
+    link can whose chain has an end where something is.
     """
     cls, target = F.col("link_class"), F.col("link_target")
     self_link = F.col("inside") == F.col("path")
     if followable is None:
-        followable = F.when(cls == "internal", ~self_link).otherwise(cls != "dangling-external")
+        followable = F.col("target_kind").isNotNull()
     literal = ("link", target, None)
     # Each rule: (condition, outcome, target to write, reason).
     if policy.skip:
-        rules = [(F.lit(True), "skip", None, "links are skipped")]
+        rules = [(F.lit(True), "skip", None, "no links wanted")]
     elif policy.follow:
         rules = [
             (followable, "content", None, None),
-            (F.lit(True), "skip", None, "unreadable link target"),
+            (F.lit(True), "skip", None, "no end to read"),
         ]
     elif policy.literal:
         rules = [(F.lit(True), *literal)]
     else:
-        rewritten = paths.relative_to(paths.parent(F.col("path")), F.col("inside"))
+        rewritten = _rewritten()
         keep_file = policy.literal_external_file and not policy.windows_target
         rules = [
-            ((cls == "internal") & self_link, "skip", None, "loop detected"),
+            ((cls == "internal") & self_link, "skip", None, "names itself"),
             (cls == "internal", *(literal if policy.literal_internal else ("link", rewritten, None))),
             (cls == "external-file", *(literal if keep_file else ("content", None, None))),
             (
                 cls == "external-dir",
-                *(literal if policy.literal_external_dir else ("skip", None, "external directory link")),
+                *(literal if policy.literal_external_dir else ("skip", None, "directory outside")),
             ),
-            (F.lit(True), "skip", None, "dangling external link"),
+            (F.lit(True), "skip", None, "nothing outside there"),
         ]
 
     def pick(value) -> Column:
@@ -125,34 +141,28 @@ def link_policy(
     )
 
 
-def detect_link_cycles(links: DataFrame, root: str = "/root") -> DataFrame:
+def detect_link_cycles(links: DataFrame, root: str = "/root", max_hops: int = MAX_HOPS) -> DataFrame:
     """Links that cannot be followed to an end: self links, rings, directory loops.
 
-    A link is harmless when nothing at or below its target is a link that is
-    still in question. Harmless links are peeled off round by round; what
-    stays leads into a loop. Each round is a semi join against the set of
-    directories that hold questionable links, never a pair of links, and the
-    number of rounds is the longest harmless chain.
+    Chains are collapsed to their ends first, which finds self links and rings
+    in logarithmic rounds. Of the others a link is harmless when nothing below
+    its end is a link in question. Harmless links are peeled off; a round is a
+    semi join against the set of directories that hold links in question, and
+    their number is the deepest nesting of directories by links.
     """
-    inside = resolve_links(links, root).filter(F.col("inside").isNotNull())
-    rest = checkpointed(inside.select("path", "inside"))
+    resolved = resolve_links(links, root).select("path", "inside", "link_target", absolute(F.col("path"), root).alias("place"))
+    ends = final_targets(resolved.select("place", "link_target"), max_hops)
+    known = checkpointed(resolved.join(ends, "place").select("path", "inside", F.col("final").isNull().alias("endless"), below_root(F.col("final"), root).alias("end")))
+    rest = known.filter(F.col("endless") | F.col("end").isNotNull()).select("path", "inside", "endless", "end")
     count = rest.count()
     while count:
-        # A target may be a link, a directory above links, or a place below a
-        # directory link ('' is the root itself).
-        holds = rest.select(
-            F.explode(F.concat(F.array(F.lit("")), paths.ancestors(F.col("path"), include_self=True))).alias("place")
-        ).distinct()
-        through = rest.select(
-            "path", "inside", F.explode(paths.ancestors(F.col("inside"))).alias("above")
-        ).join(rest.select(F.col("path").alias("above")), "above", "left_semi").select("path", "inside")
-        direct = rest.join(holds, F.col("inside") == F.col("place"), "left_semi")
-        kept = checkpointed(direct.union(through).distinct())
-        left = kept.count()
-        rest = kept
-        if left == count:
+        holds = rest.select(F.explode(F.concat(F.array(F.lit("")), paths.ancestors(F.col("path")))).alias("end")).distinct()
+        left = rest.filter("not endless").join(holds, "end", "left_semi").select("path", "inside", "endless", "end")
+        rest = checkpointed(rest.filter("endless").unionByName(left))
+        now = rest.count()
+        if now == count:
             break
-        count = left
+        count = now
     return rest.select("path", F.when(F.col("path") == F.col("inside"), "self").otherwise("loop").alias("cycle"))
 
 

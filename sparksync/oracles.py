@@ -42,21 +42,61 @@ LINKS = """lnk AS (
       ELSE '../../outside' END AS link_target
   FROM pages)"""
 
-# Where each link points, as a path below the root; null outside of it.
-INSIDE = """ins AS (
-  SELECT page_id, path, link_target,
+# The whole link tree: every link with the absolute place it names, written out by hand.
+LINK_TREE = """pg AS (SELECT page_id AS p, page_id // 50 AS b, page_id // 30 AS c FROM pages),
+lt AS (
+  SELECT path, link_target, CASE WHEN page_id % 5 = 3 THEN 'p'||page_id ELSE link_target END AS rewritten,
     CASE page_id % 5
-      WHEN 0 THEN 'site'||(page_id % 20)||'/p'||((page_id // 80) * 80 + (page_id + 20) % 80)
-      WHEN 1 THEN 'site'||((page_id+1) % 20)||'/p'||(page_id+1)
-      WHEN 3 THEN path END AS inside
-  FROM lnk)"""
-
-CLASSES = """cls AS (
-  SELECT *, CASE WHEN inside IS NOT NULL THEN 'internal'
-      WHEN page_id % 5 = 2 AND page_id % 3 = 1 THEN 'external-file'
-      WHEN page_id % 5 = 2 AND page_id % 3 = 2 THEN 'external-dir'
-      ELSE 'dangling-external' END AS link_class
-  FROM ins)"""
+      WHEN 0 THEN '/root/site'||(page_id % 20)||'/p'||((page_id // 80) * 80 + (page_id + 20) % 80)
+      WHEN 1 THEN '/root/site'||((page_id+1) % 20)||'/p'||(page_id+1)
+      WHEN 2 THEN link_target
+      WHEN 3 THEN '/root/'||path
+      ELSE '/outside' END AS named
+  FROM lnk
+  UNION ALL
+  SELECT 'chain/c'||p, t, t, n FROM (SELECT p,
+    CASE WHEN p % 30 > 0 THEN 'c'||(p-1) WHEN c % 4 = 0 THEN '../data/b'||b||'/f'||p WHEN c % 4 = 1 THEN '/ext/'||(p+7)
+      WHEN c % 4 = 2 THEN '../data/b'||b ELSE '../data/none'||p END AS t,
+    CASE WHEN p % 30 > 0 THEN '/root/chain/c'||(p-1) WHEN c % 4 = 0 THEN '/root/data/b'||b||'/f'||p WHEN c % 4 = 1 THEN '/ext/'||(p+7)
+      WHEN c % 4 = 2 THEN '/root/data/b'||b ELSE '/root/data/none'||p END AS n FROM pg)
+  UNION ALL
+  SELECT 'via/v'||p, '../chain/c'||(c*30)||'/f'||p, '../chain/c'||(c*30)||'/f'||p, '/root/chain/c'||(c*30)||'/f'||p FROM pg WHERE p % 3 = 0
+  UNION ALL
+  SELECT 'hub'||b||'/h'||p, t, t, '/root/'||substr(t, 4)
+  FROM (SELECT *, CASE WHEN p % 20 = 0 THEN '../data/b'||b ELSE '../back'||b END AS t FROM pg WHERE p % 10 = 0)
+  UNION ALL
+  SELECT 'back'||b||'/up', '../hub'||b, '../hub'||b, '/root/hub'||b FROM pg WHERE p % 50 = 0),
+xt AS (
+  SELECT '/ext/'||page_id AS place, CASE WHEN page_id % 3 = 1 THEN 'file' ELSE 'dir' END AS kind FROM pages WHERE page_id % 5 = 2 AND page_id % 3 <> 0),
+allinks AS (
+  SELECT '/root/'||path AS place, named FROM lt
+  UNION ALL SELECT place||'/again', place FROM xt WHERE kind = 'dir'),
+reals AS (
+  SELECT '/root/data/b'||b||'/f'||p AS place, 'file' AS kind FROM pg WHERE p % 3 = 0
+  UNION ALL SELECT place, kind FROM xt
+  UNION ALL SELECT place||'/x', 'file' FROM xt WHERE kind = 'dir'),
+kinds AS (
+  SELECT * FROM reals
+  UNION SELECT '/root', 'dir'
+  UNION SELECT array_to_string(parts[1:i], '/'), 'dir'
+  FROM (SELECT parts, unnest(range(2, len(parts))) AS i FROM (
+    SELECT string_split(place, '/') AS parts FROM reals UNION ALL SELECT string_split(place, '/') FROM allinks))),
+walk AS (
+  SELECT place, named AS cur, 1 AS hops FROM allinks
+  UNION ALL
+  SELECT w.place, l.named || substr(w.cur, length(l.place) + 1), w.hops + 1
+  FROM walk w JOIN allinks l ON w.cur = l.place OR starts_with(w.cur, l.place||'/') WHERE w.hops <= 40),
+fin AS (
+  SELECT w.place, w.final, k.kind AS target_kind
+  FROM (SELECT place, CASE WHEN max(hops) <= 40 THEN arg_max(cur, hops) END AS final FROM walk GROUP BY place) w
+  LEFT JOIN kinds k ON k.place = w.final),
+cls AS (
+  SELECT lt.*, f.final, f.target_kind,
+    CASE WHEN starts_with(coalesce(f.final, lt.named), '/root/') THEN 'internal'
+      WHEN f.target_kind = 'dir' THEN 'external-dir' WHEN f.target_kind IS NOT NULL THEN 'external-file'
+      ELSE 'dangling-external' END AS link_class,
+    lt.named = '/root/'||lt.path AS selfish
+  FROM lt JOIN fin f ON f.place = '/root/'||lt.path)"""
 
 TREE = """tree AS (
   SELECT path, 'file' AS kind, size, NULL AS link_target FROM dst
@@ -491,44 +531,53 @@ FROM c"""
 
 # --- links and permissions ---------------------------------------------------
 
-ORACLES["classify_links"] = _with(LINKS, INSIDE, CLASSES) + "SELECT path, link_target, link_class FROM cls"
-ORACLES["rewrite_internal_links"] = _with(LINKS, INSIDE) + """
-SELECT path, CASE page_id % 5 WHEN 1 THEN '../'||inside ELSE split_part(inside, '/', 2) END AS rewritten
-FROM ins WHERE inside IS NOT NULL"""
-ORACLES["link_policy"] = _with(LINKS, INSIDE, CLASSES) + """,
-r AS (
-  SELECT *, CASE page_id % 5 WHEN 1 THEN '../'||inside ELSE split_part(inside, '/', 2) END AS rewritten FROM cls)
+_LINKED = "WITH RECURSIVE " + LINKS + ",\n" + LINK_TREE
+ORACLES["classify_links"] = _LINKED + "SELECT path, link_target, final, target_kind, link_class FROM cls"
+ORACLES["rewrite_internal_links"] = _LINKED + "SELECT path, rewritten FROM cls WHERE link_class = 'internal'"
+ORACLES["link_policy"] = _LINKED + """
 SELECT path, link_class,
-  CASE WHEN inside = path THEN 'skip' WHEN link_class = 'internal' THEN 'link' WHEN link_class = 'external-file' THEN 'content'
-    ELSE 'skip' END AS outcome,
-  CASE WHEN link_class = 'internal' AND inside <> path THEN rewritten END AS target,
-  CASE WHEN inside = path THEN 'loop detected' WHEN link_class = 'external-dir' THEN 'external directory link'
-    WHEN link_class = 'dangling-external' THEN 'dangling external link' END AS reason,
-  'default' AS policy FROM r
+  CASE WHEN selfish THEN 'skip' WHEN link_class = 'internal' THEN 'link' WHEN link_class = 'external-file' THEN 'content' ELSE 'skip' END AS outcome,
+  CASE WHEN link_class = 'internal' AND NOT selfish THEN rewritten END AS target,
+  CASE WHEN selfish THEN 'names itself' WHEN link_class = 'external-dir' THEN 'directory outside'
+    WHEN link_class = 'dangling-external' THEN 'nothing outside there' END AS reason,
+  'default' AS policy FROM cls
 UNION ALL
 SELECT path, link_class,
-  CASE WHEN inside = path THEN 'skip' WHEN link_class IN ('internal', 'external-dir') THEN 'link'
+  CASE WHEN selfish THEN 'skip' WHEN link_class IN ('internal', 'external-dir') THEN 'link'
     WHEN link_class = 'external-file' THEN 'content' ELSE 'skip' END,
-  CASE WHEN link_class = 'external-dir' OR (link_class = 'internal' AND inside <> path) THEN link_target END,
-  CASE WHEN inside = path THEN 'loop detected' WHEN link_class = 'dangling-external' THEN 'dangling external link' END,
-  'literal-dirs' FROM r
+  CASE WHEN link_class = 'external-dir' OR (link_class = 'internal' AND NOT selfish) THEN link_target END,
+  CASE WHEN selfish THEN 'names itself' WHEN link_class = 'dangling-external' THEN 'nothing outside there' END,
+  'literal-dirs' FROM cls
 UNION ALL
-SELECT path, link_class,
-  CASE WHEN link_class = 'dangling-external' OR inside = path THEN 'skip' ELSE 'content' END, NULL,
-  CASE WHEN link_class = 'dangling-external' OR inside = path THEN 'unreadable link target' END, 'follow' FROM r
+SELECT path, link_class, CASE WHEN target_kind IS NULL THEN 'skip' ELSE 'content' END, NULL,
+  CASE WHEN target_kind IS NULL THEN 'no end to read' END, 'follow' FROM cls
+UNION ALL
+SELECT path, link_class, 'skip', NULL, 'no links wanted', 'skip' FROM cls"""
+ORACLES["detect_link_cycles"] = _LINKED + """,
+e AS (SELECT path, named = '/root/'||path AS selfish, final FROM cls WHERE final IS NULL OR final = '/root' OR starts_with(final, '/root/')),
+edge AS (SELECT a.path AS a, b.path AS b FROM e a JOIN e b ON starts_with('/root/'||b.path, a.final||'/')),
+reach AS (SELECT a, b FROM edge UNION SELECT r.a, x.b FROM reach r JOIN edge x ON r.b = x.a)
+SELECT path, CASE WHEN selfish THEN 'self' ELSE 'loop' END AS cycle FROM e
+WHERE final IS NULL OR path IN (
+  SELECT a FROM reach WHERE b IN (SELECT path FROM e WHERE final IS NULL) OR b IN (SELECT a FROM reach WHERE a = b))"""
+ORACLES["followed_entries"] = _LINKED + """,
+opened AS (
+  SELECT path, final AS dir, [final] AS entered FROM cls WHERE target_kind = 'dir'
+  UNION ALL
+  SELECT o.path || substr(f.place, length(o.dir) + 1), f.final, list_append(o.entered, f.final)
+  FROM opened o JOIN fin f ON starts_with(f.place, o.dir||'/') AND f.target_kind = 'dir' AND NOT list_contains(o.entered, f.final))
+SELECT substr(place, 7) AS path, kind, place AS source, false AS dereferenced, NULL AS reason FROM reals WHERE starts_with(place, '/root/')
+UNION ALL
+SELECT path, target_kind, coalesce(final, '/root/'||path), true,
+  CASE WHEN final IS NULL THEN 'leads into a loop' WHEN target_kind IS NULL THEN 'nothing at the end of the link' END FROM cls
+UNION ALL
+SELECT o.path || substr(r.place, length(o.dir) + 1), r.kind, r.place, true, NULL FROM opened o JOIN reals r ON starts_with(r.place, o.dir||'/')
 UNION ALL
-SELECT path, link_class, 'skip', NULL, 'links are skipped', 'skip' FROM r"""
-ORACLES["detect_link_cycles"] = """
-WITH RECURSIVE """ + LINKS + ",\n" + INSIDE + """,
-edge AS (
-  SELECT a.path AS a, b.path AS b FROM ins a JOIN ins b
-    ON b.path = a.inside OR starts_with(b.path, a.inside||'/') OR starts_with(a.inside, b.path||'/')
-  WHERE a.inside IS NOT NULL AND b.inside IS NOT NULL),
-reach AS (
-  SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
-SELECT DISTINCT i.path, CASE WHEN i.path = i.inside THEN 'self' ELSE 'loop' END AS cycle
-FROM ins i JOIN reach r ON r.a = i.path
-WHERE r.b IN (SELECT a FROM reach WHERE a = b)"""
+SELECT o.path || substr(f.place, length(o.dir) + 1),
+  CASE WHEN NOT (f.target_kind = 'dir' AND list_contains(o.entered, f.final)) THEN f.target_kind END, coalesce(f.final, f.place), true,
+  CASE WHEN f.target_kind = 'dir' AND list_contains(o.entered, f.final) THEN 'directory was already entered'
+    WHEN f.final IS NULL THEN 'leads into a loop' WHEN f.target_kind IS NULL THEN 'nothing at the end of the link' END
+FROM opened o JOIN fin f ON starts_with(f.place, o.dir||'/')"""
 ORACLES["final_mode"] = _with(SRC) + """,
 f AS (SELECT path || CASE WHEN doc_id % 3 = 0 THEN '.PY' ELSE '' END AS path, mode FROM src)
 SELECT path, CAST(mode & 511 AS INT) AS mode, 'unix' AS run FROM f

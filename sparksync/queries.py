@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparksync.operators import apply, cache, delta, filters, links, reports, signatures, tiers
+from sparksync.operators import apply, cache, delta, filters, link_targets, links, reports, signatures, tiers
 from sparksync.plans import deletes, diff, pairing, planner
 from sparksync.session import scratch_path
 from sparksync.sources import manifest, roots, samples
@@ -560,17 +560,23 @@ def bench_summary(spark, d):
 
 
 def _classified(spark, d):
-    return links.classify_links(samples.link_inventory(spark, d), samples.external_paths(spark, d))
+    tree = samples.link_tree(spark, d)
+    return links.classify_links(tree.filter("kind = 'symlink'"), samples.external_tree(spark, d), entries=tree)
 
 
 @query
 def classify_links(spark, d):
-    return _classified(spark, d).select("path", "link_target", "link_class")
+    return _classified(spark, d).select("path", "link_target", "final", "target_kind", "link_class")
 
 
 @query
 def rewrite_internal_links(spark, d):
-    return links.rewrite_internal_links(samples.link_inventory(spark, d)).select("path", "rewritten")
+    return links.rewrite_internal_links(_classified(spark, d)).select("path", "rewritten")
+
+
+@query
+def followed_entries(spark, d):
+    return link_targets.followed_entries(samples.link_tree(spark, d), samples.external_tree(spark, d))
 
 
 @query
@@ -581,16 +587,16 @@ def link_policy(spark, d):
         "follow": links.LinkPolicy(follow=True, literal=True),
         "skip": links.LinkPolicy(skip=True, follow=True),
     }
-    out = None
+    classified, out = _classified(spark, d), None
     for name, policy in policies.items():
-        part = links.link_policy(_classified(spark, d), policy).withColumn("policy", F.lit(name))
+        part = links.link_policy(classified, policy).withColumn("policy", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query
 def detect_link_cycles(spark, d):
-    return links.detect_link_cycles(samples.link_inventory(spark, d))
+    return links.detect_link_cycles(samples.link_tree(spark, d).filter("kind = 'symlink'"))
 
 
 @query

@@ -118,6 +118,27 @@ def link_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def link_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page links with files, chains of up to thirty links, targets behind links, and directories in a ring."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("p"), F.expr("page_id div 50").alias("b"), F.expr("page_id div 30").alias("c"))
+
+    def rows(condition: str, path: str, target: str) -> DataFrame:
+        return pages.filter(condition).selectExpr(f"{path} AS path", f"CAST({target} AS STRING) AS link_target")
+
+    box = "concat('data/b', b)"
+    head = f"""CASE c % 4 WHEN 0 THEN concat('../', {box}, '/f', p) WHEN 1 THEN concat('/ext/', p + 7)
+        WHEN 2 THEN concat('../', {box}) ELSE concat('../data/none', p) END"""
+    files = rows("p % 3 = 0", f"concat({box}, '/f', p)", "NULL")
+    chains = rows("true", "concat('chain/c', p)", f"CASE WHEN p % 30 = 0 THEN {head} ELSE concat('c', p - 1) END")
+    behind = rows("p % 3 = 0", "concat('via/v', p)", "concat('../chain/c', c * 30, '/f', p)")
+    hubs = rows("p % 10 = 0", "concat('hub', b, '/h', p)", f"CASE WHEN p % 20 = 0 THEN concat('../', {box}) ELSE concat('../back', b) END")
+    back = rows("p % 50 = 0", "concat('back', b, '/up')", "concat('../hub', b)")
+    more = files.unionByName(chains).unionByName(behind).unionByName(hubs).unionByName(back)
+    pages_as_links = link_inventory(spark, sf_dir).select("path", "link_target")
+    kind = F.when(F.col("link_target").isNull(), "file").otherwise("symlink")
+    return pages_as_links.unionByName(more).select("path", kind.alias("kind"), "link_target")
+
+
 def tree_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the old snapshot, their directories, and the page links."""
     files = dst_manifest(spark, sf_dir).select(
@@ -154,6 +175,15 @@ def external_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def external_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What exists outside, with a file and a link back in each directory."""
+    known = external_paths(spark, sf_dir).withColumn("link_target", F.lit(None).cast("string"))
+    dirs = known.filter("kind = 'dir'")
+    inner = dirs.select(F.concat("path", F.lit("/x")).alias("path"), F.lit("file").alias("kind"), "link_target")
+    again = dirs.select(F.concat("path", F.lit("/again")).alias("path"), F.lit("symlink").alias("kind"), F.col("path").alias("link_target"))
+    return known.unionByName(inner).unionByName(again)
+
+
 def as_instant(wall_clock: Column) -> Column:
     """A stored UTC wall clock as an instant, whatever the session's time zone."""
     return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall_clock).cast("timestamp")

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from sparksync.functions import globs, paths
-from sparksync.operators import filters, links, reports
+from sparksync.operators import filters, link_targets, links, reports
 
 FILTER_CASES = [
     # (excludes, includes, passing, hidden)
@@ -175,3 +175,89 @@ def test_missing_source_hash_is_no_hash(spark):
     got = spark.createDataFrame([("a", "x"), ("b", "x")], "path string, hash string")
     skips = sent.limit(0).select("path")
     assert {r["path"]: r["status"] for r in reports.verify_report(sent, got, skips).collect()} == {"a": "no-hash", "b": "ok"}
+
+
+def real_links(top):
+    """A tree with real links, as rows of an inventory and what the operating system says about it."""
+    import os
+
+    root, out = top / "root", top / "out"
+    for d in (root / "d" / "deep", root / "ring", out / "dir"):
+        d.mkdir(parents=True)
+    (root / "d" / "f").write_text("f")
+    (root / "d" / "deep" / "g").write_text("g")
+    (out / "dir" / "x").write_text("x")
+    targets = {
+        "d/l1": "l2", "d/l2": "../../out/dir/x", "d/l3": "l4", "d/l4": "../../out/gone", "dd": "d/deep", "through": "dd/g", "up": "dd/../f",
+        "wrong": "dd/../../nothing", "ring/a": "b", "ring/b": "c", "ring/c": "a", "to_ring": "ring/a/x", "self": "self", "loop": "d/../loopdir", "loopdir": ".",
+        "twice": "dd/../deep/../../dd/g", "outdir": str(out / "dir"), "back_in": str(out / "home"), "grow": "grow/x",
+    }
+    for i in range(45):
+        targets[f"long{i}"] = f"long{i - 1}" if i else "d/f"
+    for path, target in targets.items():
+        os.symlink(target, root / path)
+    os.symlink(root / "d", out / "home")
+    os.symlink(out, out / "dir" / "up")
+    entries, external = [], []
+    for base, rows in ((root, entries), (out, external)):
+        for here, dirs, files in os.walk(base):
+            for name in dirs + files:
+                path = os.path.join(here, name)
+                kind = "symlink" if os.path.islink(path) else "dir" if os.path.isdir(path) else "file"
+                rows.append((os.path.relpath(path, root) if rows is entries else path, kind, os.readlink(path) if kind == "symlink" else None))
+    return root, entries, external
+
+
+def test_final_targets_are_those_of_the_operating_system(spark, tmp_path):
+    import os
+
+    root, entries, external = real_links(tmp_path)
+    shape = "path string, kind string, link_target string"
+    tree, outside = spark.createDataFrame(entries, shape), spark.createDataFrame(external, shape)
+    got = {r.path: r for r in links.classify_links(tree.filter("kind = 'symlink'"), outside, str(root), entries=tree).collect()}
+    for path, row in got.items():
+        here = os.path.join(root, path)
+        kind = "dir" if os.path.isdir(here) else "file" if os.path.exists(here) else None
+        assert row.target_kind == kind, path
+        if kind:
+            assert row.final == os.path.realpath(here), path
+            inside = os.path.realpath(here).startswith(f"{root}/") or os.path.realpath(here) == str(root)
+            assert row.link_class == ("internal" if inside else f"external-{kind}"), path
+    assert got["d/l1"].link_class == "external-file" and got["d/l3"].link_class == "dangling-external" and got["back_in"].link_class == "internal"
+    assert {p for p, r in got.items() if r.final is None} == {"ring/a", "ring/b", "ring/c", "to_ring", "self", "grow", *(f"long{i}" for i in range(40, 45))}
+    followed = links.link_policy(spark.createDataFrame(list(got.values())), links.LinkPolicy(follow=True))
+    assert {r.path for r in followed.collect() if r.outcome == "content"} == {p for p in got if os.path.exists(os.path.join(root, p))}
+
+
+def test_rounds_are_logarithmic(spark, monkeypatch):
+    rows = [(f"/r/l{i}", f"l{i - 1}" if i else "end") for i in range(300)]
+    calls = []
+    monkeypatch.setattr(link_targets, "checkpointed", lambda df, f=link_targets.checkpointed: (calls.append(1), f(df))[1])
+    got = link_targets.final_targets(spark.createDataFrame(rows, "place string, link_target string"), max_hops=1000).collect()
+    assert {r.place: (r.final, r.hops) for r in got} == {f"/r/l{i}": ("/r/end", i + 1) for i in range(300)}
+    assert len(calls) <= 2 + 10  # the start, the scan, and ten rounds for 300 links
+
+
+def test_followed_directories(spark, tmp_path):
+    import os
+
+    root, entries, external = real_links(tmp_path)
+    shape = "path string, kind string, link_target string"
+    rows = link_targets.followed_entries(spark.createDataFrame(entries, shape), spark.createDataFrame(external, shape), str(root)).collect()
+    want = {}
+
+    def walk(real, path, entered, through):
+        for name in sorted(os.listdir(real)):
+            here, at = os.path.join(real, name), f"{path}/{name}" if path else name
+            link, place = os.path.islink(here), os.path.realpath(here)
+            if not os.path.exists(here) or (link and place in entered):
+                want[at] = (None, True, None)
+            elif os.path.isdir(here):
+                want[at] = ("dir", through or link, place)
+                walk(place, at, entered | ({place} if link else set()), through or link)
+            else:
+                want[at] = ("file", through or link, place)
+
+    walk(str(root), "", frozenset(), False)
+    assert len(rows) == len(want) and {r.path: (r.kind, r.dereferenced, r.source if r.kind else None) for r in rows} == want
+    assert all((r.kind is None) == (r.reason is not None) for r in rows)
