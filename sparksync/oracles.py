@@ -605,6 +605,8 @@ f AS (
   FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
 SELECT user_id, start AS burst_start, max(ts) AS last_event, count(*) AS events FROM f GROUP BY user_id, start"""
 
+ORACLES["debounce_capped_stream"] = ORACLES["debounce_capped"]
+
 # Stale entries stay; changed documents take the streamed attributes unless in sync.
 _WATCHED = _with(SRC, DST) + """
 SELECT path, kind, size, mode, mtime_sec, mtime_nsec, hash FROM dst WHERE starts_with(path, 'stale/')

@@ -653,6 +653,33 @@ def debounce_stream(spark, d):
     return _wall_clock(spark.read.parquet(f"{place}/table"))
 
 
+@query
+def debounce_capped_stream(spark, d):
+    """Capped bursts by the streaming form, from files that each hold a part of every key's time, in no order."""
+    place = scratch_path(spark, "capped")
+    events = samples.events(spark, d).select("user_id", "ts")
+    # The last two files only let the watermark pass all others.
+    latest = events.agg(F.max("ts").alias("ts"))
+    ends = [latest.select(F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), F.timestamp_add("YEAR", F.lit(n), "ts").alias("ts")) for n in (1, 2)]
+    parts = [events.filter(F.pmod(F.xxhash64("user_id", "ts"), F.lit(3)) == i) for i in range(3)]
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in [*parts, *ends]:
+            part.write.mode("append").parquet(f"{place}/events")
+            raw = spark.readStream.schema(events.schema).parquet(f"{place}/events")
+            bursts.debounce_capped_stream(raw, "user_id", DELAY, CAP, "60 days").writeStream.outputMode("append").option(
+                "checkpointLocation", f"{place}/checkpoint"
+            ).trigger(availableNow=True).format("parquet").start(f"{place}/table").awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+    return _wall_clock(spark.read.parquet(f"{place}/table").filter("user_id <> -1"))
+
+
 def _change_stream(spark, d):
     """The documents as a stream of changes: every tenth document is deleted, others are upserts."""
     raw = samples.stream_table(spark, d, "documents")

@@ -1,21 +1,34 @@
 """Change bursts: events closer than a quiet window belong together.
 
-The batch forms split every key by time slices, so a key that holds a large
-share of all events is worked on by many tasks. Only what touches a slice's
-edge is looked at again per key, and that is bounded by the calendar.
+Events are never gathered by key. A bin is a stretch of time as long as the
+quiet window, so a bin of a key holds no gap and is summed up as (first, last,
+n) before the shuffle. Bursts are runs of bins. A key has at most as many bins
+as the calendar has quiet windows, however many events it has.
+
+Capped bursts also depend on where the one before began. Every event of a long
+run points to the event that would open the next burst; these pointers are
+composed over growing blocks of time, and the bursts that really occur are
+then read back from the largest block down to the smallest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-SLICE_FACTOR = 64
+from sparksync.session import checkpointed
+
+#: Bins whose runs are found in one window.
+SLICE_FACTOR = 4096
+#: Cells per cap; the next event is looked for in a cell, then in the cells of a slice, then in the slices.
+CELLS = 1024
+#: A block is made of two to this power blocks of the level below.
+BLOCK_BITS = 2
+# Fixed value: seconds after which a burst ends where no other cap is asked for.
 COALESCE_CAP_SECONDS = 10
 
 
@@ -23,53 +36,60 @@ def _micros(seconds: float) -> int:
     return int(round(seconds * 1_000_000))
 
 
-def _sliced(events: DataFrame, key: str, length: int) -> DataFrame:
-    us = F.unix_micros("ts")
-    return events.select(
-        F.col(key).alias("key"), us.alias("us"), F.floor(us / length).cast("bigint").alias("slice")
-    )
+def _timed(events: DataFrame, key: str) -> DataFrame:
+    """(id, us); a null key is a key like others, events without a time are left out."""
+    return events.filter(F.col("ts").isNotNull()).select(F.struct(F.col(key).alias("key")).alias("id"), F.unix_micros("ts").alias("us"))
+
+
+def _bin(us: Column, quiet: int) -> Column:
+    return F.floor(us / max(quiet, 1)).cast("long")
 
 
-def _quiet_islands(events: DataFrame, key: str, quiet: int) -> DataFrame:
-    """Runs of events without a gap longer than ``quiet``: key, first, last, n.
+def _numbered(df: DataFrame, part: list[str], quiet: int) -> DataFrame:
+    """``df`` with ``run``: how many gaps longer than ``quiet`` lie before a row in its part."""
+    timeline = W.partitionBy(*part).orderBy("first")
+    new = F.coalesce((F.col("first") - F.lag("last").over(timeline) > quiet).cast("int"), F.lit(0))
+    return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(timeline)).drop("_new")
 
-    Runs that touch neither end of a slice are final at once. The first and
-    last run of each (key, slice) are merged across slices in a second, much
-    smaller pass.
+
+def _quiet_runs(events: DataFrame, key: str, quiet: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of events without a gap longer than ``quiet``, and which runs the bins belong to.
+
+    The first is (id, slice, run, start, last, n, whole): a run that goes on in
+    other slices has a row in each of them, with the same ``start`` and
+    totals, and one of them is ``whole``. The second is (id, bin, slice, run).
     """
-    local = W.partitionBy("key", "slice")
-    timeline = local.orderBy("us")
-    rows = (
-        _sliced(events, key, quiet * SLICE_FACTOR)
-        .withColumn("_new", (F.col("us") - F.lag("us").over(timeline) > quiet).cast("int"))
-        .withColumn("_isl", F.sum(F.coalesce("_new", F.lit(0))).over(timeline))
+    bins = _timed(events, key).groupBy("id", _bin(F.col("us"), quiet).alias("bin")).agg(
+        F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("n")
     )
-    islands = (
-        rows.groupBy("key", "slice", "_isl")
-        .agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("n"))
-        .withColumn("_edge", (F.col("_isl") == 0) | (F.col("_isl") == F.max("_isl").over(local)))
+    local = _numbered(bins.withColumn("slice", F.floor(F.col("bin") / SLICE_FACTOR).cast("long")), ["id", "slice"], quiet)
+    runs = local.groupBy("id", "slice", "run").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")
     )
-    per_key = W.partitionBy("key").orderBy("first")
-    edges = (
-        islands.filter("_edge")
-        .withColumn("_new", (F.col("first") - F.lag("last").over(per_key) > quiet).cast("int"))
-        .withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(per_key))
-        .groupBy("key", "_run")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    edge = (F.col("run") == 0) | (F.col("run") == F.max("run").over(W.partitionBy("id", "slice")))
+    runs = runs.withColumn("edge", edge)
+    # Runs at the edge of a slice, joined across slices: two rows a slice.
+    edges = _numbered(runs.filter("edge").withColumnRenamed("run", "own"), ["id"], quiet)
+    over = W.partitionBy("id", "run")
+    first_of = F.row_number().over(over.orderBy("first")) == 1
+    edges = edges.select(
+        "id", "slice", F.col("own").alias("run"), F.min("first").over(over).alias("start"), F.max("last").over(over).alias("last"),
+        F.sum("n").over(over).alias("n"), first_of.alias("whole"),
     )
-    cols = ["key", "first", "last", "n"]
-    return edges.select(*cols).union(islands.filter(~F.col("_edge")).select(*cols))
+    inner = runs.filter("not edge").select("id", "slice", "run", F.col("first").alias("start"), "last", "n", F.lit(True).alias("whole"))
+    return edges.unionByName(inner), local.select("id", "bin", "slice", "run")
 
 
 def debounce_bursts(events: DataFrame, key: str, delay: float) -> DataFrame:
     """Batch bursts per key: a gap longer than ``delay`` seconds starts a new one."""
-    return _as_bursts(_quiet_islands(events, key, _micros(delay)), key)
+    runs, _ = _quiet_runs(events, key, _micros(delay))
+    return _as_bursts(runs.filter("whole").select("id", "start", "last", "n"), key)
 
 
 def _as_bursts(df: DataFrame, key: str) -> DataFrame:
     return df.select(
-        F.col("key").alias(key),
-        F.timestamp_micros("first").alias("burst_start"),
+        F.col("id.key").alias(key),
+        F.timestamp_micros("start").alias("burst_start"),
         F.timestamp_micros("last").alias("last_event"),
         F.col("n").alias("events"),
     )
@@ -88,214 +108,167 @@ def debounce_stream(events: DataFrame, key: str, delay: str, watermark: str) ->
 
 # --- capped bursts -----------------------------------------------------------
 
+ISLAND = ["id", "start"]
 
-def _breaks(us: np.ndarray, quiet: int) -> np.ndarray:
-    """Positions of events that follow a gap."""
-    return np.flatnonzero(np.diff(us) > quiet) + 1
-
-
-def _next_start(us: np.ndarray, quiet: int, cap: int) -> np.ndarray:
-    """For a burst opened at each event, the index of the event that opens the next one."""
-    n = len(us)
-    by_cap = np.searchsorted(us, us + cap, side="left")
-    breaks = _breaks(us, quiet)
-    at = np.searchsorted(breaks, np.arange(n), side="right")
-    by_gap = np.append(breaks, n)[at]
-    return np.minimum(by_cap, by_gap)
 
-
-def _entry_steps(us: np.ndarray, quiet: int, cap: int) -> dict:
-    """Which burst is open at the end of a slice, for every event a burst may enter on.
-
-    A burst carried in from before ends within ``cap`` of the slice's start
-    or at its first gap, so only that head of the slice can be entered on.
-    Entries with the same outcome are folded into one step.
-    """
-    n = len(us)
-    nxt = _next_start(us, quiet, cap)
-    last_open = np.where(nxt < n, nxt, np.arange(n))
-    while True:
-        further = last_open[last_open]
-        if np.array_equal(further, last_open):
-            break
-        last_open = further
-    breaks = _breaks(us, quiet)
-    gap = int(breaks[0]) if len(breaks) else n
-    head = min(int(np.searchsorted(us, us[0] + cap, side="left")), gap) + 1
-    entry, exit_ = us[:head], us[last_open[:head]]
-    keep = np.append(np.flatnonzero(np.diff(exit_) != 0), len(entry) - 1)
-    return {
-        "first": int(us[0]),
-        "last": int(us[-1]),
-        "head_gap": int(us[gap]) if gap < min(head, n) else None,
-        "covers_all": head > n,
-        "entries": entry[keep].tolist(),
-        "exits": exit_[keep].tolist(),
-    }
-
-
-def _carry(slices: list[dict], quiet: int, cap: int) -> list[int | None]:
-    """Walk a key's slices in order and note the burst that is open when each begins."""
-    opened, last, out = None, None, []
-    for row in slices:
-        if opened is not None and (row["first"] - last > quiet or row["first"] >= opened + cap):
-            opened = None
-        out.append(opened)
-        threshold = row["first"] if opened is None else opened + cap
-        if opened is not None and row["head_gap"] is not None:
-            threshold = min(threshold, row["head_gap"])
-        # A slice may lie wholly inside the carried burst; then it stays open.
-        if not (row["covers_all"] and threshold > row["last"]):
-            opened = int(row["exits"][int(np.searchsorted(row["entries"], threshold))])
-        last = row["last"]
-    return out
-
-
-def _cut(us: np.ndarray, carried: int | None, quiet: int, cap: int) -> list[dict]:
-    """Split a slice's events into bursts, given the burst that is open at its start."""
-    n = len(us)
-    nxt = _next_start(us, quiet, cap)
-    starts, bounds, at = [], [], 0
-    if carried is not None:
-        breaks = _breaks(us, quiet)
-        gap = int(breaks[0]) if len(breaks) else n
-        at = min(int(np.searchsorted(us, carried + cap, side="left")), gap)
-        starts.append(carried)
-        bounds.append(0)
-    while at < n:
-        starts.append(int(us[at]))
-        bounds.append(at)
-        at = int(nxt[at])
-    ends = bounds[1:] + [n]
-    return [
-        {"first": f, "last": int(us[e - 1]), "n": e - b} for f, b, e in zip(starts, bounds, ends)
-    ]
-
-
-_LONGS = ArrayType(LongType())
-_STEPS = StructType(
-    [StructField(c, LongType()) for c in ("first", "last", "head_gap")]
-    + [StructField("covers_all", BooleanType()), StructField("entries", _LONGS), StructField("exits", _LONGS)]
-)
-_PIECE = StructType([StructField(c, LongType()) for c in ("first", "last", "n")])
-
-
-def debounce_capped(
-    events: DataFrame, key: str, delay: float, cap: float = COALESCE_CAP_SECONDS
-) -> DataFrame:
+def debounce_capped(events: DataFrame, key: str, delay: float, cap: float = COALESCE_CAP_SECONDS) -> DataFrame:
     """Batch bursts that also end ``cap`` seconds after their start; the next event opens a new one.
 
-    A run of events shorter than ``cap`` is a burst as it is. Only longer runs
-    are cut, and there the end of a burst depends on where it began, so time
-    slices cannot be cut on their own. Three passes make it parallel and
-    exact: (1) each (key, slice) tabulates the outcome for every possible
-    entry, (2) a key's slices are chained through these small tables, (3) each
-    (key, slice) is cut with its now known entry.
+    A run of events shorter than ``cap`` is a burst as it is. In a longer one
+    each distinct event time gets a pointer to the first event at or after
+    ``cap`` later. Time from the run's start is dealt in slices of length
+    ``cap``, so at most one burst begins in a slice. For blocks of 1, 4, 16, ...
+    slices the pointers are composed: where does a burst that enters the block
+    here leave it? Only events in a block's first slice, or the first event
+    after it, can be entered on, so a level has a quarter of the rows below it.
     """
-    quiet, limit = _micros(delay), _micros(cap)
-
-    @F.pandas_udf(_STEPS)
-    def steps(times: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_entry_steps(us, quiet, limit) for us in times]).astype({"head_gap": "Int64"})
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def carry(tables: pd.Series) -> pd.Series:
-        return tables.map(lambda rows: _carry(list(rows), quiet, limit))
-
-    @F.pandas_udf(ArrayType(_PIECE))
-    def cut(times: pd.Series, carried: pd.Series) -> pd.Series:
-        opened = (None if pd.isna(c) else int(c) for c in carried)
-        return pd.Series([_cut(us, c, quiet, limit) for us, c in zip(times, opened)])
-
-    length = max(quiet, limit) * SLICE_FACTOR
-    islands = _quiet_islands(events, key, quiet)
-    spans = F.col("last") - F.col("first")
-    # Slices that a long run reaches, with the long runs there: at most a few
-    # dozen, since each is at least a cap long.
-    slice_of = lambda c: F.floor(F.col(c) / length).cast("bigint")
-    reached = (
-        islands.filter(spans >= limit)
-        .withColumn("slice", F.explode(F.sequence(slice_of("first"), slice_of("last"))))
-        .groupBy("key", "slice")
-        .agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    )
-    slices = (
-        _sliced(events, key, length)
-        .join(reached.select("key", "slice"), ["key", "slice"], "left_semi")
-        .groupBy("key", "slice")
-        .agg(F.sort_array(F.collect_list("us")).alias("times"))
-    )
-    tables = (
-        slices.select("key", "slice", steps("times").alias("s"))
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("slice", "s.*"))).alias("tables"))
-    )
-    entries = tables.select("key", "tables.slice", carry("tables").alias("carried")).select(
-        "key", F.explode(F.arrays_zip("slice", "carried")).alias("e")
-    ).select("key", "e.slice", "e.carried")
-    # A slice may also hold short runs; those are taken whole, not from here.
-    in_long_run = F.exists(
-        "runs", lambda r: (r["first"] <= F.col("p.first")) & (F.col("p.first") <= r["last"])
-    )
-    pieces = (
-        slices.join(entries, ["key", "slice"])
-        .join(reached, ["key", "slice"])
-        .select("key", "runs", F.explode(cut("times", "carried")).alias("p"))
-        .filter(in_long_run)
-    )
-    merged = pieces.groupBy("key", "p.first").agg(
-        F.max("p.last").alias("last"), F.sum("p.n").alias("n")
-    )
-    short = islands.filter(spans < limit)
-    return _as_bursts(short.unionByName(merged), key)
+    quiet, limit = _micros(delay), max(_micros(cap), 1)
+    runs, bins = _quiet_runs(events, key, quiet)
+    runs = checkpointed(runs)
+    long_ = F.col("last") - F.col("start") >= limit
+    short = runs.filter(F.col("whole") & ~long_).select("id", "start", "last", "n")
+    where = bins.join(runs.filter(long_), ["id", "slice", "run"]).select("id", "bin", "start", F.col("last").alias("run_last"))
+    times = _timed(events, key).groupBy("id", "us").agg(F.count("*").alias("n")).withColumn("bin", _bin(F.col("us"), quiet))
+    slice_of = lambda us: F.floor((us - F.col("start")) / limit).cast("long")
+    times = checkpointed(times.join(where, ["id", "bin"]).select(*ISLAND, "us", "n", "run_last", slice_of(F.col("us")).alias("slice")))
+    slices = times.groupBy(*ISLAND, "slice").agg(F.min("us").alias("first"))
+    slices = checkpointed(slices.withColumn("before", F.lag("slice").over(W.partitionBy(*ISLAND).orderBy("slice"))))
+    starts = _burst_starts(_pointers(times, slices, limit), slices)
+    # The burst that is open when a slice begins, and the one that begins in it.
+    earlier = W.partitionBy(*ISLAND).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    opened = slices.select(*ISLAND, "slice").join(starts.withColumnRenamed("us", "begun"), [*ISLAND, "slice"], "left").withColumn("open", F.max("begun").over(earlier))
+    burst = F.when(F.col("us") >= F.col("begun"), F.col("begun")).otherwise(F.col("open"))
+    cut = times.join(opened, [*ISLAND, "slice"]).groupBy("id", burst.alias("burst")).agg(F.max("us").alias("last"), F.sum("n").alias("n"))
+    return _as_bursts(short.unionByName(cut.withColumnRenamed("burst", "start")), key)
+
+
+def _pointers(times: DataFrame, slices: DataFrame, limit: int) -> DataFrame:
+    """(id, start, us, slice, next, next_slice): the first event of the run at or after us + limit, null where there is none."""
+    width = max(limit // CELLS, 1)
+    at = lambda us: [F.floor((us - F.col("start")) / limit).cast("long").alias("slice"), F.floor((us - F.col("start")) / width).cast("long").alias("cell")]
+    due = F.col("us") + limit
+    found = times.select(*ISLAND, *at(F.col("us")), F.col("us").alias("at"), F.col("us").alias("event"), F.lit(None).cast("long").alias("asked"))
+    asked = times.filter(due <= F.col("run_last")).select(*ISLAND, *at(due), due.alias("at"), F.lit(None).cast("long").alias("event"), F.col("us").alias("asked"))
+    back = lambda *part: W.partitionBy(*ISLAND, *part)
+    # Backwards in time the smallest event so far is the nearest one; an event at the same time comes first.
+    near = F.min("event").over(back("slice", "cell").orderBy(F.desc("at"), F.asc_nulls_first("asked")).rowsBetween(W.unboundedPreceding, 0))
+    both = found.unionByName(asked)
+    asked = both.withColumn("near", near).filter(F.col("asked").isNotNull())
+    strictly = lambda *part, by: back(*part).orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, -1)
+    cells = both.groupBy(*ISLAND, "slice", "cell").agg(F.min("event").alias("first")).withColumn("in_slice", F.min("first").over(strictly("slice", by="cell")))
+    later = both.groupBy(*ISLAND, "slice").agg(F.min("event").alias("first")).withColumn("in_run", F.min("first").over(strictly(by="slice")))
+    # Within a slice cells differ and spread a busy run; of the slices there are as many as the calendar has caps.
+    known = asked.join(cells.select(*ISLAND, "slice", "cell", "in_slice"), [*ISLAND, "slice", "cell"]).join(later.select(*ISLAND, "slice", "in_run"), [*ISLAND, "slice"])
+    nexts = known.select(*ISLAND, F.col("asked").alias("us"), F.coalesce("near", "in_slice", "in_run").alias("next"))
+    slice_of = lambda us: F.floor((us - F.col("start")) / limit).cast("long")
+    return times.select(*ISLAND, "us", "slice").join(nexts, [*ISLAND, "us"], "left").withColumn("next_slice", slice_of(F.col("next")))
+
+
+def _burst_starts(pointers: DataFrame, slices: DataFrame) -> DataFrame:
+    """(id, start, us, slice) of the events that open a burst, by composing pointers over blocks of slices."""
+    firsts = slices.select(*ISLAND, F.col("first").alias("us"), "before", F.lit(True).alias("is_first"))
+    level = checkpointed(pointers.join(firsts, [*ISLAND, "us"], "left"))
+    top = level.agg(F.max("slice")).first()[0]
+    levels, k = [level], 0
+    while top is not None and (top >> k) > 0:
+        k += BLOCK_BITS
+        block = lambda c: F.shiftright(c, k)  # noqa: B023, E731
+        at_once = F.col("before").isNull() | (block("before") < block("slice")) | (F.col("before") % (1 << k) == 0)
+        enters = (F.col("slice") % (1 << k) == 0) | (F.col("is_first") & at_once)
+        onward = level.select(*ISLAND, F.col("us").alias("next"), F.col("next").alias("far"), F.col("next_slice").alias("far_slice"), F.lit(True).alias("known"))
+        met = level.filter(enters)
+        for _ in range((1 << BLOCK_BITS) - 1):
+            inside = F.col("known") & (block("next_slice") == block("slice"))
+            met = met.join(onward, [*ISLAND, "next"], "left").select(
+                *ISLAND, "us", "slice", F.when(inside, F.col("far")).otherwise(F.col("next")).alias("next"),
+                F.when(inside, F.col("far_slice")).otherwise(F.col("next_slice")).alias("next_slice"), "before", "is_first",
+            )
+        level = checkpointed(met)
+        levels.append(level)
+    begun = slices.filter("slice = 0").select(*ISLAND, F.col("first").alias("us"), "slice")
+    for i in range(len(levels) - 2, -1, -1):
+        pointer, latest = levels[i].select(*ISLAND, "us", "next", "next_slice"), begun
+        for _ in range((1 << BLOCK_BITS) - 1):
+            step = latest.join(pointer, [*ISLAND, "us"])
+            same = F.shiftright("slice", BLOCK_BITS * (i + 1)) == F.shiftright("next_slice", BLOCK_BITS * (i + 1))
+            latest = step.filter(same).select(*ISLAND, F.col("next").alias("us"), F.col("next_slice").alias("slice"))
+            begun = begun.unionByName(latest)
+        begun = checkpointed(begun)
+    return begun
 
 
 class CappedBursts(StatefulProcessor):
-    """Streaming capped bursts: one open burst per key, closed by a timer or a later event."""
+    """Streaming capped bursts: arrivals wait in a buffer until the watermark has passed them, and are then taken in order.
+
+    The order in which files and micro-batches bring a key's events does not
+    matter. State per key is the buffer, that is what arrived within the
+    watermark delay, and one open burst.
+    """
 
     def __init__(self, delay: float, cap: float):
-        self.quiet = int(delay * 1000)
-        self.cap = int(cap * 1000)
+        self.quiet = _micros(delay)
+        self.cap = _micros(cap)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState(
-            "open", StructType([StructField(c, LongType()) for c in ("first", "last", "n")])
-        )
-
-    def _deadline(self, first: int, last: int) -> int:
-        return min(last + self.quiet, first + self.cap)
+        longs = lambda *names: StructType([StructField(c, LongType()) for c in names])
+        self.waiting = handle.getListState("waiting", longs("us", "n"))
+        self.open = handle.getValueState("open", longs("first", "last", "n"))
+        self.timer = handle.getValueState("timer", longs("ms"))
+
+    def _wake(self, us: int) -> None:
+        """Ask to be called when the watermark has passed ``us``; an earlier call that is due stays."""
+        ms = us // 1000 + 1
+        if self.timer.exists():
+            due = self.timer.get()[0]
+            if due <= ms:
+                return
+            self.handle.deleteTimer(due)
+        self.timer.update((ms,))
+        self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.open.get() if self.open.exists() else None
-        if state is not None:
-            self.handle.deleteTimer(self._deadline(state[0], state[1]))
-        done = []
-        # A key's rows of one micro-batch come in several batches; the order holds over all of them.
-        for ms in np.sort(np.concatenate([batch["ms"].to_numpy() for batch in rows])).tolist():
-            if state is not None and state[0] - ms > self.quiet:
-                done.append((ms, ms, 1))  # late, and before the open burst
-            elif state is not None and ms - state[1] <= self.quiet and ms < state[0] + self.cap:
-                state = (min(state[0], ms), max(state[1], ms), state[2] + 1)
+        least = None
+        for batch in rows:
+            counts = batch["us"].value_counts()
+            self.waiting.appendList([(int(us), int(n)) for us, n in counts.items()])
+            low = int(counts.index.min())
+            least = low if least is None else min(least, low)
+        self._wake(least)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready = [w for w in waiting if w[0] <= passed]
+        state, done = self.open.get() if self.open.exists() else None, []
+        for us, n in ready:
+            if state is not None and us - state[1] <= self.quiet and us < state[0] + self.cap:
+                state = (state[0], us, state[2] + n)
             else:
                 if state is not None:
                     done.append(state)
-                state = (ms, ms, 1)
+                state = (us, us, n)
+        # What may still come is later than the watermark.
+        if state is not None and passed >= min(state[1] + self.quiet, state[0] + self.cap - 1):
+            done.append(state)
+            state = None
+        self.waiting.clear()
+        if waiting[len(ready) :]:
+            self.waiting.put(waiting[len(ready) :])
         if state is not None:
             self.open.update(state)
-            self.handle.registerTimer(self._deadline(state[0], state[1]))
+        else:
+            self.open.clear()
+        due = [waiting[len(ready)][0]] if len(ready) < len(waiting) else []
+        if state is not None:
+            due.append(min(state[1] + self.quiet, state[0] + self.cap))
+        if due:
+            self._wake(min(due))
         if done:
-            yield self._rows(key, done)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.open.get()
-        self.open.clear()
-        yield self._rows(key, [state])
-
-    @staticmethod
-    def _rows(key, bursts) -> pd.DataFrame:
-        first, last, n = zip(*bursts)
-        return pd.DataFrame({"key": key[0], "first_ms": first, "last_ms": last, "events": n})
+            first, last, n = zip(*done, strict=True)
+            yield pd.DataFrame({"key": key[0], "first_us": first, "last_us": last, "events": n})
 
     def close(self) -> None:
         pass
@@ -304,17 +277,20 @@ class CappedBursts(StatefulProcessor):
 def debounce_capped_stream(
     events: DataFrame, key: str, delay: float, cap: float = COALESCE_CAP_SECONDS, watermark: str = "1 hour"
 ) -> DataFrame:
-    """Capped bursts on a stream with millisecond times; needs the RocksDB state store.
+    """Capped bursts on a stream, whatever order events come in; needs the RocksDB state store.
 
-    Events of one key must arrive in time order across micro-batches.
+    (key, burst_start, last_event, events). A burst is put out when the
+    watermark shows that nothing can join it. Events behind the watermark when
+    they arrive are dropped, as everywhere in Structured Streaming.
     """
     key_type = events.schema[key].dataType.simpleString()
-    keyed = events.withWatermark("ts", watermark).select(
-        F.col(key).alias("key"), "ts", F.unix_millis("ts").alias("ms")
-    )
-    return keyed.groupBy("key").transformWithStateInPandas(
+    keyed = events.withWatermark("ts", watermark).select(F.col(key).alias("key"), "ts", F.unix_micros("ts").alias("us"))
+    found = keyed.groupBy("key").transformWithStateInPandas(
         statefulProcessor=CappedBursts(delay, cap),
-        outputStructType=f"key {key_type}, first_ms bigint, last_ms bigint, events bigint",
+        outputStructType=f"key {key_type}, first_us bigint, last_us bigint, events bigint",
         outputMode="Append",
         timeMode="EventTime",
     )
+    return found.select(
+        F.col("key").alias(key), F.timestamp_micros("first_us").alias("burst_start"), F.timestamp_micros("last_us").alias("last_event"), "events"
+    )

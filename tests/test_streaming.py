@@ -84,31 +84,54 @@ def test_session_stream_equals_batch(spark, tmp_path):
     assert got == brute(rows, 2000)
 
 
-def test_capped_stream_equals_batch(spark, tmp_path):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    rows = random_rows(6, 60)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_capped(spark, tmp_path, batches, delay, cap, watermark, **conf):
+    """Each batch of (key, ms) as a file of its own, then far later events that let the watermark pass."""
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    feed(spark, rows).coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema("key string, ts timestamp").parquet(src)
+    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKS, **conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
-        for end in (1e9, 2e9):
-            feed(spark, [("end", end)]).write.mode("append").parquet(src)
-            q = (
-                bursts.debounce_capped_stream(stream, "key", 2.0, 10.0, "1 hour").writeStream.outputMode("append")
-                .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
-                .format("parquet").start(out)
-            )
-            q.awaitTermination()
+        for batch in [*batches, [("end", 1e9)], [("end", 2e9)]]:
+            feed(spark, batch).coalesce(1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema("key string, ts timestamp").parquet(src)
+            bursts.debounce_capped_stream(stream, "key", delay, cap, watermark).writeStream.outputMode("append").option(
+                "checkpointLocation", str(tmp_path / "cp")
+            ).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    got = {
-        (r["key"], r["first_ms"]): (r["last_ms"], r["events"])
-        for r in spark.read.parquet(out).filter("key <> 'end'").collect()
-    }
+        for k in conf:
+            spark.conf.unset(k)
+    return as_dict(spark.read.parquet(out).filter("key <> 'end'"))
+
+
+def test_capped_stream_takes_events_in_any_order(spark, tmp_path):
+    rows = random_rows(6, 60)
+    random.Random(1).shuffle(rows)
+    got = run_capped(spark, tmp_path, [rows[i::3] for i in range(3)], 2.0, 10.0, "1 hour")
+    assert got == brute(rows, 2000, 10_000)
+
+
+def test_capped_stream_with_small_batches(spark, tmp_path):
+    """More events of a key than an Arrow batch holds, ties, and an event behind the watermark."""
+    rows = [("k", 20_000), ("k", 21_000), ("k", 1_000), ("k", 2_500), ("k", 2_000), ("k", 2_500)]
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2"}
+    got = run_capped(spark, tmp_path, [rows, [("k", 40_000)], [("k", 3_000), ("k", 41_000)]], 2.0, 10.0, "5 seconds", **conf)
+    assert got == brute([*rows, ("k", 40_000), ("k", 41_000)], 2000, 10_000)
+
+
+def test_capped_bursts_of_a_busy_key(spark):
+    """No row per burst, slice or key holds that key's events, and a null key and null times are defined."""
+    rows = [("busy", 1000 + i * 7 % 99_991) for i in range(6000)] + [(None, 1000), (None, 1500), (None, 12_000)]
+    df = feed(spark, rows)
+    got = as_dict(bursts.debounce_capped(df, "key", 2.0, 10.0))
     assert got == brute(rows, 2000, 10_000)
+    plan = bursts.debounce_capped(df, "key", 2.0, 10.0)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Python" not in plan
+    odd = df.unionByName(df.limit(1).withColumn("ts", F.lit(None).cast("timestamp")))
+    assert as_dict(bursts.debounce_bursts(odd, "key", 2.0)) == brute(rows, 2000)
+    assert bursts.debounce_capped(df.limit(0), "key", 2.0).collect() == []
 
 
 CHANGE = "path string, kind string, size long, mode int, mtime_sec long, mtime_nsec int, content string, seq long, deleted boolean"
@@ -165,30 +188,6 @@ def test_second_start_keeps_applied_changes(spark, tmp_path):
         assert snapshot(spark, place) == {"a": "22"}
 
 
-def test_capped_stream_with_small_batches(spark, tmp_path):
-    """More events of a key than an Arrow batch holds, and a late event."""
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    feed(spark, [("k", 20.0), ("k", 21.0), ("k", 1.0), ("k", 2.5), ("k", 2.0)]).coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema("key string, ts timestamp").parquet(src)
-    conf = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "2",
-    }
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        for end in (1e6, 2e6):
-            feed(spark, [("end", end)]).write.mode("append").parquet(src)
-            bursts.debounce_capped_stream(stream, "key", 2.0, 10.0, "1 hour").writeStream.outputMode("append").option(
-                "checkpointLocation", str(tmp_path / "cp")
-            ).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
-    finally:
-        for k in conf:
-            spark.conf.unset(k)
-    got = sorted(r["events"] for r in spark.read.parquet(out).filter("key = 'k'").collect())
-    assert got == [2, 3]
-
-
 def test_failed_cycle_is_retried(spark, tmp_path):
     calls = []
 
