@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparksync.functions import paths
+from sparksync.plans.planner import replaced_directories
 
 ATTRIBUTES = ("mode", "mtime_sec", "mtime_nsec")
 
@@ -14,7 +15,8 @@ ATTRIBUTES = ("mode", "mtime_sec", "mtime_nsec")
 def apply_plan(plan: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     """The destination after the plan: kept rows, source rows for creates and updates, no deletes.
 
-    Metadata fixes change attributes only. Each side's content is shuffled at
+    Metadata fixes change attributes only. What has to go below a replaced
+    directory is in the plan. Each side's content is shuffled at
     most once, and not at all when the changed part of the plan is small
     enough for the adaptive planner to broadcast it.
     """
@@ -22,8 +24,6 @@ def apply_plan(plan: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     attrs = src.select("path", *[F.col(c).alias(f"_new_{c}") for c in ATTRIBUTES])
     fixes = changed.filter(F.col("action") == "meta").join(attrs, "path")
     gone = changed.filter(F.col("action").isin("update", "delete"))
-    if "kind" in src.columns and "kind" in dst.columns:
-        gone = gone.unionByName(below_replaced(src, dst).join(gone, "path", "left_anti").withColumn("action", F.lit("delete")))
     marks = fixes.unionByName(gone, allowMissingColumns=True)
     kept = dst.join(marks, "path", "left").filter(
         F.col("action").isNull() | (F.col("action") == "meta")
@@ -37,19 +37,21 @@ def apply_plan(plan: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     return kept.unionByName(moved.select(*[c for c in dst.columns if c in src.columns]), allowMissingColumns=True)
 
 
-def below_replaced(src: DataFrame, dst: DataFrame) -> DataFrame:
-    """Destination paths below a directory that is no directory in the source."""
-    dirs = dst.filter("kind = 'dir'").select("path")
-    replaced = src.filter("kind <> 'dir'").select("path").join(dirs, "path", "left_semi")
-    up = dst.select("path", F.explode(paths.ancestors(F.col("path"))).alias("_above"))
-    return up.join(replaced.select(F.col("path").alias("_above")), "_above", "left_semi").select("path").distinct()
-
-
 def backup_replaced(plan: DataFrame, dst: DataFrame) -> DataFrame:
-    """Prior versions of replaced and deleted files, at ``<path>~``."""
-    hit = plan.filter(F.col("action").isin("update", "delete")).select("path")
-    old = dst.filter(F.col("kind") != "dir").join(hit, "path", "left_semi")
-    return old.withColumn("path", F.concat("path", F.lit("~")))
+    """Prior versions of replaced and deleted files, at ``<path>~``.
+
+    A directory that gives way to something else moves as a whole: what was at
+    ``a/x`` is kept at ``a~/x``, since nothing can lie below ``a`` any more.
+    """
+    hit = plan.filter(F.col("action").isin("update", "delete") & (F.col("reason") != "replaced")).select("path")
+    old = dst.filter(F.col("kind") != "dir").join(hit, "path", "left_semi").withColumn("path", F.concat("path", F.lit("~")))
+    roots = replaced_directories(plan)
+    moved = dst.join(roots, "path", "left_semi").withColumn("path", F.concat("path", F.lit("~")))
+    cleared = plan.filter(F.col("reason") == "replaced").select("path", F.explode(paths.ancestors(F.col("path"))).alias("root"))
+    cleared = cleared.join(roots.select(F.col("path").alias("root")), "root").groupBy("path").agg(F.min("root").alias("_root"))
+    rest = F.substr(F.col("path"), F.length("_root") + 1)
+    below = dst.join(cleared, "path").withColumn("path", F.concat("_root", F.lit("~"), rest)).select(*dst.columns)
+    return old.unionByName(moved).unionByName(below)
 
 
 def with_backups(snapshot: DataFrame, backups: DataFrame) -> DataFrame:

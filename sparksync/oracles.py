@@ -613,7 +613,9 @@ SELECT path, kind, size, mode, mtime_sec, mtime_nsec, hash FROM dst WHERE starts
 UNION ALL
 SELECT path, kind, size, CAST(420 AS INT), mtime_sec, mtime_nsec,
   CASE WHEN doc_id % 10 = 6 THEN (SELECT d.hash FROM dst d WHERE d.path = src.path) ELSE hash END
-FROM src WHERE doc_id % 10 <> 7"""
+FROM src WHERE doc_id % 10 <> 7
+UNION ALL
+SELECT 'swap/'||doc_id, 'file', size, CAST(420 AS INT), mtime_sec, mtime_nsec, hash FROM src WHERE doc_id % 50 = 3"""
 ORACLES["watch_sync"] = _WATCHED
 ORACLES["retry_cycle"] = _WATCHED
 ORACLES["bounded_watch"] = _WATCHED
@@ -626,14 +628,21 @@ FROM events GROUP BY event_type"""
 _AFTER = """after AS (
   SELECT s.doc_id, s.path, s.size, s.mode, s.mtime_sec, s.mtime_nsec,
     CASE WHEN s.size = d.size AND s.mtime_sec = d.mtime_sec AND s.mtime_nsec = d.mtime_nsec THEN d.hash ELSE s.hash END AS hash
-  FROM src s LEFT JOIN dst d ON s.path = d.path)"""
+  FROM src s LEFT JOIN dst d ON s.path = d.path
+  UNION ALL
+  SELECT doc_id, 'swap/'||doc_id, size, mode, mtime_sec, mtime_nsec, hash FROM src WHERE doc_id % 50 = 3
+  UNION ALL
+  SELECT doc_id, 'emptied/'||doc_id, 0, mode, mtime_sec, mtime_nsec, sha256('') FROM src WHERE doc_id % 50 = 3)"""
 ORACLES["apply_plan"] = _with(SRC, DST, _AFTER) + """
 SELECT path, size, mode, mtime_sec, mtime_nsec, hash FROM after"""
 ORACLES["publish_snapshot"] = _with(SRC) + "SELECT path, size, hash FROM src"
 ORACLES["backup_replaced"] = _with(SRC, DST, _AFTER) + """,
 bak AS (
   SELECT d.path||'~' AS path, d.size, d.hash FROM dst d LEFT JOIN src s ON s.path = d.path
-  WHERE s.path IS NULL OR s.size <> d.size OR s.mtime_sec <> d.mtime_sec OR s.mtime_nsec <> d.mtime_nsec)
+  WHERE s.path IS NULL OR s.size <> d.size OR s.mtime_sec <> d.mtime_sec OR s.mtime_nsec <> d.mtime_nsec
+  UNION ALL SELECT 'swap/'||doc_id||'~', 0, NULL FROM src WHERE doc_id % 50 = 3
+  UNION ALL SELECT 'swap/'||doc_id||'~/x', size, hash FROM src WHERE doc_id % 50 = 3
+  UNION ALL SELECT 'emptied/'||doc_id||'~', size, hash FROM src WHERE doc_id % 50 = 3)
 SELECT path, size, hash FROM after
 UNION ALL
 SELECT path||'~', 0, hash FROM dst WHERE doc_id % 10 = 1 AND path||'~' NOT IN (SELECT path FROM bak)

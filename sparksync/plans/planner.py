@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparksync.functions.paths import under_any
+from sparksync.functions.paths import ancestors, under_any
 from sparksync.functions.skew import hot_of_counts, lookup_join
 from sparksync.sources.manifest import with_manifest_columns
 
@@ -124,7 +124,9 @@ def plan_sync(
 
     ``keep`` names source columns to carry along. ``content_matched`` tells
     whether an in-sync destination file certainly holds the source's bytes.
-    Deletes appear only with ``delete=True``, within ``delete_scope`` if given.
+    Deletes appear only with ``delete=True``, within ``delete_scope`` if given,
+    but for those with the reason ``replaced``: what lies below a directory
+    that gives way to something else goes with it, whatever the flags.
     """
     f = PlanFlags(**flags)
     s = lambda c: F.col(f"s_{c}")
@@ -171,7 +173,7 @@ def plan_sync(
     if f.delete and delete_scope is not None:
         scoped = under_any(F.translate(d("path"), "\\", "/"), [r.replace("\\", "/") for r in delete_scope])
         plan = plan.filter((F.col("action") != "delete") | scoped)
-    return plan.select(
+    plan = plan.select(
         F.coalesce(s("path"), d("path")).alias("path"),
         F.coalesce(s("kind"), d("kind")).alias("kind"),
         "action",
@@ -180,6 +182,32 @@ def plan_sync(
         F.coalesce(matched, F.lit(False)).alias("content_matched"),
         *[s(c).alias(c) for c in keep],
     )
+    if "kind" not in src.columns or "kind" not in dst.columns:
+        return plan
+    cleared = below_replaced(src, dst, replaced_directories(plan)).select(
+        "path", "kind", F.lit("delete").alias("action"), F.lit("replaced").alias("reason"), F.lit(0).cast("bigint").alias("source_size"),
+        F.lit(False).alias("content_matched"), *[F.lit(None).cast(plan.schema[c].dataType).alias(c) for c in keep],
+    )
+    if f.delete:
+        plan = plan.join(cleared.select("path", F.lit(True).alias("_cleared")), "path", "left").filter("_cleared is null").drop("_cleared")
+    return plan.unionByName(cleared)
+
+
+def replaced_directories(plan: DataFrame) -> DataFrame:
+    """(path) of the directories that give way to something else."""
+    return plan.filter((F.col("action") == "update") & (F.col("reason") == "type") & (F.col("kind") != "dir")).select("path")
+
+
+def below_replaced(src: DataFrame, dst: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Destination entries below a replaced directory that the source does not name: (path, kind, root).
+
+    The join is of the paths' ancestors with the few replaced directories,
+    which Spark broadcasts once it has seen their size.
+    """
+    up = dst.select("path", "kind", F.explode(ancestors(F.col("path"))).alias("root"))
+    return up.join(replaced.select(F.col("path").alias("root")), "root").join(src.select("path"), "path", "left_anti").groupBy("path", "kind").agg(
+        F.min("root").alias("root")
+    )
 
 
 def plan_checksum(src: DataFrame, dst: DataFrame, **kw) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparksync.operators import apply, cache, delta, filters, link_targets, links, reports, signatures, tiers
 from sparksync.plans import deletes, diff, pairing, planner
-from sparksync.session import scratch_path
+from sparksync.session import checkpointed, scratch_path
 from sparksync.sources import manifest, roots, samples
 from sparksync.streaming import bursts, watch
 
@@ -686,8 +686,9 @@ def _change_stream(spark, d):
     doc = F.col("doc_id")
     data = F.col("text").cast("binary")
     path = F.concat_ws("/", "source", "lang", F.concat(doc, F.lit(".txt")))
+    swap = F.when(doc % 50 == 3, F.array(path, F.concat(F.lit("swap/"), doc))).otherwise(F.array(path))
     return raw.select(
-        path.alias("path"),
+        F.explode(swap).alias("path"),
         F.lit("file").alias("kind"),
         F.octet_length(data).cast("bigint").alias("size"),
         F.lit(420).alias("mode"),
@@ -701,7 +702,8 @@ def _change_stream(spark, d):
 
 def _watched(spark, d, name, **kw):
     place = scratch_path(spark, name)
-    base = _dst(spark, d).select("path", "kind", "size", "mode", "mtime_sec", "mtime_nsec", "hash")
+    _, dst = samples.swapped(_src(spark, d), _dst(spark, d))
+    base = dst.filter("not startswith(path, 'emptied/')").select("path", "kind", "size", "mode", "mtime_sec", "mtime_nsec", "hash")
     running = watch.watch_sync(
         _change_stream(spark, d), f"{place}/table", f"{place}/checkpoint", baseline=base,
         available_now=True, **kw,
@@ -762,7 +764,7 @@ def watch_totals(spark, d):
 
 @query
 def apply_plan(spark, d):
-    src, dst = _src(spark, d), _dst(spark, d)
+    src, dst = samples.swapped(_src(spark, d), _dst(spark, d))
     plan = planner.plan_sync(src, dst, delete=True)
     return apply.apply_plan(plan, src, dst).select("path", "size", "mode", "mtime_sec", "mtime_nsec", "hash")
 
@@ -777,10 +779,10 @@ def publish_snapshot(spark, d):
 
 @query
 def backup_replaced(spark, d):
-    src, dst = _src(spark, d), _dst(spark, d)
-    plan = planner.plan_sync(src, dst, delete=True)
+    src, dst = samples.swapped(_src(spark, d), _dst(spark, d))
+    plan = checkpointed(planner.plan_sync(src, dst, delete=True))
     cols = ["path", "size", "hash"]
-    older = dst.filter("doc_id % 10 = 1").withColumn("path", F.concat("path", F.lit("~")))
+    older = _dst(spark, d).filter("doc_id % 10 = 1").withColumn("path", F.concat("path", F.lit("~")))
     backups = apply.backup_replaced(plan, dst).select(*cols)
     after = apply.apply_plan(plan, src, dst).select(*cols).unionByName(older.select("path", F.lit(0).cast("bigint").alias("size"), "hash"))
     return apply.with_backups(after, backups)

@@ -70,11 +70,12 @@ def sync_table(
         plan_sync(usable, dst, delete=options.delete, delete_scope=options.delete_scope, **options.flags)
     )
     if options.delete:
-        gone = plan.filter("action = 'delete'")
-        allowed = protect_from_delete(gone, skipped, options.includes, options.excludes)
-        if options.max_delete is not None:
-            max_delete_guard(allowed, options.max_delete)
-        plan = plan.filter("action <> 'delete'").unionByName(allowed.select(*plan.columns))
+        # What a replaced directory held cannot stay, so nothing protects it.
+        open_ = (F.col("action") == "delete") & (F.col("reason") != "replaced")
+        allowed = protect_from_delete(plan.filter(open_), skipped, options.includes, options.excludes)
+        plan = plan.filter(~open_).unionByName(allowed.select(*plan.columns))
+    if options.max_delete is not None:
+        max_delete_guard(plan.filter("action = 'delete'"), options.max_delete)
     stats = sync_stats(plan, skipped)
     if options.dry_run:
         return SyncResult(plan, skipped, stats, None, None)

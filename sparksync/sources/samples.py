@@ -91,6 +91,19 @@ def dst_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def swapped(src: DataFrame, dst: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with more rows: every fiftieth document also takes the place of a directory, and empties a file."""
+    some = src.filter("doc_id % 50 = 3")
+    named = lambda df, path, kind="file": df.withColumn("path", path).withColumn("kind", F.lit(kind))
+    swap, emptied = (F.concat(F.lit(f"{top}/"), F.col("doc_id").cast("string")) for top in ("swap", "emptied"))
+    nothing = F.lit("")
+    empty = some.withColumn("size", F.lit(0).cast("bigint")).withColumn("content", nothing).withColumn("hash", strong_hash(nothing.cast("binary")))
+    folder = empty.withColumn("hash", F.lit(None).cast("string"))
+    more_src = named(some, swap).unionByName(named(empty, emptied))
+    more_dst = named(folder, swap, "dir").unionByName(named(some, F.concat(swap, F.lit("/x")))).unionByName(named(some, emptied))
+    return src.unionByName(more_src), dst.unionByName(more_dst)
+
+
 def with_content_inode(manifest: DataFrame) -> DataFrame:
     """Rows with equal content share a group, named by the whole hash."""
     return manifest.withColumn("inode", F.col("hash"))

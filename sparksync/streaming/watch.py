@@ -19,7 +19,8 @@ from sparksync.operators.apply import (
     read_snapshot,
     write_whole,
 )
-from sparksync.plans.planner import plan_sync
+from sparksync.plans.planner import below_replaced, plan_sync, replaced_directories
+from sparksync.session import checkpointed
 
 RETRY_SECONDS = 5.0
 # Seconds per duration unit.
@@ -105,10 +106,15 @@ def apply_changes(changes: DataFrame, location: str, tag: str) -> None:
         turn = 1 + max((int(name.split("/")[0].removeprefix("turn=")) for name in written), default=0)
         state = read_synced(spark, location)
         touched = state.join(alive.select("path"), "path", "left_semi")
-        plan = plan_sync(alive, touched).filter("action <> 'skip'")
+        plan = checkpointed(plan_sync(alive, touched).filter("action <> 'skip'"))
         fixed = plan.filter("action = 'meta'").select("path")
         versions = apply_plan(plan, alive, touched.join(fixed, "path", "left_semi"))
         gone = burst.filter("deleted").select("path", F.lit(True).alias("deleted"))
+        replaced = replaced_directories(plan)
+        if not replaced.isEmpty():
+            # The whole state is looked at only when a directory gives way to something else.
+            cleared = below_replaced(alive, state, replaced).join(gone.select("path"), "path", "left_anti")
+            gone = gone.unionByName(cleared.select("path", F.lit(True).alias("deleted")))
         rows = versions.withColumn("deleted", F.lit(False)).unionByName(gone, allowMissingColumns=True)
         write_whole(rows, f"{location}/_staging/{uuid.uuid4().hex}", f"{folder}/turn={turn}/tag={tag}")
     finally:

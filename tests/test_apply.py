@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparksync.operators import apply, tiers
+from sparksync.plans.deletes import DeleteLimitExceeded
 from sparksync.plans.planner import plan_sync
+from sparksync.run import SyncOptions, sync_table
+from sparksync.streaming.watch import read_synced
 
 COLS = "path string, kind string, size long, mode int, mtime_sec long, mtime_nsec int, content string"
 
@@ -111,9 +114,40 @@ def test_tiers(spark):
     assert [strategy(10 << 20, True), strategy((10 << 20) + 1, True), strategy(1 << 30, False)] == ["copy", "delta", "copy"]
 
 
-def test_a_file_in_place_of_a_directory_clears_what_was_below(spark):
-    src = snap(spark, ("a", "file", 420, 1), ("ab/x", "x", 420, 1))
-    dst = snap(spark, ("a/x", "x", 420, 1), ("a/b/y", "y", 420, 1), ("ab/x", "x", 420, 1)).union(
-        spark.createDataFrame([("a", "dir", 0, 493, 1, 0, "")], COLS)
+@pytest.fixture
+def swapped(spark):
+    """A file takes the place of a directory, and another file's content goes."""
+    src = snap(spark, ("a", "file", 420, 1), ("ab/x", "x", 420, 1), ("e", "", 420, 1))
+    dst = snap(spark, ("a/x", "x", 420, 1), ("a/b/y", "y", 420, 1), ("ab/x", "x", 420, 1), ("e", "full", 420, 1), ("a~/old", "o", 420, 1)).union(
+        spark.createDataFrame([("a", "dir", 0, 493, 1, 0, ""), ("a/b", "dir", 0, 493, 1, 0, "")], COLS)
     )
-    assert set(as_dict(apply.apply_plan(plan_sync(src, dst), src, dst))) == {"a", "ab/x"}
+    return src, dst
+
+
+@pytest.mark.parametrize("flags", [{}, {"delete": True}, {"delete": True, "delete_scope": ["ab"]}])
+def test_a_file_in_place_of_a_directory_clears_what_was_below(swapped, flags):
+    src, dst = swapped
+    plan = plan_sync(src, dst, **flags)
+    rows = [(r["path"], r["action"], r["reason"]) for r in plan.collect()]
+    assert len(rows) == len({p for p, _, _ in rows})
+    assert {p for p, a, r in rows if r == "replaced"} == {"a/x", "a/b", "a/b/y"} and all(a == "delete" for _, a, r in rows if r == "replaced")
+    kept = {"a", "ab/x", "e"} | (set() if flags == {"delete": True} else {"a~/old"})
+    after = as_dict(apply.apply_plan(plan, src, dst))
+    assert set(after) == kept and after["e"] == ("", 420)
+
+
+def test_a_replaced_directory_is_backed_up_whole(swapped):
+    src, dst = swapped
+    plan = plan_sync(src, dst)
+    backups = {r["path"]: (r["kind"], r["content"]) for r in apply.backup_replaced(plan, dst).collect()}
+    assert backups == {"a~": ("dir", ""), "a~/x": ("file", "x"), "a~/b": ("dir", ""), "a~/b/y": ("file", "y"), "e~": ("file", "full")}
+
+
+def test_what_a_replaced_directory_held_counts_as_deleted(swapped, tmp_path):
+    src, dst = swapped
+    place = str(tmp_path / "table")
+    apply.publish_snapshot(dst, place)
+    with pytest.raises(DeleteLimitExceeded):
+        sync_table(src, place, SyncOptions(max_delete=2))
+    sync_table(src, place, SyncOptions(max_delete=3, backup=True))
+    assert set(as_dict(read_synced(src.sparkSession, place))) == {"a", "a~", "a~/x", "a~/b", "a~/b/y", "a~/old", "ab/x", "e", "e~"}

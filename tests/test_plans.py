@@ -36,7 +36,7 @@ def test_single_partition_only_for_small_results(plans):
 def test_broadcasts_are_bounded(plans):
     """With Spark's own broadcasts off, only hot keys and batch offsets are broadcast."""
     cast = {n for n, p in plans.items() if "BroadcastExchange" in p}
-    assert cast <= {"assign_hardlinks", "classify_links", "link_policy", "cross_basis_pairs", "pack_batches"}
+    assert cast <= {"assign_hardlinks", "classify_links", "link_policy", "rewrite_internal_links", "cross_basis_pairs", "pack_batches"}
     for name in cast - {"pack_batches"}:
         assert "TakeOrderedAndProject" in plans[name]
 

@@ -178,6 +178,25 @@ def test_watch_cycles(spark, tmp_path):
     assert snapshot(spark, place) == {"a": "22", "b": "back"}
 
 
+def test_a_file_takes_the_place_of_a_directory(spark, tmp_path):
+    """Over several batches and a second start nothing is left below the file."""
+    src, place = str(tmp_path / "in"), str(tmp_path / "table")
+    folder = lambda path, seq: (path, "dir", 0, 493, seq, 0, "", seq, False)
+    add = lambda *rows: spark.createDataFrame(list(rows), CHANGE).coalesce(1).write.mode("append").parquet(src)
+    base = spark.createDataFrame([folder("a", 0), change("a/x", "1", 0), change("a/b/y", "2", 0), change("ab", "3", 0)], CHANGE).drop("seq", "deleted")
+    add(change("a", "file", 1))
+    stream = spark.readStream.schema(CHANGE).parquet(src)
+    run = lambda: watch.watch_sync(stream, place, str(tmp_path / "cp"), baseline=base, available_now=True).awaitTermination()
+    run()
+    assert snapshot(spark, place) == {"a": "file", "ab": "3"}
+    add(folder("a", 2), change("a/new", "", 3))
+    run()
+    assert snapshot(spark, place) == {"a": "", "a/new": "", "ab": "3"}
+    add(change("a", "again", 4), change("ab", "", 5, True))
+    run()
+    assert snapshot(spark, place) == {"a": "again"}
+
+
 def test_second_start_keeps_applied_changes(spark, tmp_path):
     src, place = str(tmp_path / "in"), str(tmp_path / "table")
     spark.createDataFrame([change("a", "22", 1), change("b", "", 2, True)], CHANGE).coalesce(1).write.parquet(src)
