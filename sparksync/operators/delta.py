@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from sparksync.functions.content import byte_slice, strong_hash
@@ -118,30 +119,31 @@ def validate_ops(ops: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
-def apply_patch(basis: DataFrame, ops: DataFrame, content: str = "content", heads: DataFrame | None = None) -> DataFrame:
-    """Rebuild the content of every path in ``ops`` from its basis and the delta.
+def apply_patch(basis: DataFrame, ops: DataFrame, heads: DataFrame, content: str = "content") -> DataFrame:
+    """Rebuild the content of every path in ``heads`` from its basis and the delta.
 
-    A source without bytes has no ops. With ``heads``, which names all paths to
-    rebuild, it comes out empty; without, it does not come out at all.
-
-    Ops of a path are gathered first (at most one blob's worth), then joined
-    with the basis once; slicing and concatenation run in the JVM on bytes.
+    A source without bytes has no ops and comes out empty. Ops of a path are
+    gathered first (at most one blob's worth) and meet the basis once; bytes
+    are joined as they are. Blobs too large for a row are patched in pieces,
+    see ``blobs.patch_pieces``.
     """
     recipe = ops.groupBy("path").agg(
-        F.sort_array(
-            F.collect_list(F.struct("op_idx", "op", "basis_offset", "len", "literal"))
-        ).alias("_ops")
-    )
-    if heads is not None:
-        recipe = heads.select("path").join(recipe, "path", "left")
-    data = basis.select("path", F.col(content).cast("binary").alias("_data"))
-    piece = lambda o: F.when(
-        o["op"] == "copy", byte_slice(F.col("_data"), o["basis_offset"], o["len"])
-    ).otherwise(o["literal"])
-    pieces = F.transform("_ops", lambda o: F.hex(piece(o)))
-    return recipe.join(data, "path", "left").select(
-        "path", F.coalesce(F.unhex(F.array_join(pieces, "")), F.lit(b"")).alias(content)
+        F.sort_array(F.collect_list(F.struct("op_idx", "op", "basis_offset", "len", "literal"))).alias("ops")
     )
+    data = basis.select("path", F.col(content).cast("binary").alias("data"))
+    rows = heads.select("path").join(recipe, "path", "left").join(data, "path", "left").select("path", "data", "ops")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, parts = memoryview(row["data"] or b""), []
+                for o in row["ops"] or []:
+                    at = o["basis_offset"]
+                    parts.append(data[at : at + o["len"]] if o["op"] == "copy" else o["literal"])
+                whole = pa.array([b"".join(parts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), whole], names=["path", content])
+
+    return rows.mapInArrow(run, f"path string, {content} binary")
 
 
 def verify_reconstruction(rebuilt: DataFrame, heads: DataFrame, content: str = "content") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from sparksync.functions.binding import let
 from sparksync.functions.content import auto_block_size, byte_slice, strong_hash
-from sparksync.operators.rolling import gear_cuts, weak_sum
+from sparksync.operators.rolling import gear_cuts, weak_sum, weak_sums
 
 CDC_MIN, CDC_AVG, CDC_MAX = 4 << 10, 16 << 10, 64 << 10
 
@@ -24,10 +24,7 @@ def _weak(data: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(LongType()))
 def _weak_blocks(data: pd.Series, block: pd.Series) -> pd.Series:
-    def sums(blob: bytes, size: int) -> list[int]:
-        return [weak_sum(blob[i : i + size]) for i in range(0, len(blob), size)]
-
-    return pd.Series([sums(d, int(b)) for d, b in zip(data, block)])
+    return pd.Series([weak_sums(d, int(b)) for d, b in zip(data, block)])
 
 
 def weak_checksum(data: Column) -> Column:

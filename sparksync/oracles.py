@@ -435,7 +435,11 @@ SELECT r.path, CAST(op_idx AS BIGINT) AS op_idx, basis_offset, CAST(len AS BIGIN
   CAST(octet_length(encode(substr(d_content, 1, 400))) AS BIGINT) AS basis_size
 FROM runs r JOIN pair p ON r.path = p.path
 WHERE op = 'copy' AND basis_offset + len > octet_length(encode(substr(d_content, 1, 400)))"""
-ORACLES["apply_patch"] = _with(SRC, DST, _PAIR) + "SELECT path, s_content AS content FROM pair"
+ORACLES["apply_patch"] = _with(SRC, DST, _PAIR) + """
+SELECT path, s_content AS content FROM pair UNION ALL SELECT 'emptied/'||path, '' FROM pair WHERE hash[1] IN ('0', '8')"""
+ORACLES["blob_patch"] = _with(SRC, DST, _PAIR) + """
+SELECT path, hash FROM pair UNION ALL SELECT 'emptied/'||path, sha256('') FROM pair WHERE hash[1] IN ('0', '8')"""
+ORACLES["blob_chunks"] = _with(SRC) + "SELECT path, size AS bytes, true AS bounded FROM src WHERE size > 0"
 ORACLES["verify_reconstruction"] = _with(SRC, DST, _PAIR) + """
 SELECT path, sha256(reverse(s_content)) AS expected, hash AS actual FROM pair
 WHERE starts_with(hash, '0') AND reverse(s_content) <> s_content"""

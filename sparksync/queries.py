@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparksync.operators import apply, cache, delta, filters, link_targets, links, reports, signatures, tiers
+from sparksync.operators import apply, blobs, cache, delta, filters, link_targets, links, reports, signatures, tiers
 from sparksync.plans import deletes, diff, pairing, planner
 from sparksync.session import checkpointed, scratch_path
 from sparksync.sources import manifest, roots, samples
@@ -430,14 +430,16 @@ def validate_ops(spark, d):
     return delta.validate_ops(delta.coalesce_ops(_block_ops(spark, d)), delta.delta_heads(source, stale))
 
 
-def _rebuilt(spark, d):
+def _rebuilt(spark, d, emptied=False):
     source, basis = samples.delta_pair(spark, d)
+    if emptied:
+        source, basis = samples.with_emptied(source, basis)
     return delta.apply_patch(basis, delta.delta_between(source, basis, BLOCK), heads=source)
 
 
 @query
 def apply_patch(spark, d):
-    return _rebuilt(spark, d).select("path", F.col("content").cast("string").alias("content"))
+    return _rebuilt(spark, d, emptied=True).select("path", F.col("content").cast("string").alias("content"))
 
 
 @query
@@ -463,6 +465,28 @@ def sliding_match_rebuild(spark, d):
     return rebuilt.select("path", F.sha2(F.col("content"), 256).alias("hash"))
 
 
+BLOB_PIECE = 4096
+
+
+@query
+def blob_chunks(spark, d):
+    """Content-defined chunks of documents held as pieces, summed up per document."""
+    pieces = blobs.to_pieces(_contents(spark, d), size=BLOB_PIECE)
+    chunks = blobs.cdc_chunks_of_pieces(pieces, 256, 1024, 4096, size=BLOB_PIECE)
+    return chunks.groupBy("path").agg(F.sum("len").alias("bytes"), (F.max("len") <= 4096).alias("bounded"))
+
+
+@query
+def blob_patch(spark, d):
+    """Changed documents as pieces, matched at any offset, patched in pieces, and read back."""
+    source, basis = samples.with_emptied(*samples.delta_pair(spark, d))
+    after, before = blobs.to_pieces(source, size=BLOB_PIECE), blobs.to_pieces(basis, size=BLOB_PIECE)
+    ops = blobs.sliding_ops(after, signatures.fixed_block_signature(basis, weak=True), longest=BLOB_PIECE)
+    full = checkpointed(blobs.literal_pieces(ops, after, BLOB_PIECE))
+    built = blobs.patch_pieces(before, full, delta.delta_heads(source, basis), BLOB_PIECE)
+    return blobs.from_pieces(built).select("path", F.sha2("content", 256).alias("hash"))
+
+
 @query
 def chunk_dedup_report(spark, d):
     segments = signatures.text_cdc_segments(_contents(spark, d), "content", keep=["source"])

@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from sparksync.functions.content import strong_hash
 from sparksync.functions.paths import ancestors
+from sparksync.session import checkpointed
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -168,15 +169,22 @@ def tree_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Changed documents: source and basis content of paths whose hashes differ."""
-    src, dst = src_manifest(spark, sf_dir), dst_manifest(spark, sf_dir)
-    differs = F.col("hash") != F.col("other")
-
-    def changed(df: DataFrame, other: DataFrame) -> DataFrame:
-        hashes = other.select("path", F.col("hash").alias("other"))
-        return df.select("path", "hash", "content").join(hashes, "path").filter(differs).drop("other")
-
-    return changed(src, dst), changed(dst, src)
+    """Changed documents: source and basis content of paths whose hashes differ.
+
+    One join makes both sides; what differs is written once.
+    """
+    basis = dst_manifest(spark, sf_dir).select("path", F.col("hash").alias("old_hash"), F.col("content").alias("old_content"))
+    pair = src_manifest(spark, sf_dir).select("path", "hash", "content").join(basis, "path").filter("hash <> old_hash")
+    pair = checkpointed(pair)
+    return pair.select("path", "hash", "content"), pair.select("path", F.col("old_hash").alias("hash"), F.col("old_content").alias("content"))
+
+
+def with_emptied(source: DataFrame, basis: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A pair with more rows: every tenth changed path has a neighbour that lost all its bytes."""
+    some = source.filter(F.substring("hash", 1, 1).isin("0", "8"))
+    named = some.withColumn("path", F.concat(F.lit("emptied/"), "path"))
+    nothing = named.withColumn("content", F.lit("")).withColumn("hash", strong_hash(F.lit("").cast("binary")))
+    return source.unionByName(nothing), basis.unionByName(named)
 
 
 def external_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

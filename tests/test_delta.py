@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparksync.operators import cache, delta, signatures
-from sparksync.operators.rolling import gear_cuts, match_blocks, weak_sum
+from sparksync.operators.rolling import gear_cuts, match_blocks, weak_sum, weak_sums
 
 
 def noise(n, seed=0x12345678):
@@ -30,6 +30,8 @@ def test_weak_sum():
     for n in (0, 1, 3, 700, 5000):
         assert weak_sum(noise(n)) == naive_weak(noise(n))
     assert weak_sum(b"\xff" * 40_000) == naive_weak(b"\xff" * 40_000)
+    for data, block in ((noise(5000), 256), (b"\xff" * 100_000, 32_768), (b"", 700), (noise(700), 700), (noise(3), 8)):
+        assert weak_sums(data, block) == [naive_weak(data[i : i + block]) for i in range(0, len(data), block)]
 
 
 def test_auto_block_size(spark):
@@ -107,10 +109,10 @@ def test_round_trip_all_edits(spark):
     src, dst = blobs(spark, **source), blobs(spark, **basis)
     for block in (256, None):
         ops = delta.delta_between(src, dst, block)
-        built = {r["path"]: bytes(r["content"]) for r in delta.apply_patch(dst, ops).collect()}
-        assert built == {k: v for k, v in source.items() if v}
-        heads = delta.delta_heads(src.filter(F.octet_length("content") > 0), dst)
-        assert delta.verify_reconstruction(delta.apply_patch(dst, ops), heads).isEmpty()
+        heads = delta.delta_heads(src, dst)
+        built = {r["path"]: bytes(r["content"]) for r in delta.apply_patch(dst, ops, heads).collect()}
+        assert built == source
+        assert delta.verify_reconstruction(delta.apply_patch(dst, ops, heads), heads).isEmpty()
         assert delta.validate_ops(ops, delta.delta_heads(src, dst)).isEmpty()
         stats = {r["path"]: r for r in delta.delta_stats(ops).collect()}
         for path, r in stats.items():

@@ -44,5 +44,6 @@ def test_broadcasts_are_bounded(plans):
 def test_python_only_where_needed(plans):
     python = {n for n, p in plans.items() if "Python" in p or "MapInPandas" in p or "ArrowEval" in p}
     assert python <= {
-        "weak_checksum", "cdc_chunks", "cdc_chunks_tile", "sliding_match", "sliding_match_rebuild", "debounce_capped",
+        "weak_checksum", "cdc_chunks", "cdc_chunks_tile", "sliding_match", "sliding_match_rebuild", "apply_patch", "verify_reconstruction",
+        "blob_chunks", "blob_patch",
     }
