@@ -639,6 +639,7 @@ _AFTER = """after AS (
   SELECT doc_id, 'emptied/'||doc_id, 0, mode, mtime_sec, mtime_nsec, sha256('') FROM src WHERE doc_id % 50 = 3)"""
 ORACLES["apply_plan"] = _with(SRC, DST, _AFTER) + """
 SELECT path, size, mode, mtime_sec, mtime_nsec, hash FROM after"""
+ORACLES["sync_run"] = ORACLES["apply_plan"]
 ORACLES["publish_snapshot"] = _with(SRC) + "SELECT path, size, hash FROM src"
 ORACLES["backup_replaced"] = _with(SRC, DST, _AFTER) + """,
 bak AS (

@@ -55,9 +55,12 @@ def delete_guard(deletes: DataFrame, limit: int) -> DataFrame:
 
 def max_delete_guard(deletes: DataFrame, limit: int) -> None:
     """Refuse a delete set above ``limit`` before anything is written."""
-    row = delete_guard(deletes, limit).first()
-    if not row["allowed"]:
-        raise DeleteLimitExceeded(f"refusing to delete {row['n_deletes']} entries: limit is {limit}")
+    refuse_above(delete_guard(deletes, limit).first()["n_deletes"], limit)
+
+
+def refuse_above(n_deletes: int, limit: int) -> None:
+    if n_deletes > limit:
+        raise DeleteLimitExceeded(f"refusing to delete {n_deletes} entries: limit is {limit}")
 
 
 def delete_order(deletes: DataFrame) -> DataFrame:

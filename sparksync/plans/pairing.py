@@ -12,13 +12,14 @@ PAIR_MIN_BYTES = 1 << 20
 DELTA_MIN_BYTES = 10 << 20
 
 
-def cross_basis_pairs(plan: DataFrame, min_size: int = PAIR_MIN_BYTES) -> DataFrame:
+def cross_basis_pairs(plan: DataFrame, min_size: int = PAIR_MIN_BYTES, delta_min: int = DELTA_MIN_BYTES) -> DataFrame:
     """Pair whole-file transfers with an earlier sibling of the plan.
 
     A sibling shares the parent directory and the extension, one stem is a
     proper prefix of the other, and sizes are within 2x. Plan order is creates
     before updates, each by path. The closest size wins; ties prefer prefix
-    stems by growing length, then longer stems in plan order.
+    stems by growing length, then longer stems in plan order. Updates above
+    ``delta_min`` have their own old version and look for none.
 
     Every entry is exploded into its proper stem prefixes and equi-joined with
     the one entry that can own such a stem (a directory holds one file per
@@ -38,7 +39,7 @@ def cross_basis_pairs(plan: DataFrame, min_size: int = PAIR_MIN_BYTES) -> DataFr
         F.col("source_size").alias("size"),
         F.struct(F.when(F.col("action") == "create", 0).otherwise(1).alias("phase"), "path").alias("pos"),
         # Only whole-file transfers look for a basis.
-        ((size >= min_size) & ((F.col("action") == "create") | (size <= DELTA_MIN_BYTES))).alias("wants"),
+        ((size >= min_size) & ((F.col("action") == "create") | (size <= delta_min))).alias("wants"),
         # Null marks "no extension", which differs from an empty one.
         F.to_json(F.struct(paths.parent(F.col("path")).alias("p"), paths.extension(F.col("path")).alias("e"))).alias("dir"),
         paths.stem(F.col("path")).alias("stem"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparksync.operators import apply, blobs, cache, delta, filters, link_targets, links, reports, signatures, tiers
 from sparksync.plans import deletes, diff, pairing, planner
+from sparksync import run
 from sparksync.session import checkpointed, scratch_path
 from sparksync.sources import manifest, roots, samples
 from sparksync.streaming import bursts, watch
@@ -793,6 +794,21 @@ def apply_plan(spark, d):
     return apply.apply_plan(plan, src, dst).select("path", "size", "mode", "mtime_sec", "mtime_nsec", "hash")
 
 
+def _synced(spark, d):
+    """A run with deletes, deltas and pairs of siblings against the published older snapshot."""
+    src, dst = samples.swapped(_src(spark, d), _dst(spark, d))
+    place = scratch_path(spark, "run")
+    apply.publish_snapshot(dst.drop("doc_id"), place)
+    options = run.SyncOptions(delete=True, delta=True, delta_min=1000, pair_min=500)
+    return run.sync_table(src.drop("doc_id"), place, options), place
+
+
+@query
+def sync_run(spark, d):
+    _, place = _synced(spark, d)
+    return watch.read_synced(spark, place).select("path", "size", "mode", "mtime_sec", "mtime_nsec", "hash")
+
+
 @query
 def publish_snapshot(spark, d):
     place = scratch_path(spark, "publish")

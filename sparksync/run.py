@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from sparksync.functions.content import strong_hash
 from sparksync.operators.apply import (
@@ -12,14 +13,16 @@ from sparksync.operators.apply import (
     backup_replaced,
     current_run,
     publish_snapshot,
-    with_backups,
 )
 from sparksync.operators.filters import quarantine_unsafe_paths, tree_filter
 from sparksync.operators.reports import sync_stats, verify_report
-from sparksync.plans.deletes import max_delete_guard, protect_from_delete
+from sparksync.operators.tiers import DELTA_MIN
+from sparksync.operators.transfer import transfer_contents
+from sparksync.plans.deletes import protect_from_delete, refuse_above
+from sparksync.plans.pairing import PAIR_MIN_BYTES
 from sparksync.plans.planner import plan_sync
 from sparksync.session import checkpointed
-from sparksync.streaming.watch import read_synced
+from sparksync.streaming.watch import append_versions, compact, read_synced
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,12 @@ class SyncOptions:
     backup: bool = False
     verify: bool = False
     dry_run: bool = False
+    #: Make updated content from its old version or a sibling where that pays; sizes are in bytes.
+    delta: bool = False
+    delta_min: int = DELTA_MIN
+    pair_min: int = PAIR_MIN_BYTES
+    #: Changed rows are written on top of the snapshot; after so many runs a whole one is published.
+    compact_every: int = 100
     compression: str = "snappy"
     flags: dict[str, bool] = field(default_factory=dict)
 
@@ -47,6 +56,7 @@ class SyncResult:
     stats: DataFrame
     verification: DataFrame | None
     run: str | None
+    transfers: DataFrame | None = None
 
 
 def sync_table(
@@ -65,27 +75,52 @@ def sync_table(
 
     exists = current_run(spark, location) is not None
     dst = read_synced(spark, location) if exists else usable.limit(0)
-    # Each step below reads the plan, which is small beside the content.
-    plan = checkpointed(
-        plan_sync(usable, dst, delete=options.delete, delete_scope=options.delete_scope, **options.flags)
-    )
+    # Each step below reads the plan, which is small beside the content; deletes are counted while it is written.
+    counts, count_deletes = Observation(), F.count_if(F.col("action") == "delete").alias("deletes")
+    plan = plan_sync(usable, dst, delete=options.delete, delete_scope=options.delete_scope, **options.flags)
+    plan = checkpointed(plan.observe(counts, count_deletes))
     if options.delete:
         # What a replaced directory held cannot stay, so nothing protects it.
         open_ = (F.col("action") == "delete") & (F.col("reason") != "replaced")
         allowed = protect_from_delete(plan.filter(open_), skipped, options.includes, options.excludes)
-        plan = plan.filter(~open_).unionByName(allowed.select(*plan.columns))
+        counts = Observation()
+        plan = checkpointed(plan.filter(~open_).unionByName(allowed.select(*plan.columns)).observe(counts, count_deletes))
     if options.max_delete is not None:
-        max_delete_guard(plan.filter("action = 'delete'"), options.max_delete)
+        refuse_above(counts.get["deletes"], options.max_delete)
     stats = sync_stats(plan, skipped)
     if options.dry_run:
         return SyncResult(plan, skipped, stats, None, None)
 
-    after = apply_plan(plan, usable, dst)
-    if options.backup:
-        after = with_backups(after, backup_replaced(plan, dst))
-    run = publish_snapshot(after, location, options.compression)
+    transfers = None
+    if options.delta and exists:
+        transfers = checkpointed(transfer_contents(plan, usable, dst, options.delta_min, options.pair_min))
+        usable = usable.join(transfers.select("path", F.col("content").alias("_made")), "path", "left").withColumn(
+            "content", F.coalesce("_made", "content")
+        ).drop("_made")
+    backups = backup_replaced(plan, dst) if options.backup else None
+    if exists:
+        run = _append_changes(plan, usable, dst, backups, location, options)
+    else:
+        run = publish_snapshot(apply_plan(plan, usable, dst), location, options.compression)
     verification = _verify(plan, usable, location, skipped) if options.verify else None
-    return SyncResult(plan, skipped, stats, verification, run)
+    return SyncResult(plan, skipped, stats, verification, run, transfers)
+
+
+def _append_changes(plan: DataFrame, src: DataFrame, dst: DataFrame, backups: DataFrame | None, location: str, options: SyncOptions) -> str:
+    """Write changed rows, and only those, on top of the published snapshot."""
+    todo = plan.filter("action <> 'skip'")
+    fixed = todo.filter("action = 'meta'").select("path")
+    versions = apply_plan(todo, src, dst.join(fixed, "path", "left_semi")).withColumn("deleted", F.lit(False))
+    rows = versions.unionByName(todo.filter("action = 'delete'").select("path", F.lit(True).alias("deleted")), allowMissingColumns=True)
+    if backups is not None:
+        rows = rows.join(backups.select("path"), "path", "left_anti").unionByName(backups.withColumn("deleted", F.lit(False)), allowMissingColumns=True)
+    spark, run = plan.sparkSession, uuid.uuid4().hex
+    if todo.isEmpty():
+        return current_run(spark, location)
+    turn = append_versions(rows.select(*dst.columns, "deleted"), location, run, options.compression)
+    if turn >= options.compact_every:
+        compact(spark, location)
+    return run
 
 
 def _verify(plan: DataFrame, source: DataFrame, location: str, skipped: DataFrame) -> DataFrame:

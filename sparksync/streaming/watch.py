@@ -84,6 +84,24 @@ def compact(spark: SparkSession, location: str) -> None:
     publish_snapshot(read_synced(spark, location), location)
 
 
+def _is_applied(spark: SparkSession, location: str, tag: str) -> bool:
+    _, written = _changes_folder(spark, location, current_run(spark, location))
+    return any(name.endswith(f"/tag={tag}") for name in written)
+
+
+def append_versions(rows: DataFrame, location: str, tag: str, compression: str = "snappy") -> int:
+    """Write the new versions of changed rows on top of the current snapshot; returns their turn.
+
+    ``rows`` has the columns of the snapshot and ``deleted``; only they are
+    written, and they show as a whole or not at all.
+    """
+    spark = rows.sparkSession
+    folder, written = _changes_folder(spark, location, current_run(spark, location))
+    turn = 1 + max((int(name.split("/")[0].removeprefix("turn=")) for name in written), default=0)
+    write_whole(rows, f"{location}/_staging/{uuid.uuid4().hex}", f"{folder}/turn={turn}/tag={tag}", compression)
+    return turn
+
+
 def apply_changes(changes: DataFrame, location: str, tag: str) -> None:
     """Fold one burst in: its paths are planned against the current state, others are not touched.
 
@@ -100,10 +118,8 @@ def apply_changes(changes: DataFrame, location: str, tag: str) -> None:
         if run is None:
             publish_snapshot(alive, location)
             return
-        folder, written = _changes_folder(spark, location, run)
-        if any(name.endswith(f"/tag={tag}") for name in written):
+        if _is_applied(spark, location, tag):
             return
-        turn = 1 + max((int(name.split("/")[0].removeprefix("turn=")) for name in written), default=0)
         state = read_synced(spark, location)
         touched = state.join(alive.select("path"), "path", "left_semi")
         plan = checkpointed(plan_sync(alive, touched).filter("action <> 'skip'"))
@@ -116,7 +132,7 @@ def apply_changes(changes: DataFrame, location: str, tag: str) -> None:
             cleared = below_replaced(alive, state, replaced).join(gone.select("path"), "path", "left_anti")
             gone = gone.unionByName(cleared.select("path", F.lit(True).alias("deleted")))
         rows = versions.withColumn("deleted", F.lit(False)).unionByName(gone, allowMissingColumns=True)
-        write_whole(rows, f"{location}/_staging/{uuid.uuid4().hex}", f"{folder}/turn={turn}/tag={tag}")
+        append_versions(rows, location, tag)
     finally:
         burst.unpersist()
 

@@ -4,7 +4,7 @@ import pytest
 
 from sparksync.queries import REGISTRY
 
-STREAMING = {"watch_sync", "retry_cycle", "bounded_watch", "watch_totals", "debounce_stream"}
+STREAMING = {"watch_sync", "retry_cycle", "bounded_watch", "watch_totals", "debounce_stream", "debounce_capped_stream"}
 
 
 @pytest.fixture(scope="module")

@@ -1,7 +1,10 @@
 """A whole run through the front door."""
 
+import random
+
 import pytest
 
+from sparksync.operators.apply import read_snapshot
 from sparksync.plans.deletes import DeleteLimitExceeded
 from sparksync.run import SyncOptions, sync_table
 from sparksync.streaming.watch import read_synced
@@ -38,3 +41,46 @@ def test_runs(spark, tmp_path):
     kept = sync_table(newer, place, SyncOptions(delete=True, backup=True), policy)
     assert state() == {"a": "changed", "a~": "1", "c": "new", "d/b": "22"}
     assert kept.stats.first()["skipped"] == 1
+
+
+def test_only_changed_rows_are_written(spark, tmp_path):
+    place = str(tmp_path / "table")
+    rows = [(f"d/{i}", "file", 2, 420, 100, 0, "xx") for i in range(50)]
+    sync_table(spark.createDataFrame(rows, COLS), place)
+    rows[7] = ("d/7", "file", 3, 420, 101, 0, "yyy")
+    result = sync_table(spark.createDataFrame(rows, COLS), place)
+    written = spark.read.parquet(f"{place}/changes").select("path", "content", "deleted").collect()
+    assert [tuple(r) for r in written] == [("d/7", "yyy", False)]
+    assert {r["path"]: r["content"] for r in read_synced(spark, place).collect()} == {r[0]: r[6] for r in rows}
+    assert result.run is not None
+    # Nothing to do: nothing is written.
+    sync_table(spark.createDataFrame(rows, COLS), place)
+    assert spark.read.parquet(f"{place}/changes").count() == 1
+    # After so many runs a whole snapshot is published.
+    rows[8] = ("d/8", "file", 3, 420, 101, 0, "zzz")
+    sync_table(spark.createDataFrame(rows, COLS), place, SyncOptions(compact_every=2))
+    assert {r["path"]: r["content"] for r in read_snapshot(spark, place).collect()} == {r[0]: r[6] for r in rows}
+
+
+def test_chained_bases(spark, tmp_path):
+    """A row whose basis is made in this run waits for it; poor matches and new files are copied."""
+    rnd = random.Random(5)
+    base = "".join(rnd.choice("abcdefgh") for _ in range(60_000))
+    mid = base[:20_000] + "X" * 500 + base[20_500:]
+    end = mid[:50_000] + "Y" * 500 + mid[50_500:]
+    other = "".join(rnd.choice("abcdefgh") for _ in range(60_000))
+    old = {"own": base, "seed": "s"}
+    new = {"own": end, "seed": "s", "v/1.iso": base, "v/1.1.iso": mid, "v/1.1.1.iso": end, "w/2.iso": base, "w/2.2.iso": other, "small": "tiny"}
+    frame = lambda files, t: spark.createDataFrame([(p, "file", len(c), 420, t, 0, c) for p, c in files.items()], COLS)
+    place = str(tmp_path / "table")
+    sync_table(frame(old, 1), place)
+    result = sync_table(frame(new, 2), place, SyncOptions(delta=True, delta_min=10_000, pair_min=10_000, verify=True))
+    assert {r["path"]: r["content"] for r in read_synced(spark, place).collect()} == new
+    got = {r["path"]: (r["how"], r["basis_path"], r["reason"]) for r in result.transfers.collect()}
+    # In plan order 1.1.1.iso comes first, 1.1.iso is made from it and 1.iso from that.
+    deltas = {p: b for p, (how, b, _) in got.items() if how == "delta"}
+    assert deltas.pop("own") == "own" and len(deltas) == 2
+    assert all(b.startswith("v/") and p.startswith("v/") for p, b in deltas.items())
+    assert sum(reason == "dissimilar" for _, _, reason in got.values()) == 1
+    assert all(r["bytes_matched"] + r["bytes_literal"] == len(new[r["path"]]) for r in result.transfers.collect())
+    assert {r["status"] for r in result.verification.collect()} == {"ok"}
