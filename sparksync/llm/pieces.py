@@ -30,10 +30,11 @@ from sparksync.functions.binding import let
 from sparksync.llm.blocks import MESSAGE, expand, message_batch, pack_rows, send, shard_bounds, shard_count, shrink, with_answers
 from sparksync.llm.decontaminate import free_name
 from sparksync.llm.text import BASE, Slice, mix, seeds
+from sparksync.session import checkpointed
 
 MARK = "▁"
 LONG = 48
-BLOCK_BYTES = 2 << 20  # as characters of four bytes and hashes of eight, a block takes many times that
+BLOCK_BYTES = 1 << 20  # as characters of four bytes and hashes of eight, a block takes many times that
 MOST_PIECES = 1_000_000  # a larger table is joined by shuffling
 
 
@@ -325,9 +326,11 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out_col: str
     out = free_name(docs, out_col)
     shards, pairs, zero = shard_count(docs), pieces.pairs(), pieces.byte_zero
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    blocks = pack_rows(docs, text_col, BLOCK_BYTES)
-    messages = block_words(blocks, text_col, pairs, shards)
-    coded = encode_words(distinct_words(messages), pieces, fold).withColumn("shard", F.shiftright("key", 32).cast("int"))
+    # Each step is written before the next, so that a task has one Python worker and steps are not run twice.
+    blocks = checkpointed(pack_rows(docs, text_col, BLOCK_BYTES))
+    messages = checkpointed(block_words(blocks, text_col, pairs, shards))
+    words = checkpointed(distinct_words(messages))
+    coded = checkpointed(encode_words(words, pieces, fold).withColumn("shard", F.shiftright("key", 32).cast("int")))
 
     def reply(asked: pa.Table, known: pa.Table) -> pa.Table:
         known = known.sort_by("key")
@@ -365,7 +368,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out_col: str
 
         return make
 
-    return with_answers(blocks, answers, text_col, finish, schema)
+    return with_answers(blocks, checkpointed(answers), text_col, finish, schema)
 
 
 def _to_bytes(flat: np.ndarray, n: np.ndarray, zero: int) -> tuple[np.ndarray, np.ndarray]:
