@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparksync.functions import paths
 from sparksync.plans.planner import replaced_directories
@@ -94,15 +94,21 @@ def _fs(spark: SparkSession, location: str):
     return path, path(location).getFileSystem(conf)
 
 
-def write_whole(df: DataFrame, staged: str, final: str, compression: str = "snappy") -> None:
+def write_whole(df: DataFrame, staged: str, final: str, compression: str = "snappy", buckets: int = 0) -> None:
     """Write to ``staged``, then show the folder at ``final`` by one rename.
 
     A failed write removes what it staged. A folder already at ``final``, from
-    an earlier try of the same step, is replaced.
+    an earlier try of the same step, is replaced. With ``buckets`` rows lie in
+    one folder per hash bucket of their path, so that a reader of few paths
+    opens few folders.
     """
     path, fs = _fs(df.sparkSession, final)
     try:
-        df.write.option("compression", compression).parquet(staged)
+        if buckets:
+            df = df.withColumn(BUCKET, bucket_of(F.col("path"), buckets)).repartition(BUCKET)
+            df.write.option("compression", compression).partitionBy(BUCKET).parquet(staged)
+        else:
+            df.write.option("compression", compression).parquet(staged)
         fs.mkdirs(path(final).getParent())
         if fs.exists(path(final)):
             fs.delete(path(final), True)
@@ -113,15 +119,27 @@ def write_whole(df: DataFrame, staged: str, final: str, compression: str = "snap
         raise
 
 
-def publish_snapshot(df: DataFrame, location: str, compression: str = "snappy") -> str:
+BUCKET = "_bucket"
+
+
+def bucket_of(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def buckets_of_run(run: str) -> int:
+    """How many buckets a run was published with; its name tells."""
+    return int(run.partition("-")[2] or 0)
+
+
+def publish_snapshot(df: DataFrame, location: str, compression: str = "snappy", buckets: int = 0) -> str:
     """Write a snapshot so that readers see the old one or the new one, never a half.
 
     Data goes to a staging folder, moves to its final folder by one rename,
     and becomes current when the small pointer file names it. A failed run
     leaves no trace and the pointer alone.
     """
-    run = uuid.uuid4().hex
-    write_whole(df, f"{location}/_staging/{run}", f"{location}/snapshots/{run}", compression)
+    run = uuid.uuid4().hex + (f"-{buckets}" if buckets else "")
+    write_whole(df, f"{location}/_staging/{run}", f"{location}/snapshots/{run}", compression, buckets)
     _point_to(df.sparkSession, location, run)
     return run
 
@@ -168,4 +186,9 @@ def read_snapshot(spark: SparkSession, location: str) -> DataFrame:
     run = current_run(spark, location)
     if run is None:
         raise FileNotFoundError(f"no snapshot published at {location}")
-    return spark.read.parquet(f"{location}/snapshots/{run}")
+    return spark.read.parquet(f"{location}/snapshots/{run}").drop(BUCKET)
+
+
+def read_buckets(spark: SparkSession, location: str, run: str, wanted: list[int]) -> DataFrame:
+    """The rows of a bucketed snapshot in some of its buckets; other folders are not opened."""
+    return spark.read.parquet(f"{location}/snapshots/{run}").filter(F.col(BUCKET).isin(wanted)).drop(BUCKET)

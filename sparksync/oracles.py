@@ -640,6 +640,7 @@ _AFTER = """after AS (
 ORACLES["apply_plan"] = _with(SRC, DST, _AFTER) + """
 SELECT path, size, mode, mtime_sec, mtime_nsec, hash FROM after"""
 ORACLES["sync_run"] = ORACLES["apply_plan"]
+ORACLES["resumed_run"] = ORACLES["apply_plan"]
 ORACLES["publish_snapshot"] = _with(SRC) + "SELECT path, size, hash FROM src"
 ORACLES["backup_replaced"] = _with(SRC, DST, _AFTER) + """,
 bak AS (

@@ -731,7 +731,7 @@ def _watched(spark, d, name, **kw):
     base = dst.filter("not startswith(path, 'emptied/')").select("path", "kind", "size", "mode", "mtime_sec", "mtime_nsec", "hash")
     running = watch.watch_sync(
         _change_stream(spark, d), f"{place}/table", f"{place}/checkpoint", baseline=base,
-        available_now=True, **kw,
+        **{"available_now": True, "buckets": 16, **kw},
     )
     return running, f"{place}/table"
 
@@ -760,28 +760,23 @@ def retry_cycle(spark, d):
 
 @query
 def bounded_watch(spark, d):
-    running, table = _watched(spark, d, "bounded")
-    watch.bounded_watch(running, "30m")
+    """A watch that would go on for ever, stopped when nothing has come for a while."""
+    running, table = _watched(spark, d, "bounded", available_now=False, processing_time="1 second")
+    watch.bounded_watch(running, "10m", idle="3s")
     return watch.read_synced(spark, table)
 
 
 @query
 def watch_totals(spark, d):
-    raw = samples.stream_table(spark, d, "events")
-    cycles = raw.select(
-        F.col("event_type").alias("action"), (F.col("value") * 100).cast("bigint").alias("source_size")
-    )
+    """Totals of three files of events, a batch each."""
     place = scratch_path(spark, "totals")
-    # The whole running total is one row per action, rewritten each cycle.
-    running = (
-        watch.watch_totals(cycles).writeStream.outputMode("complete")
-        .option("checkpointLocation", f"{place}/checkpoint")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/table"))
-        .trigger(availableNow=True)
-        .start()
+    cycles = samples.table(spark, d, "events").select(
+        F.col("event_type").alias("action"), (F.col("value") * 100).cast("bigint").alias("source_size")
     )
-    running.awaitTermination()
-    return spark.read.parquet(f"{place}/table")
+    cycles.repartition(3).write.parquet(f"{place}/cycles")
+    raw = spark.readStream.schema(cycles.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/cycles")
+    watch.keep_totals(raw, f"{place}/table", f"{place}/checkpoint").awaitTermination()
+    return watch.read_totals(spark, f"{place}/table")
 
 
 # --- apply -------------------------------------------------------------------
@@ -828,6 +823,20 @@ def backup_replaced(spark, d):
     return apply.with_backups(after, backups)
 
 
+@query
+def resumed_run(spark, d):
+    """A run that ends after some of its groups of buckets, and the run after it."""
+    src, dst = samples.swapped(_src(spark, d), _dst(spark, d))
+    place, groups = scratch_path(spark, "resumed"), 4
+    apply.publish_snapshot(dst.drop("doc_id"), place, buckets=16)
+    plan = checkpointed(planner.plan_sync(src, dst, delete=True))
+    half = plan.filter(apply.bucket_of(F.col("path"), groups) < 2)
+    run.append_plan(half, src.drop("doc_id"), watch.read_synced(spark, place), None, place, run.SyncOptions(groups=2))
+    left = apply.resume_apply(plan, watch.applied_ledger(spark, place, ""))
+    run.append_plan(left, src.drop("doc_id"), watch.read_synced(spark, place), None, place, run.SyncOptions())
+    return watch.read_synced(spark, place).select("path", "size", "mode", "mtime_sec", "mtime_nsec", "hash")
+
+
 @query
 def retire_verified_sources(spark, d):
     doc = F.col("doc_id")

@@ -11,6 +11,7 @@ from sparksync.functions.content import strong_hash
 from sparksync.operators.apply import (
     apply_plan,
     backup_replaced,
+    bucket_of,
     current_run,
     publish_snapshot,
 )
@@ -43,6 +44,9 @@ class SyncOptions:
     pair_min: int = PAIR_MIN_BYTES
     #: Changed rows are written on top of the snapshot; after so many runs a whole one is published.
     compact_every: int = 100
+    #: Hash buckets of a new table; changes then commit one group of buckets after the other.
+    buckets: int = 0
+    groups: int = 1
     compression: str = "snappy"
     flags: dict[str, bool] = field(default_factory=dict)
 
@@ -99,15 +103,20 @@ def sync_table(
         ).drop("_made")
     backups = backup_replaced(plan, dst) if options.backup else None
     if exists:
-        run = _append_changes(plan, usable, dst, backups, location, options)
+        run = append_plan(plan, usable, dst, backups, location, options)
     else:
-        run = publish_snapshot(apply_plan(plan, usable, dst), location, options.compression)
+        run = publish_snapshot(apply_plan(plan, usable, dst), location, options.compression, options.buckets)
     verification = _verify(plan, usable, location, skipped) if options.verify else None
     return SyncResult(plan, skipped, stats, verification, run, transfers)
 
 
-def _append_changes(plan: DataFrame, src: DataFrame, dst: DataFrame, backups: DataFrame | None, location: str, options: SyncOptions) -> str:
-    """Write changed rows, and only those, on top of the published snapshot."""
+def append_plan(plan: DataFrame, src: DataFrame, dst: DataFrame, backups: DataFrame | None, location: str, options: SyncOptions) -> str:
+    """Write changed rows, and only those, on top of the published snapshot.
+
+    Groups of buckets are committed one after the other, each with its part of
+    the ledger. A run that ends between two of them leaves whole groups; the
+    next run plans against these and goes on with the rest.
+    """
     todo = plan.filter("action <> 'skip'")
     fixed = todo.filter("action = 'meta'").select("path")
     versions = apply_plan(todo, src, dst.join(fixed, "path", "left_semi")).withColumn("deleted", F.lit(False))
@@ -117,7 +126,13 @@ def _append_changes(plan: DataFrame, src: DataFrame, dst: DataFrame, backups: Da
     spark, run = plan.sparkSession, uuid.uuid4().hex
     if todo.isEmpty():
         return current_run(spark, location)
-    turn = append_versions(rows.select(*dst.columns, "deleted"), location, run, options.compression)
+    # The action stays with the row: what is written is also the ledger of what was done.
+    rows = rows.select(*dst.columns, "deleted").join(todo.select("path", "action"), "path", "left")
+    if options.groups > 1:
+        rows = checkpointed(rows)
+    for group in range(options.groups):
+        part = rows.filter(bucket_of(F.col("path"), options.groups) == group) if options.groups > 1 else rows
+        turn = append_versions(part, location, f"{run}-{group}", options.compression)
     if turn >= options.compact_every:
         compact(spark, location)
     return run

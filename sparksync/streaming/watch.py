@@ -9,13 +9,17 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sparksync.operators.apply import (
+    BUCKET,
     apply_plan,
+    bucket_of,
+    buckets_of_run,
     current_run,
     publish_snapshot,
+    read_buckets,
     read_snapshot,
     write_whole,
 )
@@ -38,14 +42,14 @@ def parse_duration(text: str) -> int:
     return total
 
 
-def sync_cycle(source: DataFrame, location: str, **flags) -> None:
+def sync_cycle(source: DataFrame, location: str, buckets: int = 0, **flags) -> None:
     """One full plan and apply against the state at ``location``."""
     spark = source.sparkSession
     if current_run(spark, location) is None:
-        publish_snapshot(source, location)
+        publish_snapshot(source, location, buckets=buckets)
         return
     dst = read_synced(spark, location)
-    publish_snapshot(apply_plan(plan_sync(source, dst, **flags), source, dst), location)
+    publish_snapshot(apply_plan(plan_sync(source, dst, **flags), source, dst), location, buckets=buckets)
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
@@ -66,22 +70,50 @@ def _changes_folder(spark: SparkSession, location: str, run: str) -> tuple[str,
     return folder, [f"{s.getPath().getParent().getName()}/{s.getPath().getName()}" for s in found]
 
 
-def read_synced(spark: SparkSession, location: str) -> DataFrame:
-    """The current state: the published snapshot with the changes written since."""
-    base = read_snapshot(spark, location)
-    folder, written = _changes_folder(spark, location, current_run(spark, location))
+def _change_log(spark: SparkSession, location: str, run: str) -> DataFrame | None:
+    """All versions written on top of a snapshot with their ``turn`` and ``tag``, or None."""
+    folder, written = _changes_folder(spark, location, run)
     if not written:
+        return None
+    # The columns are known, so no file is opened to find them, and a burst that changed nothing may have no file.
+    more = [("deleted", T.BooleanType()), ("action", T.StringType()), ("turn", T.LongType()), ("tag", T.StringType()), (BUCKET, T.IntegerType())]
+    columns = read_snapshot(spark, location).schema.fields + [T.StructField(c, t) for c, t in more]
+    return spark.read.schema(T.StructType(columns)).option("basePath", folder).parquet(*[f"{folder}/{name}" for name in written])
+
+
+def read_synced(spark: SparkSession, location: str, touching: DataFrame | None = None) -> DataFrame:
+    """The current state: the published snapshot with the changes written since.
+
+    ``touching`` has the paths that will be looked at. Where the snapshot is
+    bucketed only their buckets are read, of the snapshot and of the changes.
+    """
+    run = current_run(spark, location)
+    base, log = read_snapshot(spark, location), _change_log(spark, location, run)
+    buckets = buckets_of_run(run)
+    if touching is not None and buckets:
+        # At most as many numbers as there are buckets.
+        wanted = [r.b for r in touching.select(bucket_of(F.col("path"), buckets).alias("b")).distinct().collect()]
+        base = read_buckets(spark, location, run, wanted)
+        log = log if log is None else log.filter(F.col(BUCKET).isin(wanted))
+    if log is None:
         return base
-    log = spark.read.option("basePath", folder).parquet(*[f"{folder}/{name}" for name in written])
     newest = F.max_by(F.struct("deleted", *[c for c in base.columns if c != "path"]), "turn")
     latest = log.groupBy("path").agg(newest.alias("_row"))
     alive = latest.filter(~F.col("_row.deleted")).select("path", "_row.*").select(*base.columns)
     return base.join(log.select("path"), "path", "left_anti").unionByName(alive)
 
 
+def applied_ledger(spark: SparkSession, location: str, tag: str) -> DataFrame:
+    """(path, action) of what a run has written under tags that begin with ``tag``; data and ledger are one write."""
+    log = _change_log(spark, location, current_run(spark, location))
+    if log is None:
+        return spark.createDataFrame([], "path string, action string")
+    return log.filter(F.col("tag").startswith(tag) & F.col("action").isNotNull()).select("path", "action")
+
+
 def compact(spark: SparkSession, location: str) -> None:
-    """Publish the current state as a new snapshot without pending changes."""
-    publish_snapshot(read_synced(spark, location), location)
+    """Publish the current state as a new snapshot without pending changes, in as many buckets as before."""
+    publish_snapshot(read_synced(spark, location), location, buckets=buckets_of_run(current_run(spark, location)))
 
 
 def _is_applied(spark: SparkSession, location: str, tag: str) -> bool:
@@ -98,7 +130,8 @@ def append_versions(rows: DataFrame, location: str, tag: str, compression: str =
     spark = rows.sparkSession
     folder, written = _changes_folder(spark, location, current_run(spark, location))
     turn = 1 + max((int(name.split("/")[0].removeprefix("turn=")) for name in written), default=0)
-    write_whole(rows, f"{location}/_staging/{uuid.uuid4().hex}", f"{folder}/turn={turn}/tag={tag}", compression)
+    buckets = buckets_of_run(current_run(spark, location))
+    write_whole(rows, f"{location}/_staging/{uuid.uuid4().hex}", f"{folder}/turn={turn}/tag={tag}", compression, buckets)
     return turn
 
 
@@ -120,8 +153,7 @@ def apply_changes(changes: DataFrame, location: str, tag: str) -> None:
             return
         if _is_applied(spark, location, tag):
             return
-        state = read_synced(spark, location)
-        touched = state.join(alive.select("path"), "path", "left_semi")
+        touched = read_synced(spark, location, touching=alive).join(alive.select("path"), "path", "left_semi")
         plan = checkpointed(plan_sync(alive, touched).filter("action <> 'skip'"))
         fixed = plan.filter("action = 'meta'").select("path")
         versions = apply_plan(plan, alive, touched.join(fixed, "path", "left_semi"))
@@ -129,7 +161,7 @@ def apply_changes(changes: DataFrame, location: str, tag: str) -> None:
         replaced = replaced_directories(plan)
         if not replaced.isEmpty():
             # The whole state is looked at only when a directory gives way to something else.
-            cleared = below_replaced(alive, state, replaced).join(gone.select("path"), "path", "left_anti")
+            cleared = below_replaced(alive, read_synced(spark, location), replaced).join(gone.select("path"), "path", "left_anti")
             gone = gone.unionByName(cleared.select("path", F.lit(True).alias("deleted")))
         rows = versions.withColumn("deleted", F.lit(False)).unionByName(gone, allowMissingColumns=True)
         append_versions(rows, location, tag)
@@ -158,6 +190,7 @@ def watch_sync(
     available_now: bool = False,
     processing_time: str = "5 seconds",
     compact_every: int = 100,
+    buckets: int = 0,
     apply: Callable[[DataFrame, str, str], None] = apply_changes,
 ) -> StreamingQuery:
     """Baseline sync if nothing is published yet, then one plan and apply per micro-batch; ``read_synced`` shows the state.
@@ -165,11 +198,12 @@ def watch_sync(
     Changes that arrive during a cycle form the next micro-batch, so they
     fold into one more cycle. A failed cycle is retried with the same batch;
     folding a batch in twice gives the same state, so a replay after a
-    restart from ``checkpoint`` is safe.
+    restart from ``checkpoint`` is safe. With ``buckets`` the baseline lies in
+    so many hash buckets, and a batch reads only those of its paths.
     """
     # A snapshot that is there already holds what earlier cycles applied, which the checkpoint does not replay.
     if baseline is not None and current_run(changes.sparkSession, location) is None:
-        sync_cycle(baseline, location)
+        sync_cycle(baseline, location, buckets)
 
     # Batch numbers are only unique within one checkpoint.
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
@@ -186,12 +220,21 @@ def watch_sync(
     return writer.trigger(**trigger).start()
 
 
-def bounded_watch(query: StreamingQuery, duration: str) -> bool:
-    """Let a watch run for ``duration``, then stop it; True if it ended by itself."""
-    ended = query.awaitTermination(parse_duration(duration))
-    if not ended:
-        query.stop()
-    return bool(ended)
+def bounded_watch(query: StreamingQuery, duration: str, idle: str | None = None) -> bool:
+    """Let a watch run for ``duration``, or until nothing came for ``idle``, then stop it; True if it ended by itself."""
+    deadline = time.monotonic() + parse_duration(duration)
+    patience = None if idle is None else parse_duration(idle)
+    quiet_since = None
+    while time.monotonic() < deadline:
+        if query.awaitTermination(min(0.5, max(deadline - time.monotonic(), 0.001))):
+            return True
+        status, now = query.status, time.monotonic()
+        busy = status["isTriggerActive"] or status["isDataAvailable"] or query.lastProgress is None
+        quiet_since = None if busy else (quiet_since or now)
+        if patience is not None and quiet_since is not None and now - quiet_since >= patience:
+            break
+    query.stop()
+    return False
 
 
 def watch_totals(cycles: DataFrame) -> DataFrame:
@@ -199,3 +242,21 @@ def watch_totals(cycles: DataFrame) -> DataFrame:
     return cycles.groupBy("action").agg(
         F.count("*").alias("files"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("bytes")
     )
+
+
+def keep_totals(cycles: DataFrame, location: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep the totals of a stream of cycles: each batch writes the actions whose totals it changed, and no others."""
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        # A batch that runs again replaces what it wrote.
+        batch.write.mode("overwrite").parquet(f"{location}/batch={batch_id}")
+
+    writer = watch_totals(cycles).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    return writer.trigger(**({"availableNow": True} if available_now else {"processingTime": "5 seconds"})).start()
+
+
+def read_totals(spark: SparkSession, location: str) -> DataFrame:
+    """The latest total of every action."""
+    rows = spark.read.parquet(location)
+    latest = rows.groupBy("action").agg(F.max_by(F.struct("files", "bytes"), "batch").alias("t"))
+    return latest.select("action", "t.files", "t.bytes")

@@ -1,13 +1,15 @@
 """A whole run through the front door."""
 
 import random
+import re
 
 import pytest
 
+from sparksync import run
 from sparksync.operators.apply import read_snapshot
 from sparksync.plans.deletes import DeleteLimitExceeded
 from sparksync.run import SyncOptions, sync_table
-from sparksync.streaming.watch import read_synced
+from sparksync.streaming.watch import applied_ledger, apply_changes, compact, read_synced
 
 COLS = "path string, kind string, size long, mode int, mtime_sec long, mtime_nsec int, content string"
 
@@ -84,3 +86,46 @@ def test_chained_bases(spark, tmp_path):
     assert sum(reason == "dissimilar" for _, _, reason in got.values()) == 1
     assert all(r["bytes_matched"] + r["bytes_literal"] == len(new[r["path"]]) for r in result.transfers.collect())
     assert {r["status"] for r in result.verification.collect()} == {"ok"}
+
+
+def test_a_run_that_ends_between_groups_goes_on_with_the_rest(spark, tmp_path, monkeypatch):
+    place = str(tmp_path / "table")
+    rows = lambda n, c: spark.createDataFrame([(f"d/{i}", "file", len(c), 420, len(c), 0, c) for i in range(n)], COLS)
+    sync_table(rows(40, "xx"), place, SyncOptions(buckets=8))
+    real, calls = run.append_versions, []
+
+    def dies(*args):
+        calls.append(args[2])
+        if len(calls) == 3:
+            raise ConnectionError("lost")
+        return real(*args)
+
+    monkeypatch.setattr(run, "append_versions", dies)
+    with pytest.raises(ConnectionError):
+        sync_table(rows(40, "yyy"), place, SyncOptions(groups=4))
+    done = {r.path for r in applied_ledger(spark, place, calls[0].partition("-")[0]).collect()}
+    state = {r.path: r.content for r in read_synced(spark, place).collect()}
+    assert 0 < len(done) < 40 and {p for p, c in state.items() if c == "yyy"} == done
+    second = sync_table(rows(40, "yyy"), place, SyncOptions(groups=4))
+    assert {r.path for r in second.plan.filter("action = 'update'").collect()} == set(state) - done
+    assert {r.content for r in read_synced(spark, place).collect()} == {"yyy"}
+
+
+def test_only_the_buckets_of_a_burst_are_read(spark, tmp_path):
+    place = str(tmp_path / "table")
+    rows = [(f"d/{i}", "file", 2, 420, 100, 0, "xx") for i in range(200)]
+    sync_table(spark.createDataFrame(rows, COLS), place, SyncOptions(buckets=32))
+    burst = spark.createDataFrame([("d/7", "file", 3, 420, 100, 0, "yyy", 1, False)], COLS + ", seq long, deleted boolean")
+    nothing = spark.createDataFrame([(*rows[9], 0, False)], burst.schema)
+    apply_changes(nothing, place, "t-n")
+    apply_changes(burst, place, "t-0")
+    few = read_synced(spark, place, touching=burst)
+    scans = re.findall(r"PartitionFilters: \[([^\]]*)\]", few._jdf.queryExecution().sparkPlan().toString())
+    assert len(scans) >= 2 and all("_bucket" in filters for filters in scans)
+    assert 0 < few.count() < 40
+    assert few.filter("path = 'd/7'").count() == 1 and read_synced(spark, place).count() == 200
+    compact(spark, place)
+    assert read_synced(spark, place, touching=burst).count() == few.count()
+    # What lies in the staging folder only is not read.
+    (tmp_path / "table" / "_staging" / "half").mkdir()
+    assert read_synced(spark, place).count() == 200

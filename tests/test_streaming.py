@@ -231,6 +231,26 @@ def test_bounded_watch(spark, tmp_path):
     assert not q.isActive
 
 
+def test_watch_ends_when_nothing_comes(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame([change("a", "1", 1)], CHANGE).write.parquet(src)
+    stream = spark.readStream.schema(CHANGE).parquet(src)
+    q = watch.watch_sync(stream, str(tmp_path / "t"), str(tmp_path / "cp"), processing_time="1 second")
+    assert watch.bounded_watch(q, "5m", idle="3s") is False
+    assert snapshot(spark, str(tmp_path / "t")) == {"a": "1"}
+
+
+def test_totals_write_what_changed(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    shape = "action string, source_size long"
+    for rows in ([("create", 1), ("update", 5)], [("create", 2)], [("create", 3), ("delete", None)]):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(shape).parquet(src)
+        watch.keep_totals(stream, out, str(tmp_path / "cp")).awaitTermination()
+    assert {tuple(r) for r in watch.read_totals(spark, out).collect()} == {("create", 3, 6), ("update", 1, 5), ("delete", 1, 0)}
+    assert [r.action for r in spark.read.parquet(f"{out}/batch=1").collect()] == ["create"]
+
+
 def test_parse_duration():
     good = {"1h30m": 5400, "45s": 45, "1d 2h": 93600, "90": 90, " 2M ": 120, "1h5": 3605}
     assert {k: watch.parse_duration(k) for k in good} == good
