@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_superseded(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of earlier rounds.
+
+    Spark deletes what nothing refers to any more, but looks only when the
+    driver collects garbage, which an idle driver seldom does. Rounds that each
+    write a new state would otherwise hold all of them on disk at once.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -39,17 +39,16 @@ def merge_roots(
     tops = topmost_roots(roots, includes, excludes)
     if not (includes or excludes):
         return entries_under(manifest, tops)
-    up = F.explode(paths.ancestors(F.col("path"), include_self=True))
-    rooted = manifest.withColumn("_above", up).join(
-        tops.select(F.col("root").alias("_above")), "_above"
-    )
+    # Only paths are multiplied by their depth; the entries come back by a semi-join.
+    up = F.explode(paths.ancestors(F.col("path"), include_self=True)).alias("_above")
+    rooted = manifest.select("path", up).join(tops.select(F.col("root").alias("_above")), "_above")
     # Everything from the root down to the entry must be visible; what lies
     # above the root was named by the caller.
     visible = F.forall(
         paths.ancestors(F.col("path"), include_self=True),
         lambda p: (F.char_length(p) < F.char_length("_above")) | globs.passes(p, includes, excludes),
     )
-    return rooted.filter(visible).drop("_above")
+    return manifest.join(rooted.filter(visible).select("path").distinct(), "path", "left_semi")
 
 
 def parse_file_list(lines: DataFrame) -> DataFrame:
