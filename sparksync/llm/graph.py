@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sparksync.session import checkpointed
+from sparksync.session import checkpointed, drop_superseded
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -31,5 +31,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if state == before:
             break
         before = state
+        del low, both
+        drop_superseded(edges.sparkSession)
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from sparksync.llm.decontaminate import free_name
 from sparksync.llm.graph import components
 from sparksync.llm.text import WHITE, Hasher, Words, mix, seeds, signed, slices
-from sparksync.session import checkpointed
+from sparksync.session import checkpointed, drop_superseded
 
 COORDS = 256
 MAX_LOSS = 1e-4  # chance that a pair at the threshold shares no band
@@ -277,6 +277,7 @@ def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
     links = compares.filter("linked").select("a", "b")
     roots = checkpointed(components(links, "a", "b"))
 
+    drop_superseded(classes.sparkSession)
     # What later rounds rule pairs out by: shingles of one's own, distance to the first pivot.
     members = checkpointed(_in_components(members, roots).select("band", "key", "cls", "n", "degree"))
     own = _own_shingles(sets.join(members.select("cls").distinct(), "cls", "left_semi"))
@@ -286,8 +287,10 @@ def class_links(classes: DataFrame, fetch_sets, percent: int) -> DataFrame:
     members = members.join(to_first, ["cls", "first"], "left")
     members = checkpointed(members.withColumn("far", F.when(F.col("cls") == F.col("first"), 0.0).otherwise(F.col("far"))).drop("first"))
     bands = classes.select("cls", "bands")
+    to_first = own = compares = None
     done = members.select("band", "key", "cls").limit(0)
     while True:
+        drop_superseded(classes.sparkSession)
         live = checkpointed(_in_components(members, roots))
         strays = live.filter("comp != main").filter(_enough_shared(F.col("n") - F.col("own"), F.col("n") + F.col("least_n"), percent))
         slot = F.pmod(F.xxhash64("cls"), F.lit(PIVOTS)).alias("slot")
