@@ -160,7 +160,10 @@ def block_words(blocks: DataFrame, text_col: str, pairs: np.ndarray, shards: int
 
 
 def _sorted_words(bodies: pa.ChunkedArray) -> list[str]:
-    return sorted(set().union(*(unpack_words(b.as_py()) for b in bodies)))
+    found: set[str] = set()
+    for body in bodies:  # one message's words at a time: those of all together repeat many times
+        found.update(unpack_words(body.as_py()))
+    return sorted(found)
 
 
 def distinct_words(messages: DataFrame) -> DataFrame:
