@@ -33,6 +33,7 @@ from sparksync.llm.text import BASE, Slice, mix, seeds
 from sparksync.session import checkpointed
 
 MARK = "▁"
+UNKNOWN = "\ufffd".encode()
 LONG = 48
 BLOCK_BYTES = 1 << 20  # as characters of four bytes and hashes of eight, a block takes many times that
 MOST_PIECES = 1_000_000  # a larger table is joined by shuffling
@@ -392,7 +393,12 @@ def _to_bytes(flat: np.ndarray, n: np.ndarray, zero: int) -> tuple[np.ndarray, n
 
 
 def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
-    """``docs`` with the text of each id array; null for null."""
+    """``docs`` with the text of each id array; null for null.
+
+    A null among the ids, or an id that the model does not have, becomes the
+    replacement character. Repeated rows each get their text, an empty table
+    stays empty.
+    """
     out = free_name(docs, out_col)
     table, names = pieces.bytes_of(), docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
@@ -404,7 +410,8 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "piece_ids", out_col:
                 if not ids.is_valid:
                     texts.append(None)
                     continue
-                raw = b"".join([table[i] for i in np.asarray(ids.values).tolist()])
+                known = [table[i] if i is not None and 0 <= i < len(table) else UNKNOWN for i in ids.as_py()]
+                raw = b"".join(known)
                 texts.append(raw[1 if raw[:1] == b" " else 0 :].decode(errors="replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 

@@ -15,6 +15,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparksync.llm.decontaminate import free_name
+
 SIZE = 65_537
 
 
@@ -49,13 +51,14 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = SIZE) -> DataF
     """``df`` with the columns slot and shard; equal keys go to the same shard.
 
     Rows with a null key share one slot. A column of ``df`` that is called slot
-    or shard is replaced.
+    or shard is replaced; an empty table gives no rows.
     """
     table = fill_table(shards, size)
     rows = [(slot, shards[s]) for slot, s in enumerate(table.tolist())]
     lookup = df.sparkSession.createDataFrame(rows, "slot int, shard string")
     kept = [c for c in df.columns if c.lower() not in ("slot", "shard") or c == key]
-    placed = df.select(*(F.col(f"`{c}`") for c in kept), slot_of(F.col(f"`{key}`"), size).alias("_slot"))
-    joined = placed.join(F.broadcast(lookup.withColumnRenamed("slot", "_slot").withColumnRenamed("shard", "_shard")), "_slot")
+    slot, shard = free_name(df, "slot_of_row"), free_name(df, "shard_of_row")
+    placed = df.select(*(F.col(f"`{c}`") for c in kept), slot_of(F.col(f"`{key}`"), size).alias(slot))
+    joined = placed.join(F.broadcast(lookup.withColumnRenamed("slot", slot).withColumnRenamed("shard", shard)), slot)
     out = [F.col(f"`{c}`") for c in kept if c.lower() not in ("slot", "shard")]
-    return joined.select(*out, F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    return joined.select(*out, F.col(slot).alias("slot"), F.col(shard).alias("shard"))

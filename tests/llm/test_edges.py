@@ -68,6 +68,14 @@ def test_pieces(docs, empty, model):
     assert pieces.encode(empty, model).collect() == []
 
 
+def test_decode_of_odd_ids(spark, model):
+    rows = [(1, [None]), (2, []), (3, None), (4, [model.byte_zero + 65, 10_000_000, -5, model.byte_zero + 66])]
+    ids = spark.createDataFrame(rows, "doc_id long, piece_ids array<int>")
+    got = {r.doc_id: r.decoded for r in pieces.decode(ids, model).collect()}
+    assert got == {1: "\ufffd", 2: "", 3: None, 4: "A\ufffd\ufffdB"}
+    assert pieces.decode(ids.limit(0), model).collect() == []
+
+
 def test_token_counts(docs, empty, model):
     sizes = pieces.encode(docs.select("text"), model).agg(F.sum(F.size("piece_ids"))).first()[0]
     assert token_counts.token_counts(docs, model).agg(F.sum("n")).first()[0] == sizes
@@ -127,7 +135,11 @@ def test_sharding(docs):
     placed = sharding.place(docs, "doc_id", ["a", "b", "c"], 101)
     assert placed.count() == len(ROWS)
     assert placed.filter("doc_id is null").select("shard").distinct().count() == 1
-    assert set(placed.columns) == set(docs.columns)
+    assert set(placed.columns) == set(docs.columns) | {"shard"}
+    clash = docs.select("doc_id", *[F.lit(1).alias(c) for c in ("_slot", "_shard", "slot_of_row", "SHARD_OF_ROW")])
+    assert sharding.place(clash, "doc_id", ["a", "b"], 101).columns == [*clash.columns, "slot", "shard"]
+    assert sharding.place(clash, "doc_id", ["a", "b"], 101).count() == len(ROWS)
+    assert sharding.place(docs.limit(0), "doc_id", ["a", "b"], 101).collect() == []
 
 
 def test_top_k(spark):
