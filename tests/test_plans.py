@@ -11,6 +11,8 @@ STREAMING = {"watch_sync", "retry_cycle", "bounded_watch", "watch_totals", "debo
 def plans(spark, sf):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    # Filters that Spark adds by itself, one row per task.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "false")
     try:
         yield {
             name: fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
@@ -20,6 +22,7 @@ def plans(spark, sf):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.optimizer.runtime.bloomFilter.enabled")
 
 
 def test_no_products(plans):
