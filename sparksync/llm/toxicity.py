@@ -2,9 +2,13 @@
 
 The lexicon holds words and open stems that set toxic training texts apart. Its
 trie is intersected with the Levenshtein automata of distance 1 and turned into
-one table automaton over bytes: a state is a set of (trie node, errors). All
-words of a slice run through the table together, a byte per step; a word whose
-state is dead leaves. Stems match exactly, as their ends are open.
+one table automaton over characters: a state is a set of (trie node, errors).
+All words of a slice run through the table together, a character per step; a
+word whose state is dead leaves. Stems match exactly, as their ends are open.
+
+Words of any length take part. One of more than ``LONGEST`` characters is known
+by its first ones, as an open stem. In scripts without spaces every character
+is a word, and the stems that begin with it reach over those that follow.
 
 Each match is scored by its window of ``WINDOW`` words to either side: learned
 log-odds of hashed context words between training matches in toxic and in other
@@ -35,18 +39,94 @@ CONTEXT_BUCKETS = 1 << 14
 FUZZY_FROM = 5  # shorter terms match exactly only
 SEPARATORS = bytes(b for b in NOT_ALNUM if b not in b"@$*")
 QUOTES = b"\"'`"
+LONGEST = 60  # characters of a term; of a longer word this many are the term, as an open stem
+STEMS = (*range(1, 13), 18, 27, 40, LONGEST)  # lengths of stems, from 4 on in spaced scripts
+# First and last character of the scripts written without spaces between words
+# (Thai and Lao, Tibetan, Myanmar, Khmer, kana, Chinese characters and their extensions).
+UNSPACED = (
+    (0x0E00, 0x0EFF),
+    (0x0F00, 0x0FFF),
+    (0x1000, 0x109F),
+    (0x1780, 0x17FF),
+    (0x3040, 0x30FF),
+    (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF),
+    (0xF900, 0xFAFF),
+    (0x20000, 0x3FFFF),
+)
+CHAR_BYTES = np.repeat([1, 2, 3, 4], [0xC0, 0x20, 0x10, 0x10])  # length of a character by its first byte
+
+
+def characters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The character that begins at each of the bytes ``at``, A-Z as a-z; broken ones get some number."""
+    points = fold_case()[data[at]].astype(np.int64)
+    wide = np.flatnonzero(points >= 0xC0)
+    if len(wide):
+        size, value = CHAR_BYTES[points[wide]], points[wide]
+        value &= 0xFF >> (size + 1)
+        for k in (1, 2, 3):
+            more = size > k
+            next_byte = data[np.minimum(at[wide[more]] + k, len(data) - 1)]
+            value[more] = value[more] << 6 | next_byte & 0x3F
+        points[wide] = value
+    return points
+
+
+class Tokens(Words):
+    """Words, each character of an unspaced script as one of its own.
+
+    ``reach`` is how far a term that begins with the word may go: the word's
+    end, or the end of the unbroken run for a character of an unspaced script.
+    """
 
-
-def _prefixes(word: bytes) -> list[tuple[bytes, bool]]:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        super().__init__(data, offsets, SEPARATORS)
+        self.reach, self.unspaced = self.end, np.zeros(len(self.start), bool)
+        at = np.flatnonzero(data >= 0xE0)  # shorter characters belong to spaced scripts
+        low, high = np.array(UNSPACED).T
+        points = characters(data, at)
+        k = np.searchsorted(low, points, "right") - 1
+        at = at[(k >= 0) & (points <= high[k])]
+        if not len(at):
+            return
+        after = at + CHAR_BYTES[data[at]]
+        after = after[after < self.end[np.searchsorted(self.start, at, "right") - 1]]
+        start = np.unique(np.concatenate([self.start, at, after]))
+        run = self.end[np.searchsorted(self.start, start, "right") - 1]
+        self.end = np.minimum(np.append(start[1:], len(data)), run)
+        self.unspaced = np.isin(start, at)
+        self.reach = np.where(self.unspaced, run, self.end)
+        self.start = start
+        self.first = np.searchsorted(start, offsets)
+        self.count = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
+
+
+def _ends(text: bytes) -> list[int]:
+    """Where the first ``LONGEST`` characters of ``text`` end, and one more."""
+    if text.isascii():
+        return list(range(1, min(len(text), LONGEST + 1) + 1))
+    ends, i = [], 0
+    while i < len(text) and len(ends) <= LONGEST:
+        i = min(i + int(CHAR_BYTES[text[i]]), len(text))
+        ends.append(i)
+    return ends
+
+
+def _terms(text: bytes, unspaced: bool) -> list[tuple[bytes, bool]]:
     """The terms a word is evidence for: itself, and open stems of it."""
-    return [(word, True), *((word[:n], False) for n in range(4, min(len(word), 12) + 1))]
+    ends = _ends(text)
+    stems = [(text[: ends[n - 1]], False) for n in STEMS if (unspaced or n >= 4) and n <= len(ends)]
+    return stems if unspaced or len(ends) > LONGEST else [(text, True), *stems]
 
 
-def _doc_words(s, words: Words) -> Iterator[set[bytes]]:
+def _doc_words(s, words: Tokens) -> Iterator[set[tuple[bytes, bool]]]:
+    """Per row the different (word, is of an unspaced script)."""
     raw = fold_case()[s.data].tobytes()
-    spans = list(zip(words.start.tolist(), words.end.tolist(), strict=True))
+    stop = np.minimum(words.reach, words.start + 4 * (LONGEST + 1))
+    spans = list(zip(words.start.tolist(), stop.tolist(), words.unspaced.tolist(), strict=True))
     for d in range(s.n):
-        yield {raw[a:b] for a, b in spans[words.first[d] : words.first[d + 1]] if 3 <= b - a <= 40}
+        yield {(raw[a:b], u) for a, b, u in spans[words.first[d] : words.first[d + 1]]}
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:
@@ -56,8 +136,8 @@ def _term_counts(sample: DataFrame) -> DataFrame:
         for s in slices(batches, "text"):
             label = np.asarray(s.column("label"))
             counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for y, found in zip(label.tolist(), _doc_words(s, Words(s.data, s.offsets, SEPARATORS)), strict=True):
-                counts[y == 1].update({t for w in found for t in _prefixes(w)})
+            for y, found in zip(label.tolist(), _doc_words(s, Tokens(s.data, s.offsets)), strict=True):
+                counts[y == 1].update({t for w in found for t in _terms(*w)})
             terms = list(counts[0].keys() | counts[1].keys())
             columns = [pa.array([t for t, _ in terms], pa.binary()), pa.array([w for _, w in terms], pa.bool_())]
             columns += [pa.array([counts[y][t] for t in terms], pa.int64()) for y in (1, 0)]
@@ -85,7 +165,7 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[bytes, bool]]:
     # The most frequent first; of equals the whole word, then the longer stem.
     for term in sorted(toxic, key=lambda t: (-toxic[t], not t[1], -len(t[0]), t[0])):
         text, whole = term
-        starts = [text[:n] for n in range(1, len(text) + 1)]
+        starts = {text[:n] for k, n in enumerate(_ends(text), 1) if k in STEMS} | {text}
         implied = any((c, False) in chosen for c in starts)
         explained = not whole and below[text] >= 0.9 * toxic[term]
         if not implied and not explained:
@@ -97,13 +177,18 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[bytes, bool]]:
 def build_table(lexicon: list[tuple[bytes, bool]]) -> dict[str, np.ndarray]:
     """The automaton of all lexicon terms with at most one error, as a table.
 
-    ``symbol`` maps bytes to columns, ``next`` is state x symbol, ``kind`` says
-    what a word that ends in a state is: 0 nothing, 1 an exact match, 2 a
-    misspelling. State 0 is dead, 1 the start, 2 a matched stem, which stays.
+    ``letters`` are the characters with a column of their own, from 1 on,
+    ``next`` is state x column, ``kind`` says what a word that ends in a state
+    is: 0 nothing, 1 an exact match, 2 a misspelling. State 0 is dead, 1 the
+    start, 2 a matched stem, which stays.
     """
     nodes: list[dict[int, int]] = [{}]
     whole, stem, fuzzy = [False], [False], [False]
+    spelled = []
     for text, is_whole in lexicon:
+        starts = np.array([0, *_ends(text)[:-1]], np.int64)
+        spelled.append((characters(np.frombuffer(text, np.uint8), starts).tolist(), is_whole))
+    for text, is_whole in spelled:
         v = 0
         for b in text:
             if b not in nodes[v]:
@@ -115,9 +200,7 @@ def build_table(lexicon: list[tuple[bytes, bool]]) -> dict[str, np.ndarray]:
             v = nodes[v][b]
             fuzzy[v] |= is_whole and len(text) >= FUZZY_FROM
         (whole if is_whole else stem)[v] = True
-    letters = sorted({b for text, _ in lexicon for b in text})
-    symbol = np.zeros(256, np.int64)
-    symbol[letters] = np.arange(1, len(letters) + 1)
+    letters = sorted({b for text, _ in spelled for b in text})
 
     def closed(items: set[tuple[int, int]]) -> frozenset:
         """With skipped letters of the term, and without states that a better one covers."""
@@ -163,22 +246,24 @@ def build_table(lexicon: list[tuple[bytes, bool]]) -> dict[str, np.ndarray]:
                 kinds.append(0 if not ends else 1 if min(ends) == 0 else 2)
                 queue.append(key)
             row[c] = numbers[key]
-    return {"symbol": symbol[fold_case()], "next": np.array(table, np.int32), "kind": np.array(kinds, np.int8)}
+    return {"letters": np.array([*letters, 1 << 40], np.int64), "next": np.array(table, np.int32), "kind": np.array(kinds, np.int8)}
 
 
-def match_words(data: np.ndarray, words: Words, table: dict[str, np.ndarray]) -> np.ndarray:
-    """0, 1 (exact) or 2 (misspelled) for each word."""
+def match_words(data: np.ndarray, words: Tokens, table: dict[str, np.ndarray]) -> np.ndarray:
+    """0, 1 (exact) or 2 (misspelled) for each word; from a character of an unspaced script stems only."""
     out = np.zeros(len(words.start), np.int8)
     live = np.arange(len(words.start))
-    at, end = words.start.copy(), words.end
+    at, end = words.start.copy(), words.reach
     state = np.ones(len(live), np.int32)
     while len(live):
-        state = table["next"][state, table["symbol"][data[at]]]
-        at += 1
+        point = characters(data, at)
+        column = np.searchsorted(table["letters"], point)
+        state = table["next"][state, np.where(table["letters"][column] == point, column + 1, 0)]
+        at = np.minimum(at + CHAR_BYTES[data[at]], end)
         stays = state > 0
         live, at, end, state = live[stays], at[stays], end[stays], state[stays]
         over = (at == end) | (state == 2)
-        out[live[over]] = table["kind"][state[over]]
+        out[live[over]] = np.where(words.unspaced[live[over]] & (state[over] != 2), 0, table["kind"][state[over]])
         live, at, end, state = live[~over], at[~over], end[~over], state[~over]
     return out
 
@@ -187,7 +272,7 @@ class Contexts:
     """Matches of a slice with the buckets of the words around them."""
 
     def __init__(self, s, table: dict[str, np.ndarray], hasher: Hasher) -> None:
-        words = Words(s.data, s.offsets, SEPARATORS)
+        words = Tokens(s.data, s.offsets)
         kinds = match_words(s.data, words, table)
         self.word = np.flatnonzero(kinds)
         self.kind = kinds[self.word]
@@ -205,7 +290,7 @@ class Contexts:
         quote = np.zeros(256, bool)
         quote[list(QUOTES)] = True
         padded = np.concatenate([s.data, np.zeros(1, np.uint8)])
-        self.quoted = quote[padded[words.start[self.word] - 1]] & (words.start[self.word] > 0) & quote[padded[words.end[self.word]]]
+        self.quoted = quote[padded[words.start[self.word] - 1]] & (words.start[self.word] > 0) & quote[padded[words.reach[self.word]]]
 
     def features(self, rows: int, weights: np.ndarray) -> np.ndarray:
         """Per row: any match, exact, misspelled and quoted matches, and the mean and highest context score."""
@@ -286,7 +371,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     """Learn lexicon, context weights and regression from at most ``rows`` labelled texts.
 
     Without labels of both kinds there is no lexicon and every score is that of
-    a text without a match.
+    a text without a match. Null texts count as empty ones.
     """
     sample = fit_sample(docs, labels, label, rows)
     lexicon = learn_lexicon(sample)
@@ -313,7 +398,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null and empty texts have no match and get the score of such texts. A row
     without an id is scored too and held_out is null there. Repeated rows get
-    equal scores. Other columns are not read.
+    equal scores. Texts of any length are scored whole, in one slice each. Other
+    columns are not read. An empty table gives no rows.
     """
     scored = fit_toxicity(docs, labels).score(docs, id_col, text_col)
     return scored.select(

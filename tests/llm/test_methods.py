@@ -58,9 +58,10 @@ def test_levenshtein_table():
     terms = [(b"idiot", True), (b"scum", True), (b"lowei", False)]
     found = toxicity.build_table(terms)
     rng = random.Random(1)
-    tests = ["idiot", "Idiot", "idot", "idxiot", "idito", "iidiot", "idio", "scum", "scom", "loweick", "lowexck", "lowe", "trash"]
+    tests = ["idiot", "Idiot", "idot", "idxiot", "idito", "iidiot", "idio", "scum", "scom", "loweick", "lowexck", "lowe", "trash", "ïdiot", "idiöt", "éidiot", "öidiötx"]
     tests += ["".join(rng.choice("idotscum") for _ in range(rng.randint(3, 7))) for _ in range(500)]
-    s, words = words_of([" ".join(tests)])
+    s, _ = words_of([" ".join(tests)])
+    words = toxicity.Tokens(s.data, s.offsets)
     for word, kind in zip(tests, toxicity.match_words(s.data, words, found).tolist(), strict=True):
         low = word.lower()
         want = 1 if low in ("idiot", "scum") or low.startswith("lowei") else 2 if distance(low, "idiot") == 1 else 0
@@ -79,6 +80,35 @@ def test_copies_neither_add_nor_bar_a_term(spark):
     assert {b"gribbet", b"snorkop"} <= found and b"zumblat" not in found
 
 
+def test_words_of_any_length_and_script_are_learned(spark):
+    rng = random.Random(7)
+    noise = lambda: " ".join("w" + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12))
+    long, longer, insult = "ab" * 24, "xyzzy" * 40, "你这个愚蠢透顶的大笨蛋滚出去永远别"
+    common = "今天天气很好我们去公园散步吃饭看书听音乐学习工作"
+    han = lambda n: "".join(rng.choice(common) for _ in range(n))
+    toxic = [(f"{noise()} {long} {noise()}", 1) for _ in range(20)] + [(f"{noise()} zq {noise()}", 1) for _ in range(20)]
+    toxic += [(f"{noise()} {longer}{i} {noise()}", 1) for i in range(20)] + [(han(20) + insult + han(20), 1) for _ in range(20)]
+    clean = [(noise(), 0) for _ in range(1000)] + [(han(50), 0) for _ in range(1000)]
+    found = toxicity.learn_lexicon(spark.createDataFrame(toxic + clean, "text string, label int"))
+    assert {(long.encode(), True), (b"zq", True)} <= set(found)
+    texts = [long, "zq", longer + "777", "abc" + han(5) + insult + han(5), han(80), noise(), "", None, long[:-1], "x" * 300_000, "好" * 100_000]
+    s, _ = words_of(texts)
+    words = toxicity.Tokens(s.data, s.offsets)
+    kinds = toxicity.match_words(s.data, words, toxicity.build_table(found))
+    best = [kinds[words.first[i] : words.first[i + 1]] for i in range(len(texts))]
+    assert [bool((k == 1).any()) for k in best] == [True] * 4 + [False] * 7
+    assert (best[8] == 2).any()
+
+
+def test_tokens_of_mixed_scripts():
+    s, _ = words_of(["ab你好cd ef", "ก", "né 好", "", None])
+    words = toxicity.Tokens(s.data, s.offsets)
+    cut = lambda ends: [bytes(s.data[a:b]).decode() for a, b in zip(words.start, ends, strict=True)]
+    assert cut(words.end) == ["ab", "你", "好", "cd", "ef", "ก", "né", "好"]
+    assert cut(words.reach) == ["ab", "你好cd", "好cd", "cd", "ef", "ก", "né", "好"]
+    assert words.count.tolist() == [5, 1, 2, 0, 0] and words.doc.tolist() == [0] * 5 + [1, 2, 2]
+
+
 def test_lexicon_has_every_term_with_the_odds(spark):
     name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))[::-1]
     terms, common = [f"{name(1000 * i)}x" for i in range(300)], [f"{name(7 * i)}clean{name(i)}" for i in range(4000)]
