@@ -285,12 +285,18 @@ class Contexts:
         part.start, part.end, part.inside = words.start[near], words.end[near], words.inside
         self.bucket = np.zeros(around.shape, np.int64)
         if len(near):
-            buckets = (hasher.words(s.data, part) % np.uint64(CONTEXT_BUCKETS)).astype(np.int64)
+            # A hash runs to the next word that is asked for, so the others in between are blanked.
+            marks = np.zeros(len(s.data) + 1, np.int8)
+            marks[part.start] += 1
+            marks[part.end] -= 1
+            asked = np.where(np.cumsum(marks[:-1], dtype=np.int8) > 0, s.data, np.uint8(0x20))
+            buckets = (hasher.words(asked, part) % np.uint64(CONTEXT_BUCKETS)).astype(np.int64)
             self.bucket[self.inside] = buckets[np.searchsorted(near, around[self.inside])]
         quote = np.zeros(256, bool)
         quote[list(QUOTES)] = True
         padded = np.concatenate([s.data, np.zeros(1, np.uint8)])
-        self.quoted = quote[padded[words.start[self.word] - 1]] & (words.start[self.word] > 0) & quote[padded[words.reach[self.word]]]
+        before, after = words.start[self.word], words.reach[self.word]
+        self.quoted = quote[padded[before - 1]] & (before > s.offsets[self.doc]) & quote[padded[after]] & (after < s.offsets[self.doc + 1])
 
     def features(self, rows: int, weights: np.ndarray) -> np.ndarray:
         """Per row: any match, exact, misspelled and quoted matches, and the mean and highest context score."""
