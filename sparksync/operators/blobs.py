@@ -13,19 +13,21 @@ Pieces are keyed by (path, seq), so one blob spreads over all partitions.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparksync.functions.content import byte_slice, strong_hash
-from sparksync.operators.rolling import GEAR_SPAN, choose_cuts, cut_places, weak_at, window_names
+from sparksync.operators.rolling import GEAR_SPAN, choose_cuts, cut_places, cut_places_of_many, weak_at, window_names
 
 PIECE = 1 << 20
 #: No block is longer, see ``auto_block_size``.
 LONGEST_BLOCK = 32768
+#: Small pieces are worked on together, up to so many bytes.
+TOGETHER = 1 << 18
 BLOB = "path string, seq long, offset long, bytes binary"
 
 
@@ -47,19 +49,58 @@ def _joined(rows: DataFrame) -> DataFrame:
     """(path, seq, offset, bytes) from parts of (offset, bytes) that must follow each other from the row's ``offset``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
+        for rows in _together(batches):
+            data = []
+            for row in rows:
                 at = row["offset"]
                 for part in row["parts"]:
                     if part["offset"] != at:
                         raise ValueError(f"{row['path']}: nothing for the bytes from {at}")
                     at += len(part["bytes"])
-                data = b"".join(p["bytes"] for p in row["parts"])
-                yield pa.RecordBatch.from_pydict({"path": [row["path"]], "seq": [row["seq"]], "offset": [row["offset"]], "bytes": pa.array([data], pa.binary())})
+                data.append(b"".join(p["bytes"] for p in row["parts"]))
+            yield pa.RecordBatch.from_arrays([*([r[c] for r in rows] for c in ("path", "seq", "offset")), pa.array(data, pa.binary())], schema=blob)
 
+    blob = pa.schema([("path", pa.string()), ("seq", pa.int64()), ("offset", pa.int64()), ("bytes", pa.binary())])
     return rows.mapInArrow(run, BLOB)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows in lists of about ``TOGETHER`` bytes, single ones where rows are large."""
+    for batch in batches:
+        step = max(TOGETHER * batch.num_rows // max(batch.nbytes, 1), 1)
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step).to_pylist()
+
+
+def _per_path(rows: DataFrame, order: str, make: Callable[[list[dict]], list[tuple]], kinds: pa.Schema, schema: str) -> DataFrame:
+    """What ``make`` gives for the rows of each path, which come in the order of ``order``.
+
+    A partition holds whole paths, sorted, and is read as one stream, so that
+    a short path does not cost a call with frames of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        out: list[tuple] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["path"] != row["path"]:
+                    out += make(held)
+                    held = []
+                    if len(out) >= 10_000:
+                        yield packed(out)
+                        out = []
+                held.append(row)
+        out += make(held) if held else []
+        if out:
+            yield packed(out)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
+
+    return rows.repartition("path").sortWithinPartitions("path", order).mapInArrow(run, schema)
+
+
 def with_neighbours(pieces: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
     """Pieces with ``lead``, the last bytes of the piece before, and ``tail``, the first bytes of the piece after."""
     out = pieces
@@ -68,7 +109,7 @@ def with_neighbours(pieces: DataFrame, before: int = 0, after: int = 0) -> DataF
         out = out.join(pieces.select("path", (F.col("seq") + 1).alias("seq"), last.alias("lead")), ["path", "seq"], "left")
     if after:
         first = F.substring("bytes", F.lit(1), F.lit(after))
-        out = out.join(pieces.select("path", (F.col("seq") - 1).alias("seq"), first.alias("tail")), ["path", "seq"], "left")
+        out = out.join(pieces.filter("seq > 0").select("path", (F.col("seq") - 1).alias("seq"), first.alias("tail")), ["path", "seq"], "left")
     return out
 
 
@@ -76,24 +117,26 @@ def cut_spans(pieces: DataFrame, min_size: int, avg_size: int, max_size: int) ->
     """(path, idx, offset, len) of the content-defined chunks, the same as of the blob in one row."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                lead = row["lead"] or b""
-                hard, easy = cut_places(lead + row["bytes"], avg_size, skip=len(lead))
-                rows.append({"path": row["path"], "offset": row["offset"], "size": len(row["bytes"]), "hard": hard + row["offset"], "easy": easy + row["offset"]})
-            yield pa.RecordBatch.from_pylist(rows, schema=found)
+        for rows in _together(batches):
+            leads = [row["lead"] or b"" for row in rows]
+            data, skips = [lead + row["bytes"] for lead, row in zip(leads, rows, strict=True)], list(map(len, leads))
+            # One large piece is hashed window by window.
+            ends = cut_places_of_many(data, skips, avg_size) if len(data) > 1 else [cut_places(data[0], avg_size, skips[0])]
+            hard, easy = ([e[k] + row["offset"] for e, row in zip(ends, rows, strict=True)] for k in (0, 1))
+            columns = [[r["path"] for r in rows], [r["offset"] for r in rows], [len(r["bytes"]) for r in rows], hard, easy]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, found.types, strict=True)], schema=found)
 
-    found = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("hard", pa.list_(pa.int64())), ("easy", pa.list_(pa.int64()))])
+    ints = pa.list_(pa.int64())
+    found = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("hard", ints), ("easy", ints)])
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("offset")
-        ends = choose_cuts(int(rows["size"].sum()), np.concatenate(list(rows["hard"])), np.concatenate(list(rows["easy"])), min_size, avg_size, max_size)
-        begins = [0, *ends[:-1]] if ends else []
-        return pd.DataFrame({"path": rows["path"].iloc[0], "idx": range(len(ends)), "offset": begins, "len": np.diff([0, *ends])})
+    def choose(rows: list[dict]) -> list[tuple]:
+        hard, easy = ([end for row in rows for end in row[c]] for c in ("hard", "easy"))
+        ends = choose_cuts(sum(row["size"] for row in rows), hard, easy, min_size, avg_size, max_size)
+        return [(rows[0]["path"], i, begin, end - begin) for i, (begin, end) in enumerate(zip([0, *ends], ends))]
 
+    spans = pa.schema([("path", pa.string()), ("idx", pa.int32()), ("offset", pa.int64()), ("len", pa.int32())])
     marked = with_neighbours(pieces, before=GEAR_SPAN - 1).mapInArrow(places, "path string, offset long, size long, hard array<long>, easy array<long>")
-    return marked.groupBy("path").applyInPandas(choose, "path string, idx int, offset long, len int")
+    return _per_path(marked, "offset", choose, spans, "path string, idx int, offset long, len int")
 
 
 def cdc_chunks_of_pieces(pieces: DataFrame, min_size: int, avg_size: int, max_size: int, size: int = PIECE) -> DataFrame:
@@ -127,14 +170,14 @@ def sliding_ops(source: DataFrame, signature: DataFrame, longest: int = LONGEST_
     rows = with_neighbours(source, after=longest - 1).join(known, "path")
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([_hits(row)], schema=found)
+        for rows in _together(batches):
+            yield pa.RecordBatch.from_pylist([_hits(row) for row in rows], schema=found)
 
     ints = pa.list_(pa.int64())
     found = pa.schema([("path", pa.string()), ("total", pa.int64()), ("block", pa.int64()), ("low", ints), ("high", ints), ("basis", ints), ("end_at", pa.int64()), ("end_basis", pa.int64())])
     places = rows.mapInArrow(hits, "path string, total long, block long, low array<long>, high array<long>, basis array<long>, end_at long, end_basis long")
-    return places.groupBy("path").applyInPandas(_pick, "path string, op_idx long, op string, source_offset long, len long, basis_offset long")
+    ops = pa.schema([("path", pa.string()), ("op_idx", pa.int64()), ("op", pa.string()), ("source_offset", pa.int64()), ("len", pa.int64()), ("basis_offset", pa.int64())])
+    return _per_path(places, "low", _pick, ops, "path string, op_idx long, op string, source_offset long, len long, basis_offset long")
 
 
 def _hits(row: dict) -> dict:
@@ -164,12 +207,11 @@ def _hits(row: dict) -> dict:
     return out
 
 
-def _pick(rows: pd.DataFrame) -> pd.DataFrame:
+def _pick(rows: list[dict]) -> list[tuple]:
     """Leftmost hits without overlap, as alternating literals and copies; copies that go on in the basis are one."""
-    low, high, basis = (np.concatenate(list(rows[c])).astype(np.int64) for c in ("low", "high", "basis"))
-    order = np.argsort(low)
-    low, high, basis = low[order], high[order], basis[order]
-    total, block = int(rows["total"].iloc[0]), int(rows["block"].iloc[0])
+    hits = sorted((hit for r in rows for hit in zip(r["low"], r["high"], r["basis"], strict=True)), key=lambda hit: hit[0])
+    low, high, basis = zip(*hits, strict=True) if hits else ((), (), ())
+    total, block = rows[0]["total"], rows[0]["block"]
     ops: list[list] = []
 
     def copy(at: int, n: int, place: int) -> None:
@@ -183,32 +225,37 @@ def _pick(rows: pd.DataFrame) -> pd.DataFrame:
 
     pos, i = 0, 0
     while True:
-        i += int(np.searchsorted(high[i:], pos))
+        i = bisect_left(high, pos, i)
         if i >= len(low):
             break
-        at = max(int(low[i]), pos)
-        copy(at, block, int(basis[i]))
+        at = max(low[i], pos)
+        copy(at, block, basis[i])
         pos = at + block
-    ends = rows["end_at"].dropna()
+    ends = [(r["end_at"], r["end_basis"]) for r in rows if r["end_at"] is not None]
     # A rest shorter than a block can only be the basis' own short last block.
-    if len(ends) and int(ends.iloc[0]) == pos:
-        copy(pos, total - pos, int(rows["end_basis"].dropna().iloc[0]))
+    if ends and ends[0][0] == pos:
+        copy(pos, total - pos, ends[0][1])
         pos = total
     if pos < total:
         ops.append(["literal", pos, total - pos, None])
-    frame = pd.DataFrame(ops, columns=["op", "source_offset", "len", "basis_offset"]).astype({"basis_offset": "Int64"})
-    frame.insert(0, "op_idx", range(len(ops)))
-    frame.insert(0, "path", rows["path"].iloc[0])
-    return frame
+    return [(rows[0]["path"], i, *op) for i, op in enumerate(ops)]
 
 
 def literal_pieces(ops: DataFrame, source: DataFrame, size: int = PIECE) -> DataFrame:
     """Ops with the bytes of literals, which are cut where the source's pieces end."""
-    cut = _cut_ranges(ops.filter("op = 'literal'"), "source_offset", size)
-    held = cut.join(source.select("path", F.col("seq").alias("part"), "bytes"), ["path", "part"])
-    piece = byte_slice(F.col("bytes"), F.col("source_offset") - F.col("part") * size, F.col("len"))
+    # Copies keep their row with no part, so that the ops are made once and not for each kind.
+    first, last = (F.floor(at / size).cast("long") for at in (F.col("source_offset"), F.col("source_offset") + F.col("len") - 1))
+    part = F.when(F.col("op") == "copy", F.array(F.lit(None).cast("long"))).when((F.col("op") == "literal") & (F.col("len") > 0), F.sequence(first, last))
     cols = ["path", "op_idx", "op", "source_offset", "len", "basis_offset"]
-    return ops.filter("op = 'copy'").select(*cols, F.lit(None).cast("binary").alias("literal")).unionByName(held.select(*cols, piece.alias("literal")))
+    held = ops.select(*cols, F.explode(part).alias("part")).join(source.select("path", F.col("seq").alias("part"), "bytes"), ["path", "part"], "left")
+    held = held.filter("op = 'copy' or bytes is not null")
+    is_copy, edge = F.col("op") == "copy", F.col("part") * size
+    begin = F.when(is_copy, F.col("source_offset")).otherwise(F.greatest("source_offset", edge))
+    end = F.when(is_copy, F.col("source_offset") + F.col("len")).otherwise(F.least(F.col("source_offset") + F.col("len"), edge + size))
+    return held.select(
+        "path", "op_idx", "op", begin.alias("source_offset"), (end - begin).alias("len"), (F.col("basis_offset") + begin - F.col("source_offset")).alias("basis_offset"),
+        F.when(~is_copy, byte_slice(F.col("bytes"), begin - edge, end - begin)).alias("literal"),
+    )
 
 
 def _cut_ranges(ops: DataFrame, at: str, size: int) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparksync.operators import blobs, delta, signatures
-from sparksync.operators.rolling import gear_cuts
+from sparksync.operators.rolling import cut_places, cut_places_of_many, gear_cuts
 
 SIZE = 4096
 
@@ -78,3 +78,24 @@ def test_patched_pieces(spark):
         with pytest.raises(Exception, match="missing"):
             blobs.patch_pieces(before, lost, heads, SIZE).collect()
     assert blobs.patch_pieces(before, full.limit(0), heads.limit(0), SIZE).collect() == []
+
+
+def test_many_strings_are_cut_as_each_alone():
+    rng = random.Random(3)
+    parts = [rng.randbytes(rng.choice([0, 1, 62, 63, 64, 700, 5000])) for _ in range(60)]
+    skips = [min(len(p), rng.choice([0, 0, 63])) for p in parts]
+    for (hard, easy), part, skip in zip(cut_places_of_many(parts, skips, 256), parts, skips, strict=True):
+        one = cut_places(part, 256, skip)
+        assert hard.tolist() == one[0].tolist() and easy.tolist() == one[1].tolist()
+
+
+def test_a_path_costs_no_python_call_of_its_own(spark, capsys):
+    source, basis = source_and_basis(spark)
+    pieces = blobs.to_pieces(source, size=SIZE)
+    ops = blobs.sliding_ops(pieces, signatures.fixed_block_signature(basis, weak=True), longest=SIZE)
+    for made in (blobs.cut_spans(pieces, 64, 256, 1024), ops):
+        made.explain()
+        assert "FlatMapGroupsIn" not in capsys.readouterr().out
+    # Literals get their bytes in one pass over the ops.
+    blobs.literal_pieces(ops, pieces, SIZE).explain()
+    assert "Union" not in capsys.readouterr().out
