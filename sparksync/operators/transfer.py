@@ -24,14 +24,17 @@ def transfer_contents(
     """
     files = plan.filter((F.col("kind") == "file") & F.col("action").isin("create", "update"))
     data = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
-    wanted = src.join(files.select("path"), "path", "left_semi").select("path", data.alias("content"))
-    old = dst.join(files.filter("action = 'update'").select("path"), "path", "left_semi").select("path", data.alias("content"))
-    old = old.filter(F.octet_length("content") > 0)
     there = F.col("action") == "update"
-    own = files.filter(choose_strategy(F.col("source_size"), there, delta_min) == "delta").select("path").join(old, "path", "left_semi")
+    large = files.filter(choose_strategy(F.col("source_size"), there, delta_min) == "delta").select("path")
+    # All content of a side is shuffled once, for the rows that are needed; the steps below read only these.
+    old = checkpointed(dst.join(large, "path", "left_semi").select("path", data.alias("content")).filter(F.octet_length("content") > 0))
+    own = large.join(old.select("path"), "path", "left_semi").distinct()
+    marked = files.select("path").distinct().join(own.withColumn("own", F.lit(True)), "path", "left")
+    wanted = checkpointed(src.join(marked, "path").select("path", data.alias("content"), F.coalesce("own", F.lit(False)).alias("own")))
+    with_old, wanted = (wanted.filter(f"own = {flag}").drop("own") for flag in ("true", "false"))
     pairs = checkpointed(cross_basis_pairs(plan, pair_min, delta_min).select("path", "basis_path").join(own, "path", "left_anti"))
-    plain = wanted.join(own, "path", "left_anti").join(pairs, "path", "left_anti")
-    first = _by_delta(wanted.join(own, "path", "left_semi"), old, budget, cross=False).withColumn("basis_path", F.col("path"))
+    plain = wanted.join(pairs, "path", "left_anti")
+    first = _by_delta(with_old, old, budget, cross=False).withColumn("basis_path", F.col("path"))
     done = checkpointed(first.unionByName(_copied(plain, None)))
     made, rest = [done], pairs
     while not rest.isEmpty():
@@ -41,7 +44,8 @@ def transfer_contents(
             made.append(_copied(wanted.join(rest, "path", "left_semi"), "no-basis"))
             break
         basis = ready.select("path", F.col("basis").alias("content"))
-        level = _by_delta(wanted.join(ready.select("path"), "path", "left_semi"), basis, budget, cross=True)
+        due = checkpointed(wanted.join(ready.select("path"), "path", "left_semi"))
+        level = _by_delta(due, basis, budget, cross=True)
         done = checkpointed(level.join(ready.select("path", "basis_path"), "path"))
         made.append(done)
         rest = checkpointed(rest.join(ready.select("path"), "path", "left_anti"))

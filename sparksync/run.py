@@ -97,7 +97,10 @@ def sync_table(
 
     transfers = None
     if options.delta and exists:
-        transfers = checkpointed(transfer_contents(plan, usable, dst, options.delta_min, options.pair_min))
+        transfers = transfer_contents(plan, usable, dst, options.delta_min, options.pair_min)
+        # Every file that changes has its content there, so the source's need not be shuffled beside it.
+        other = F.when(~F.col("kind").eqNullSafe("file"), F.col("content")).alias("content")
+        usable = usable.select(*[other if c == "content" else c for c in usable.columns])
         usable = usable.join(transfers.select("path", F.col("content").alias("_made")), "path", "left").withColumn(
             "content", F.coalesce("_made", "content")
         ).drop("_made")

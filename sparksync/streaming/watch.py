@@ -97,9 +97,10 @@ def read_synced(spark: SparkSession, location: str, touching: DataFrame | None =
         log = log if log is None else log.filter(F.col(BUCKET).isin(wanted))
     if log is None:
         return base
-    newest = F.max_by(F.struct("deleted", *[c for c in base.columns if c != "path"]), "turn")
-    latest = log.groupBy("path").agg(newest.alias("_row"))
-    alive = latest.filter(~F.col("_row.deleted")).select("path", "_row.*").select(*base.columns)
+    # Each column by itself, so that a reader who wants no content shuffles none; equal turns pick one row for all.
+    newest = [F.max_by(c, "turn").alias(c) for c in base.columns if c != "path"]
+    latest = log.groupBy("path").agg(F.max_by("deleted", "turn").alias("_deleted"), *newest)
+    alive = latest.filter(~F.col("_deleted")).select(*base.columns)
     return base.join(log.select("path"), "path", "left_anti").unionByName(alive)
 
 

@@ -129,3 +129,25 @@ def test_only_the_buckets_of_a_burst_are_read(spark, tmp_path):
     # What lies in the staging folder only is not read.
     (tmp_path / "table" / "_staging" / "half").mkdir()
     assert read_synced(spark, place).count() == 200
+
+
+def test_a_reader_of_few_columns_reads_no_content(spark, tmp_path, capsys):
+    place = str(tmp_path / "table")
+    for text in ("one", "three"):
+        sync_table(spark.createDataFrame([("a", "file", len(text), 420, len(text), 0, text)], COLS), place)
+    state = read_synced(spark, place)
+    assert [tuple(r) for r in state.select("path", "size", "content").collect()] == [("a", 5, "three")]
+    state.select("path", "size").explain()
+    assert "content" not in capsys.readouterr().out
+
+
+def test_content_of_a_run_is_shuffled_in_one_place(spark, tmp_path, monkeypatch):
+    place, seen = str(tmp_path / "table"), []
+    monkeypatch.setattr(run, "append_plan", lambda plan, usable, *rest: seen.append(usable))
+    frame = lambda text: spark.createDataFrame([(p, "file", len(text) + n, 420, len(text), 0, text + p * n) for p, n in (("a", 0), ("b", 1))], COLS)
+    sync_table(frame("one"), place)
+    result = sync_table(frame("three"), place, SyncOptions(delta=True, delta_min=2, pair_min=2))
+    assert {r.path: r.content for r in result.transfers.collect()} == {r.path: r.content for r in seen[0].collect()} == {"a": "three", "b": "threeb"}
+    # The source side of the join brings content of directories and links only.
+    bare = result.transfers.select("path").limit(0)
+    assert "CASE WHEN" in seen[0].join(bare, "path", "left_anti")._jdf.queryExecution().optimizedPlan().toString()
