@@ -30,13 +30,14 @@ from sparksync.functions.binding import let
 from sparksync.llm.blocks import MESSAGE, expand, message_batch, pack_rows, send, shard_bounds, shard_count, shrink, with_answers
 from sparksync.llm.decontaminate import free_name
 from sparksync.llm.text import BASE, Slice, mix, seeds
-from sparksync.session import checkpointed
+from sparksync.session import checkpointed, drop_superseded
 
 MARK = "▁"
 UNKNOWN = "\ufffd".encode()
 LONG = 48
 BLOCK_BYTES = 1 << 20  # as characters of four bytes and hashes of eight, a block takes many times that
 MOST_PIECES = 1_000_000  # a larger table is joined by shuffling
+TASK_WORDS = 8192  # a word has dozens of substrings, which a task sorts by word: so many fit its memory
 
 
 @dataclass
@@ -283,7 +284,9 @@ def encode_words(words: DataFrame, pieces: Pieces, fold: str | None = None) -> D
     if few:
         table, heads = F.broadcast(table), F.broadcast(heads)
     low = min(pieces.scores, default=0.0) - 10.0
-    sized = words.withColumn("n", F.char_length("word")).repartition("key")
+    # A number of its own, since the words look small before their substrings are made.
+    tasks = -(-words.count() // TASK_WORDS) or 1
+    sized = words.withColumn("n", F.char_length("word")).repartition(tasks, "key")
     spots = sized.filter(f"n <= {LONG}").select("key", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     spots = spots.withColumn("head", F.expr("substring(word, start + 1, 2)")).join(heads, "head", "left")
     ends = F.sequence(F.col("start") + 1, F.least(F.col("n"), F.col("start") + F.coalesce("reach", F.lit(1))))
@@ -335,6 +338,8 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out_col: str
     messages = checkpointed(block_words(blocks, text_col, pairs, shards))
     words = checkpointed(distinct_words(messages))
     coded = checkpointed(encode_words(words, pieces, fold).withColumn("shard", F.shiftright("key", 32).cast("int")))
+    del words
+    drop_superseded(docs.sparkSession)
 
     def reply(asked: pa.Table, known: pa.Table) -> pa.Table:
         known = known.sort_by("key")
@@ -350,7 +355,9 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out_col: str
             bodies.append(shrink(n.astype(np.int32), flat[spots].astype(np.int32)))
         return asked.select(["shard", "block"]).append_column("body", pa.array(bodies, pa.binary()))
 
-    answers = messages.groupBy("shard").cogroup(coded.groupBy("shard")).applyInArrow(reply, MESSAGE)
+    answers = checkpointed(messages.groupBy("shard").cogroup(coded.groupBy("shard")).applyInArrow(reply, MESSAGE))
+    del messages, coded
+    drop_superseded(docs.sparkSession)
 
     def finish():
         splitter = Splitter(pairs)
@@ -372,7 +379,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out_col: str
 
         return make
 
-    return with_answers(blocks, checkpointed(answers), text_col, finish, schema)
+    return with_answers(blocks, answers, text_col, finish, schema)
 
 
 def _to_bytes(flat: np.ndarray, n: np.ndarray, zero: int) -> tuple[np.ndarray, np.ndarray]:

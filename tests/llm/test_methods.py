@@ -208,3 +208,14 @@ def test_held_out_accuracy(spark, name, label):
     sf = "/root/testdata/sf0.01"
     joined = REGISTRY[name](spark, sf).filter("held_out").join(table(spark, sf, "labels"), "doc_id")
     assert joined.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0] > 0.93
+
+
+def test_words_of_a_fold_are_spread_by_their_number(spark, capsys, monkeypatch):
+    """A task sorts its words' substrings, so it gets so many words and no more, however small the words look."""
+    monkeypatch.setattr(pieces, "TASK_WORDS", 100)
+    model = pieces.Pieces(["a", "b", "ab"], [0, 1, 2], [0.0, -1.0, -2.0], 3, "bpe")
+    words = spark.range(1000).selectExpr("id as key", "concat('ab', repeat('a', int(id % 5))) as word")
+    coded = pieces.encode_words(words, model)
+    coded.explain()
+    assert "hashpartitioning(key#" in (plan := capsys.readouterr().out) and ", 10), REPARTITION_BY_NUM" in plan
+    assert {r.key: list(r.ids) for r in coded.collect()}[7] == [2, 0, 0]
