@@ -114,7 +114,7 @@ class Hasher:
 
     def _reserve(self, n: int) -> None:
         if len(self.power) < n:
-            n = max(n, SLICE_BYTES)
+            n = max(n + n // 8, 1 << 20)
             base = np.full(n, BASE, np.uint64)
             base[0] = 1
             self.power = np.cumprod(base, dtype=np.uint64)

@@ -32,6 +32,8 @@ from sparksync.llm.text import NOT_ALNUM, Hasher, Words, fold_case, slices
 from sparksync.session import checkpointed
 
 FIT_ROWS = 20_000
+TERM_BYTES = 256 << 10  # a word has up to a dozen terms, each an object of its own: of so much text a task holds them
+TEXT_BYTES = 1 << 20  # arrays over a slice's bytes and words take dozens of times that
 MIN_DOCS = 6
 MIN_ODDS = 30.0
 WINDOW = 6
@@ -133,7 +135,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     """(term, whole, toxic, clean): in how many texts of either label each term occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches, "text"):
+        for s in slices(batches, "text", TERM_BYTES):
             label = np.asarray(s.column("label"))
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for y, found in zip(label.tolist(), _doc_words(s, Tokens(s.data, s.offsets)), strict=True):
@@ -322,7 +324,7 @@ def _context_weights(sample: DataFrame, table: dict[str, np.ndarray]) -> np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = Hasher(), np.zeros((2, CONTEXT_BUCKETS))
-        for s in slices(batches, "text"):
+        for s in slices(batches, "text", TEXT_BYTES):
             found = Contexts(s, table, hasher)
             label = np.asarray(s.column("label"))[found.doc]
             for y in (0, 1):
@@ -350,7 +352,7 @@ class ToxicityModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = Hasher()
-            for s in slices(batches, text_col):
+            for s in slices(batches, text_col, TEXT_BYTES):
                 found = Contexts(s, table, hasher)
                 x = found.features(s.n, weights)
                 counts = [np.rint(np.expm1(x[:, k])).astype(np.int64) for k in (1, 2)]
@@ -366,7 +368,7 @@ class ToxicityModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = Hasher()
-            for s in slices(batches, text_col):
+            for s in slices(batches, text_col, TEXT_BYTES):
                 score = logistic(Contexts(s, table, hasher).features(s.n, weights), regression)
                 yield s.batch.filter(pa.array(score < threshold))
 
@@ -386,7 +388,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for s in slices(batches, "text"):
+        for s in slices(batches, "text", TEXT_BYTES):
             x = Contexts(s, table, hasher).features(s.n, weights)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), s.column("label")], ["x", "y"])
 
