@@ -29,18 +29,23 @@ from sparksync.llm.text import Slice, buffers, slices
 BLOCK_BYTES = 4 << 20
 
 
+def packed(batches: Iterator[pa.RecordBatch], text_col: str, block_bytes: int) -> Iterator[tuple[int, bytes, Slice]]:
+    """The blocks of a task's rows: key, compressed rows with all their columns, and the slice they come from."""
+    for s in slices(batches, text_col, block_bytes):
+        sink = pa.BufferOutputStream()
+        # A plain copy, so that the bytes do not depend on where the batch was cut.
+        batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in s.batch.columns], schema=s.batch.schema)
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(batch)
+        payload = sink.getvalue().to_pybytes()
+        yield int.from_bytes(hashlib.blake2b(payload, digest_size=8).digest(), "little", signed=True), payload, s
+
+
 def pack_rows(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, payload): the rows with all their columns, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches, text_col, block_bytes):
-            sink = pa.BufferOutputStream()
-            # A plain copy, so that the bytes do not depend on where the batch was cut.
-            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in s.batch.columns], schema=s.batch.schema)
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(batch)
-            payload = sink.getvalue().to_pybytes()
-            key = int.from_bytes(hashlib.blake2b(payload, digest_size=8).digest(), "little", signed=True)
+        for key, payload, _ in packed(batches, text_col, block_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([payload], pa.binary())], ["block", "payload"])
 
     return docs.mapInArrow(run, "block long, payload binary")
@@ -111,6 +116,17 @@ def send(blocks: DataFrame, text_col: str, make: Callable[[], Callable[[Slice],
     return blocks.select("block", "payload").mapInArrow(run, MESSAGE)
 
 
+def send_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[Slice], list[tuple[int, bytes]]]], block_bytes: int) -> DataFrame:
+    """The messages of the blocks that ``pack_rows`` makes of ``docs``, without the blocks, in one Python worker a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = make()
+        for key, _, s in packed(batches, text_col, block_bytes):
+            yield message_batch(key, maker(s))
+
+    return docs.mapInArrow(run, MESSAGE)
+
+
 def answer(messages: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """The shards' answers to all messages, as (shard, block, body); what goes to a negative shard comes back as it is."""
 

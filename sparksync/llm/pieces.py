@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparksync.functions.binding import let
-from sparksync.llm.blocks import MESSAGE, expand, message_batch, pack_rows, send, shard_bounds, shard_count, shrink, with_answers
+from sparksync.llm.blocks import MESSAGE, expand, pack_rows, send_rows, shard_bounds, shard_count, shrink, with_answers
 from sparksync.llm.decontaminate import free_name
 from sparksync.llm.text import BASE, Slice, mix, seeds
 from sparksync.session import checkpointed, drop_superseded
@@ -35,7 +35,7 @@ from sparksync.session import checkpointed, drop_superseded
 MARK = "▁"
 UNKNOWN = "\ufffd".encode()
 LONG = 48
-BLOCK_BYTES = 1 << 20  # as characters of four bytes and hashes of eight, a block takes many times that
+BLOCK_BYTES = 3 << 19  # as characters of four bytes and hashes of eight, a block takes many times that
 MOST_PIECES = 1_000_000  # a larger table is joined by shuffling
 TASK_WORDS = 8192  # a word has dozens of substrings, which a task sorts by word: so many fit its memory
 
@@ -145,8 +145,8 @@ def unpack_words(body: bytes) -> list[str]:
     return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def block_words(blocks: DataFrame, text_col: str, pairs: np.ndarray, shards: int) -> DataFrame:
-    """Messages with each block's distinct words, by shard of their hash."""
+def block_words(docs: DataFrame, text_col: str, pairs: np.ndarray, shards: int) -> DataFrame:
+    """Messages with each block's distinct words, by shard of their hash; blocks are those of ``pack_rows``."""
 
     def ask():
         splitter = Splitter(pairs)
@@ -158,7 +158,7 @@ def block_words(blocks: DataFrame, text_col: str, pairs: np.ndarray, shards: int
 
         return make
 
-    return send(blocks, text_col, ask)
+    return send_rows(docs, text_col, ask, BLOCK_BYTES)
 
 
 def _sorted_words(bodies: pa.ChunkedArray) -> list[str]:
@@ -329,17 +329,19 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out_col: str
 
     Null and empty texts have no pieces. The other columns pass through
     whatever their names are; if ``out_col`` is taken, underscores go in front.
+    ``docs`` is read twice, which is less to store than its blocks; rows that
+    come in another order the second time fail the job.
     """
     out = free_name(docs, out_col)
     shards, pairs, zero = shard_count(docs), pieces.pairs(), pieces.byte_zero
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     # Each step is written before the next, so that a task has one Python worker and steps are not run twice.
-    blocks = checkpointed(pack_rows(docs, text_col, BLOCK_BYTES))
-    messages = checkpointed(block_words(blocks, text_col, pairs, shards))
+    messages = checkpointed(block_words(docs, text_col, pairs, shards))
     words = checkpointed(distinct_words(messages))
+    drop_superseded(docs.sparkSession, settle=1.0)
     coded = checkpointed(encode_words(words, pieces, fold).withColumn("shard", F.shiftright("key", 32).cast("int")))
     del words
-    drop_superseded(docs.sparkSession)
+    drop_superseded(docs.sparkSession, settle=1.0)
 
     def reply(asked: pa.Table, known: pa.Table) -> pa.Table:
         known = known.sort_by("key")
@@ -357,7 +359,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out_col: str
 
     answers = checkpointed(messages.groupBy("shard").cogroup(coded.groupBy("shard")).applyInArrow(reply, MESSAGE))
     del messages, coded
-    drop_superseded(docs.sparkSession)
+    drop_superseded(docs.sparkSession, settle=1.0)
 
     def finish():
         splitter = Splitter(pairs)
@@ -379,7 +381,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out_col: str
 
         return make
 
-    return with_answers(blocks, answers, text_col, finish, schema)
+    return with_answers(pack_rows(docs, text_col, BLOCK_BYTES), answers, text_col, finish, schema)
 
 
 def _to_bytes(flat: np.ndarray, n: np.ndarray, zero: int) -> tuple[np.ndarray, np.ndarray]:

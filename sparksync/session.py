@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,15 +55,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def drop_superseded(spark: SparkSession) -> None:
+def drop_superseded(spark: SparkSession, settle: float = 0.0) -> None:
     """Let Spark delete the shuffle files and checkpoints of earlier rounds.
 
     Spark deletes what nothing refers to any more, but looks only when the
     driver collects garbage, which an idle driver seldom does. Rounds that each
-    write a new state would otherwise hold all of them on disk at once.
+    write a new state would otherwise hold all of them on disk at once. What
+    the very last step has left is still in Spark's own hands for a moment; with
+    ``settle`` a second look follows after so many seconds.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if settle:
+        time.sleep(settle)
+        spark.sparkContext._jvm.System.gc()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
